@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import cut, mix, pieces, small, stored, text_buffer, window_hashes, word_hashes, words
+from .shared import cut, drop_stored, mix, pieces, small, stored, text_buffer, window_hashes, word_hashes, words
 
 WINDOW = 50
 #: Rounds, the first so many of which also name runs, and the most words of a symbol.
@@ -148,7 +148,7 @@ def _names(docs: DataFrame, window: int) -> DataFrame:
 
 
 def _windows(docs: DataFrame, window: int) -> DataFrame:
-    """(w1, w2, doc_id, body, at) of each window whose name is in the row's `names`, which are sorted."""
+    """(w1, w2, doc_id, body, at, more) of each distinct window whose name is in the row's `names`, which are sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -162,10 +162,19 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
                     known = names[i].values.to_numpy().view(np.uint64)
                     at = lo + np.flatnonzero(np.isin(p.name[lo:hi], known))
                     if len(at):
-                        same = np.full(len(at), i)
-                        yield pa.RecordBatch.from_arrays([_signed(p.w1[at]), _signed(w2[at]), b.column(0).take(pa.array(same)), b.column(1).take(pa.array(same)), pa.array((p.at[at] - begins[i]).astype(np.int32))], ["w1", "w2", "doc_id", "body", "at"])
+                        # a window that the document repeats is one row, with its other places in a list
+                        order = at[np.lexsort((at, w2[at], p.w1[at]))]
+                        new = np.append(True, (p.w1[order][1:] != p.w1[order][:-1]) | (w2[order][1:] != w2[order][:-1]))
+                        first = np.flatnonzero(new)
+                        place = (p.at[order] - begins[i]).astype(np.int32)
+                        rest = [None] * len(first)
+                        for k, (x, y) in enumerate(zip(first.tolist(), [*first[1:].tolist(), len(order)])):
+                            if y > x + 1:
+                                rest[k] = place[x + 1 : y].tolist()
+                        same, head = np.full(len(first), i), order[first]
+                        yield pa.RecordBatch.from_arrays([_signed(p.w1[head]), _signed(w2[head]), b.column(0).take(pa.array(same)), b.column(1).take(pa.array(same)), pa.array(place[first]), pa.array(rest, pa.list_(pa.int32()))], ["w1", "w2", "doc_id", "body", "at", "more"])
 
-    return docs.select("doc_id", "body", "text", "names").mapInArrow(run, "w1 long, w2 long, doc_id long, body long, at int")
+    return docs.select("doc_id", "body", "text", "names").mapInArrow(run, "w1 long, w2 long, doc_id long, body long, at int, more array<int>")
 
 
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -183,12 +192,15 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     names = stored(_names(single, window), "names")
     shared = names.groupBy("name").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("name")
     of_doc = cut(names.join(shared, "name").groupBy("doc_id", "body").agg(F.array_sort(F.collect_set("name")).alias("names")))
+    drop_stored(names)
     hit = small(of_doc.select("doc_id", "body"))
     found = stored(_windows(single.join(hit, ["doc_id", "body"], "left_semi").join(of_doc, ["doc_id", "body"]), window), "windows")
     least = found.groupBy("w1", "w2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("w1", "w2", "low")
-    later = found.join(least, ["w1", "w2"]).where("doc_id > low").groupBy("doc_id", "body").agg(F.array_sort(F.collect_set("at")).alias("starts"))
+    later = found.join(least, ["w1", "w2"]).where("doc_id > low").groupBy("doc_id", "body").agg(F.array_sort(F.flatten(F.collect_list(F.concat(F.array("at"), F.coalesce("more", F.array().cast("array<int>")))))).alias("starts"))
     whole = copies.select("doc_id", "body", F.lit(None).cast("array<int>").alias("starts"))
-    return cut(later.unionByName(whole))
+    out = cut(later.unionByName(whole))
+    drop_stored(found)
+    return out
 
 
 def covered(n_words: int, starts: np.ndarray | None, window: int) -> np.ndarray:

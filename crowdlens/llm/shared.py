@@ -48,6 +48,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_stored(df: DataFrame) -> None:
+    """Deletes the files of a stored table that nothing reads any more."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        if str(folder.toString()).replace("file:///", "file:/").startswith(shared_dir(spark).replace("file:///", "file:/")):
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Marked for broadcast if it has at most `rows` rows, which must be narrow; else left to a shuffle join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
