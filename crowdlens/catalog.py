@@ -1,11 +1,321 @@
-"""Registered queries over the driver's tables and the SQL they are checked against."""
+"""Registered queries over the driver's tables and the SQL they are checked against.
+
+The tables stand in for the domain: orders are posts (priority the entity, status the source, price the mood), line items give
+prices, documents are texts."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from .functions import sentiment, text
+from .operators import aggregates as agg
+from .operators import prices as px
+from .operators import series as ts
+from .operators import signals as sig
 
+FLAGSHIP = "attention_crossings"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-FLAGSHIP = "attention_crossings"
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def six(x: Column | str, name: str) -> Column:
+    return F.round(x, 6).alias(name)
+
+
+def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("date"), F.col("o_orderpriority").alias("e"), F.col("o_orderstatus").alias("source"), F.col("o_totalprice").alias("mood"))
+
+
+def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense days with mentions, n_posts and net_bullish."""
+    rows = posts(spark, sf_dir).groupBy("date", "e").agg(F.count("*").alias("mentions"), ((F.count_if(F.col("mood") > 150000) - F.count_if(F.col("mood") < 60000)) / F.count("*")).alias("net_bullish"))
+    return ts.spine(rows.withColumn("n_posts", F.col("mentions")), "e", "mentions").na.fill(0, ["n_posts"])
+
+
+def closes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_shipdate").cast("date").alias("date"), F.col("l_returnflag").alias("symbol")).agg(F.round(F.avg(F.col("l_extendedprice") / F.col("l_quantity")), 4).alias("px_last"))
+
+
+_DAILY = """
+raw AS (SELECT CAST(o_orderdate AS DATE) AS date, o_orderpriority AS e, count(*) AS mentions,
+        (count_if(o_totalprice > 150000) - count_if(o_totalprice < 60000)) / CAST(count(*) AS DOUBLE) AS net_bullish FROM orders GROUP BY 1, 2),
+days AS (SELECT CAST(unnest(generate_series((SELECT min(date) FROM raw), (SELECT max(date) FROM raw), INTERVAL 1 DAY)) AS DATE) AS date),
+dense AS (SELECT days.date, x.e, coalesce(mentions, 0) AS mentions, coalesce(mentions, 0) AS n_posts, net_bullish
+          FROM days CROSS JOIN (SELECT DISTINCT e FROM raw) x LEFT JOIN raw ON raw.date = days.date AND raw.e = x.e),
+sums AS (SELECT *, sum(mentions) OVER w AS m7, sum(coalesce(n_posts * net_bullish, 0)) OVER w AS p7, sum(n_posts) OVER w AS n7
+         FROM dense WINDOW w AS (PARTITION BY e ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)),
+zs AS (SELECT *, CASE WHEN count(m7) OVER b >= 28 AND stddev_samp(m7) OVER b > 1e-12 THEN (m7 - avg(m7) OVER b) / stddev_samp(m7) OVER b END AS att_z,
+         CASE WHEN count(p7) OVER b >= 28 AND stddev_samp(p7) OVER b > 1e-12 THEN (p7 - avg(p7) OVER b) / stddev_samp(p7) OVER b END AS conv_z,
+         p7 / nullif(n7, 0) AS share, (m7 - avg(m7) OVER (PARTITION BY e)) / stddev_samp(m7) OVER (PARTITION BY e) AS att_z_full
+       FROM sums WINDOW b AS (PARTITION BY e ORDER BY date ROWS BETWEEN 83 PRECEDING AND CURRENT ROW)),
+feats AS (SELECT *, share - lag(share, 5) OVER (PARTITION BY e ORDER BY date) AS sent_change FROM zs),
+flags AS (SELECT *, coalesce(att_z > 1 AND sent_change < -0.10, false) AS crowded FROM feats)"""
+_CLOSES = """px AS (SELECT CAST(l_shipdate AS DATE) AS date, l_returnflag AS symbol, round(avg(l_extendedprice / l_quantity), 4) AS px_last FROM lineitem GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {_DAILY}, z AS (SELECT *, lag(att_z) OVER (PARTITION BY e ORDER BY date) AS before FROM zs)
+SELECT date, e, CAST(m7 AS BIGINT) AS m7, round(att_z, 6) AS att_z FROM z WHERE att_z > 2.5 AND before <= 2.5""")
+def attention_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days on which an entity's trailing attention z crosses 2.5."""
+    w = ts.by()
+    x = daily(spark, sf_dir).withColumn("m7", ts.rolling_sum(F.col("mentions"), w)).withColumn("att_z", ts.trailing_z(F.col("m7"), w))
+    return x.withColumn("up", ts.crosses_above(F.col("att_z"), 2.5, w)).where("up").select("date", "e", "m7", six("att_z", "att_z"))
+
+
+@query("""SELECT CAST(o_orderdate AS DATE) AS date, o_orderpriority AS e, o_orderstatus AS source, count(*) AS mention_count FROM orders
+GROUP BY GROUPING SETS ((1, 2, 3), (1, 2))""")
+def counts_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2: counts by source and over all, in one pass."""
+    return agg.by_source_and_all(posts(spark, sf_dir), "e")
+
+
+@query(f"""WITH {_DAILY} SELECT date, e, round(conv_z, 6) AS conviction_z FROM zs WHERE conv_z IS NOT NULL""")
+def conviction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D2."""
+    return sig.features(daily(spark, sf_dir)).where("conv_z is not null").select("date", "e", six("conv_z", "conviction_z"))
+
+
+@query(f"""WITH {_DAILY} SELECT date, e, round(att_z_full, 6) AS att_z_full, coalesce(att_z_full > 1 AND sent_change > 0.10, false) AS swarm,
+coalesce(att_z_full > 1 AND sent_change < -0.10, false) AS crowded_top FROM feats WHERE att_z_full > 1""")
+def divergence_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D3, W5, W11."""
+    return sig.divergence(sig.features(daily(spark, sf_dir))).where("att_z_full > 1").select("date", "e", six("att_z_full", "att_z_full"), "swarm", "crowded_top")
+
+
+@query(f"""WITH {_DAILY}, c AS (SELECT *, lag(att_z) OVER w AS a0, lag(conv_z) OVER w AS c0, lag(crowded) OVER w AS cr0 FROM flags WINDOW w AS (PARTITION BY e ORDER BY date)),
+t AS (SELECT *, coalesce(att_z > 1.5 AND a0 <= 1.5, false) OR coalesce(conv_z > 1.5 AND c0 <= 1.5, false) AS buy_t,
+      coalesce(conv_z < -1.5 AND c0 >= -1.5, false) OR (crowded AND NOT coalesce(cr0, false)) AS sell_t FROM c),
+a AS (SELECT *, CASE WHEN buy_t AND sent_change > 0 THEN 'BUY' WHEN sell_t AND sent_change < 0 THEN 'SELL' END AS action FROM t)
+SELECT date, e, action, CASE WHEN action = 'BUY' THEN CAST(coalesce(att_z > 1.5, false) AS INT) + 1 + CAST(coalesce(conv_z > 1.5, false) AS INT) + CAST(NOT crowded AS INT)
+  ELSE CAST(crowded AS INT) + 1 + CAST(coalesce(conv_z < -1.5, false) AS INT) + CAST(coalesce(att_z > 1, false) AS INT) END AS score, round(sent_change, 6) AS sent_change
+FROM a WHERE action IS NOT NULL""")
+def signal_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D1.1-D1.7 at K 1.5, all scores."""
+    return sig.candidates(sig.features(daily(spark, sf_dir)), k=1.5, least_buy=0, least_sell=0).select("date", "e", "action", "score", six("sent_change", "sent_change"))
+
+
+@query()
+def trading_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted signals with reasons and certainty."""
+    return sig.certainty(sig.decide(sig.candidates(sig.features(daily(spark, sf_dir)), k=1.5, least_buy=3, least_sell=3)))
+
+
+@query(f"""WITH {_DAILY}, w AS (SELECT e, CAST(date + CAST((7 - isodow(date)) AS INT) AS DATE) AS week, sum(n_posts) AS n, sum(coalesce(n_posts * net_bullish, 0)) AS p FROM dense GROUP BY 1, 2)
+SELECT e, week, CAST(n AS BIGINT) AS n, round(p, 6) AS pressure, CASE WHEN n >= 10 THEN round(p / n, 6) END AS share FROM w""")
+def weekly_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D4, W23, F6."""
+    rows = daily(spark, sf_dir).groupBy("e", ts.week_end(F.col("date")).alias("week")).agg(F.sum("n_posts").alias("n"), F.sum(F.coalesce(F.col("n_posts") * F.col("net_bullish"), F.lit(0.0))).alias("p"))
+    return rows.select("e", "week", "n", six("p", "pressure"), F.when(F.col("n") >= 10, F.round(F.col("p") / F.col("n"), 6)).alias("share"))
+
+
+_TERM_STOP = ", ".join(f"'{w}'" for w in text.TERM_STOP)
+
+
+@query(f"""WITH p AS (SELECT DATE '2024-01-01' + CAST(doc_id % 60 AS INT) AS date, regexp_extract_all(regexp_replace(lower(text), '[^ -~]', ' ', 'g'), '[a-z][a-z0-9]{{2,}}') AS w FROM documents WHERE lang = 'en'),
+t AS (SELECT date, list_distinct(list_concat(list_filter(w, lambda x: x NOT IN ({_TERM_STOP})),
+  list_filter(list_transform(generate_series(1, len(w) - 1), lambda i: CASE WHEN w[i] NOT IN ({_TERM_STOP}) AND w[i + 1] NOT IN ({_TERM_STOP}) THEN w[i] || ' ' || w[i + 1] END), lambda x: x IS NOT NULL))) AS t FROM p),
+u AS (SELECT date, unnest(list_append(t, '__TOTAL__')) AS term FROM t)
+SELECT date, term, count(*) AS mention_count FROM u GROUP BY 1, 2 HAVING term = '__TOTAL__' OR count(*) >= CASE WHEN contains(term, ' ') THEN 5 ELSE 3 END""")
+def daily_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X8, A10."""
+    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 60).cast("int")).alias("date"), F.regexp_replace(F.lower("text"), "[^ -~]", " ").alias("text"))
+    return agg.daily_terms(docs, text.terms(F.col("text")))
+
+
+@query(r"""WITH w AS (SELECT unnest(regexp_extract_all(regexp_replace(text, '[^ -~]', ' ', 'g'), '\b[A-Za-z]{4,5}\b')) AS w FROM documents WHERE lang = 'en'),
+c AS (SELECT upper(w) AS ticker, count_if(w = upper(w)) AS caps_count, count_if(w <> upper(w)) AS lower_count FROM w GROUP BY 1)
+SELECT ticker, caps_count, lower_count, round(caps_count / CAST(caps_count + lower_count AS DOUBLE), 3) AS caps_share,
+CASE WHEN caps_count + lower_count >= 30 AND caps_count / CAST(caps_count + lower_count AS DOUBLE) < 0.5 THEN 'cashtag_only' ELSE 'normal' END AS classification,
+CASE WHEN caps_count + lower_count >= 30 THEN 'case_ratio' ELSE 'wordfreq' END AS decided_by FROM c""")
+def word_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A11, D21."""
+    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.regexp_replace("text", "[^ -~]", " ").alias("text"))
+    c = agg.caps_and_lower(docs).withColumn("c", text.classify(F.col("caps_count"), F.col("lower_count"), F.lit(0.0)))
+    return c.select("ticker", "caps_count", "lower_count", F.round(F.col("caps_count") / (F.col("caps_count") + F.col("lower_count")), 3).alias("caps_share"), "c.classification", "c.decided_by")
+
+
+THEMES = {"motion": ["ing", "tion", "er the"], "place": ["at", "in", "on the"], "thought": ["and", "of the"]}
+
+
+@query("""WITH d AS (SELECT DATE '2024-01-01' + CAST(doc_id % 60 AS INT) AS date, lower(text) AS t, regexp_extract_all(regexp_replace(lower(text), '[^ -~]', ' ', 'g'), '[a-z0-9]+') AS w FROM documents WHERE lang = 'en'),
+h AS (SELECT date, unnest(['motion', 'place', 'thought']) AS theme, unnest([list_has_any(w, ['ing', 'tion']) OR contains(t, 'er the'), list_has_any(w, ['at', 'in']) OR contains(t, 'on the'), list_contains(w, 'and') OR contains(t, 'of the')]) AS hit FROM d)
+SELECT date, theme, count(*) AS mention_count FROM h WHERE hit GROUP BY 1, 2""")
+def theme_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X4-X7, A4."""
+    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 60).cast("int")).alias("date"), F.regexp_replace(F.lower("text"), "[^ -~]", " ").alias("text"))
+    return agg.daily_counts(docs, text.themes(F.col("text"), THEMES), name="theme")
+
+
+_MAP = [("1-URGENT", "hot"), ("2-HIGH", "hot"), ("2-HIGH", "busy"), ("3-MEDIUM", "busy"), ("5-LOW", "calm")]
+
+
+@query(f"""WITH m(e, theme) AS (VALUES {", ".join(map(str, _MAP))}), c AS (SELECT CAST(o_orderdate AS DATE) AS date, o_orderpriority AS e, o_orderstatus AS s, count(*) AS n FROM orders GROUP BY ALL),
+i AS (SELECT date, theme, sum(n) AS n FROM c JOIN m USING (e) WHERE s = 'F' GROUP BY ALL), k AS (SELECT date, theme, sum(n) AS n FROM c JOIN m USING (e) WHERE s = 'O' GROUP BY ALL)
+SELECT date, theme, CAST(coalesce(k.n, 0) AS BIGINT) AS keyword_count, CAST(coalesce(i.n, 0) AS BIGINT) AS inferred_count FROM k FULL JOIN i USING (date, theme)""")
+def theme_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J1, J5, A5."""
+    mapping = spark.createDataFrame(_MAP, "e string, theme string")
+    c = posts(spark, sf_dir).groupBy("date", "e", "source").agg(F.count("*").alias("mention_count"))
+    inferred = agg.inferred_counts(c.where("source = 'F'"), mapping, "e")
+    keyword = agg.inferred_counts(c.where("source = 'O'"), mapping, "e").select("date", "theme", F.col("inferred_count").alias("keyword_count"))
+    return agg.combine_themes(keyword, inferred).select("date", "theme", "keyword_count", "inferred_count")
+
+
+@query("""WITH d AS (SELECT source, lang, CASE WHEN quality = 1 THEN 0.6 WHEN toxic = 1 THEN -0.4 ELSE 0.0 END AS s FROM documents JOIN labels USING (doc_id))
+SELECT source, lang, count(*) AS n_posts, round(avg(s), 6) AS avg_sentiment, round((count_if(s > 0.05) - count_if(s < -0.05)) / CAST(count(*) AS DOUBLE), 6) AS net_bullish FROM d GROUP BY 1, 2""")
+def daily_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A6."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", "lang").join(table(spark, sf_dir, "labels"), "doc_id")
+    scored = rows.withColumn("sentiment", F.when(F.col("quality") == 1, 0.6).when(F.col("toxic") == 1, -0.4).otherwise(0.0))
+    return agg.daily_sentiment(scored, ("source", "lang")).select("source", "lang", "n_posts", six("avg_sentiment", "avg_sentiment"), six("net_bullish", "net_bullish"))
+
+
+@query("""WITH d AS (SELECT o_orderpriority AS e, o_orderstatus AS s, count(*) AS n, avg(o_totalprice / 1000) AS a FROM orders GROUP BY 1, 2)
+SELECT e, CAST(sum(n) AS BIGINT) AS n_posts, round(sum(a * n) / sum(n), 6) AS avg_sentiment FROM d GROUP BY 1""")
+def merged_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches by source, merged."""
+    rows = posts(spark, sf_dir).withColumn("x", F.col("mood") / 1000)
+    part = lambda s: rows.where(F.col("source") == s).groupBy("e").agg(F.count("*").alias("n_posts"), F.avg("x").alias("avg_sentiment"), F.avg("x").alias("net_bullish"))
+    return agg.merge_sentiment(agg.merge_sentiment(part("F"), part("O"), ["e"]), part("P"), ["e"]).select("e", "n_posts", six("avg_sentiment", "avg_sentiment"))
+
+
+@query(f"""WITH {_CLOSES}, asks AS (SELECT symbol, CAST(d AS DATE) AS date FROM (SELECT DISTINCT symbol FROM px) CROSS JOIN (SELECT unnest(generate_series(DATE '1996-01-07', DATE '1997-12-31', INTERVAL 7 DAY)) AS d)),
+h AS (SELECT *, unnest([5, 10, 20]) AS horizon FROM asks), p0 AS (SELECT h.*, px_last AS p0 FROM h ASOF LEFT JOIN px ON px.symbol = h.symbol AND px.date <= h.date),
+e AS (SELECT *, CAST(date + horizon AS DATE) AS until FROM p0), p1 AS (SELECT e.*, px_last AS p1 FROM e ASOF LEFT JOIN px ON px.symbol = e.symbol AND px.date <= e.until)
+SELECT symbol, p1.date, horizon, p0, p1, CASE WHEN until <= (SELECT max(date) FROM px x WHERE x.symbol = p1.symbol) THEN round((p1 / p0 - 1) * 100, 6) END AS ret FROM p1""")
+def report_card(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As-of prices and forward returns."""
+    p = closes(spark, sf_dir)
+    asks = p.select("symbol").distinct().withColumn("date", F.explode(F.expr("sequence(date'1996-01-07', date'1997-12-31', interval 7 days)")))
+    return px.forward_returns(asks, p).select("symbol", "date", "horizon", "p0", "p1", six("ret", "ret"))
+
+
+@query("""WITH t AS (SELECT CASE WHEN l_linestatus = 'O' THEN 'BUY' ELSE 'SELL' END AS action, CASE WHEN l_linestatus = 'O' THEN 1 ELSE -1 END * (l_quantity - 25) AS pnl FROM lineitem)
+SELECT coalesce(action, 'ALL') AS side, count(*) AS n, round(avg(pnl), 6) AS mean, round(sum(pnl), 6) AS total, min(pnl) AS worst, max(pnl) AS best, round(count_if(pnl > 0) / CAST(count(*) AS DOUBLE), 6) AS hit_rate,
+round(avg(pnl) / stddev_samp(pnl) * sqrt(252 / 20.0), 6) AS sharpe FROM t GROUP BY ROLLUP (action)""")
+def strategy_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A21, D11, D16."""
+    t = table(spark, sf_dir, "lineitem").withColumn("action", F.when(F.col("l_linestatus") == "O", "BUY").otherwise("SELL"))
+    s = px.scorecard(t.select("action", px.signed(F.col("action"), F.col("l_quantity") - 25).alias("pnl")))
+    return s.select("side", "n", six("mean", "mean"), six("total", "total"), "worst", "best", six("hit_rate", "hit_rate"), six("sharpe", "sharpe"))
+
+
+@query(f"""WITH {_DAILY}, k AS (SELECT unnest(generate_series(-15, 15)) AS k), x AS (SELECT e, date, mentions AS x, n_posts * coalesce(net_bullish, 0) AS y FROM dense)
+SELECT a.e, CAST(k AS INT) AS k, round(corr(a.x, b.y), 6) AS corr FROM x a CROSS JOIN k JOIN x b ON a.e = b.e AND b.date = CAST(a.date + CAST(k AS INT) AS DATE) GROUP BY 1, 2""")
+def lead_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A24."""
+    pairs = daily(spark, sf_dir).select("e", "date", F.col("mentions").alias("x"), (F.col("n_posts") * F.coalesce("net_bullish", F.lit(0.0))).alias("y"))
+    return ts.lead_lag(pairs, 15).select("e", "k", six("corr", "corr"))
+
+
+@query("""WITH e AS (SELECT o_orderpriority AS e, list_distinct(list_sort(quantile_cont(o_totalprice, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS edges FROM orders GROUP BY 1),
+b AS (SELECT o_orderpriority AS e, o_totalprice AS x, greatest(1, len(list_filter(edges, lambda y: y < o_totalprice - 1e-7))) AS bin FROM orders JOIN e ON e.e = o_orderpriority)
+SELECT e, CAST(bin AS INT) AS bin, count(*) AS n, round(avg(x), 4) AS mean FROM b GROUP BY 1, 2""")
+def deciles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Right-closed quantile bins; both sides allow for 1e-7 of interpolation error."""
+    rows = posts(spark, sf_dir)
+    edges = rows.groupBy("e").agg(F.array_distinct(F.percentile("mood", F.array(*[F.lit(i / 10) for i in range(11)]))).alias("edges"))
+    binned = rows.join(F.broadcast(edges), "e").withColumn("bin", ts.quantile_bin(F.col("mood") - 1e-7, F.col("edges")))
+    return binned.groupBy("e", "bin").agg(F.count("*").alias("n"), F.round(F.avg("mood"), 4).alias("mean"))
+
+
+@query("""WITH d AS (SELECT DISTINCT o_orderstatus AS e, CAST(o_orderdate AS DATE) AS date FROM orders WHERE o_totalprice > 390000),
+g AS (SELECT *, CASE WHEN date_diff('day', lag(date) OVER (PARTITION BY e ORDER BY date), date) > 10 THEN 1 ELSE 0 END AS cut FROM d),
+c AS (SELECT *, sum(cut) OVER (PARTITION BY e ORDER BY date) AS c FROM g), l AS (SELECT e, c, list(date ORDER BY date) AS ds FROM c GROUP BY 1, 2)
+SELECT e, ds[1] AS first_date, ds[len(ds)] AS last_date, ds[CAST(floor(len(ds) / 2) AS INT) + 1] AS middle, CAST(len(ds) AS BIGINT) AS n FROM l WHERE len(ds) >= 2""")
+def signal_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W26."""
+    return ts.clusters(posts(spark, sf_dir).where("mood > 390000").select(F.col("source").alias("e"), "date").distinct(), ["e"])
+
+
+@query("""WITH d AS (SELECT o_custkey AS id, o_orderkey AS k, o_totalprice AS x, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders)
+SELECT id, k, x FROM d WHERE rn = 1""")
+def first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F8."""
+    from .sources.normalise import first_seen as first
+
+    rows = table(spark, sf_dir, "orders")
+    return first(rows, ["o_custkey"], [F.col("o_orderdate"), F.col("o_orderkey")]).select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("x"))
+
+
+@query("""WITH c AS (SELECT year(o_orderdate) AS y, o_orderpriority AS e, count(*) AS n FROM orders GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY n DESC, e) AS r FROM c)
+SELECT CAST(y AS INT) AS year, e, n, CAST(r AS INT) AS rank, round(n / CAST(sum(n) OVER (PARTITION BY y) AS DOUBLE), 6) AS share FROM r QUALIFY r <= 3""")
+def top_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W22, A31."""
+    c = posts(spark, sf_dir).groupBy(F.year("date").alias("year"), "e").agg(F.count("*").alias("n"))
+    w = W.partitionBy("year")
+    out = c.withColumn("rank", F.row_number().over(w.orderBy(F.desc("n"), "e"))).withColumn("share", F.round(F.col("n") / F.sum("n").over(w), 6))
+    return out.where("rank <= 3").select("year", "e", "n", "rank", "share")
+
+
+@query("""WITH c AS (SELECT o_orderstatus AS source, year(o_orderdate) AS y, month(o_orderdate) AS m, count(*) AS n FROM orders GROUP BY ALL)
+SELECT source, CAST(y AS INT) AS year, """ + ", ".join(f"CAST(sum(n) FILTER (m = {m}) AS BIGINT) AS m{m}" for m in range(1, 13)) + " FROM c GROUP BY 1, 2")
+def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A15, D22."""
+    m = agg.coverage_matrix(posts(spark, sf_dir).select("source", "date"))
+    return m.select("source", "year", *[F.col(f"`{i}`").alias(f"m{i}") for i in range(1, 13)])
+
+
+@query("""WITH t AS (SELECT CAST(o_orderdate AS DATE) AS date, o_clerk FROM (SELECT *, concat('c', CAST(o_custkey % 50 AS VARCHAR)) AS o_clerk FROM orders)),
+c AS (SELECT date, o_clerk AS term, count(*) AS n FROM t GROUP BY 1, 2 UNION ALL SELECT date, '__TOTAL__', count(*) FROM t GROUP BY 1),
+s AS (SELECT term, coalesce(sum(n) FILTER (date > DATE '1998-01-01' - 90), 0) AS n, coalesce(sum(n) FILTER (date <= DATE '1998-01-01' - 90 AND date > DATE '1998-01-01' - 390), 0) AS b FROM c WHERE date <= DATE '1998-01-01' GROUP BY 1)
+SELECT s.term, CAST(s.n AS BIGINT) AS n, CAST(s.b AS BIGINT) AS b, round((s.n / CAST(t.n AS DOUBLE)) / ((s.b + 1) / CAST(t.b AS DOUBLE)), 6) AS ratio FROM s, (SELECT n, b FROM s WHERE term = '__TOTAL__') t WHERE s.term <> '__TOTAL__' AND s.n >= 2""")
+def emerging_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A18, D19."""
+    t = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("date"), F.concat(F.lit("c"), (F.col("o_custkey") % 50).cast("string")).alias("term")).where("date <= date'1998-01-01'")
+    counted = agg.daily_terms(t, F.array("term"), 1, 1)
+    return agg.emerging(counted, F.lit("1998-01-01").cast("date"), 90, 300, 2).select("term", "n", "b", six("ratio", "ratio"))
+
+
+@query(f"""WITH {_CLOSES}, w AS (SELECT DISTINCT symbol, DATE '1994-06-01' AS s, DATE '2003-06-30' AS e FROM px UNION ALL SELECT 'ZZ', DATE '2000-01-01', DATE '2000-02-01'),
+h AS (SELECT symbol, min(date) AS lo, max(date) AS hi FROM px GROUP BY 1), x AS (SELECT * FROM w LEFT JOIN h USING (symbol))
+SELECT symbol, s AS start, e AS "end" FROM x WHERE lo IS NULL UNION ALL SELECT symbol, s, CAST(lo - 1 AS DATE) FROM x WHERE lo - s > 3 UNION ALL SELECT symbol, CAST(hi + 1 AS DATE), e FROM x WHERE e - hi > 3""")
+def price_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J15, D20."""
+    p = closes(spark, sf_dir)
+    wanted = p.select("symbol").distinct().select("symbol", F.expr("date'1994-06-01'").alias("start"), F.expr("date'2003-06-30'").alias("end")).unionByName(spark.sql("select 'ZZ' as symbol, date'2000-01-01' as start, date'2000-02-01' as end"))
+    return px.plan_requests(wanted, p)
+
+
+@query("""WITH d AS (SELECT event_type AS e, CAST(ts AS DATE) AS date, count(*) AS n FROM events GROUP BY 1, 2), g AS (SELECT e, date, n FROM d WHERE date < DATE '2024-01-15' UNION ALL SELECT e, date, n * 2 FROM d WHERE date >= DATE '2024-01-15')
+SELECT e, date, CAST(n AS BIGINT) AS n FROM g""")
+def spliced_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SO5, ST5: a recomputed tail."""
+    c = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("e"), F.col("ts").cast("date").alias("date")).agg(F.count("*").alias("n"))
+    return agg.splice(c, c.withColumn("n", F.col("n") * 2), F.lit("2024-01-15").cast("date"))
+
+
+@query()
+def inflections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D6, W16, W18, W19."""
+    return ts.inflection(posts(spark, sf_dir).groupBy("e", "date").agg(F.count("*").alias("n")))
+
+
+@query()
+def share_flips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of the five-day change in sentiment share."""
+    return ts.flips(sig.features(daily(spark, sf_dir)).select("e", "date", F.col("sent_change").alias("x")))
+
+
+@query()
+def lexicon_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U1."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(sentiment.score(F.col("text")), 6).alias("sentiment"))
