@@ -1,0 +1,252 @@
+"""The operators against brute force, exact round trips and held-out accuracy, with nulls, empty texts, ties and repeated rows."""
+
+import collections
+import hashlib
+import io
+import math
+import random
+import re
+import zipfile
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from crowdlens.llm import chat_format, compression_lid, edit_match, lsh_forest, nn_descent, recompression, site_template, source_schedule, suffix_tree, zip_archive
+from crowdlens.llm.shared import components, hashed_fold
+
+WORDS = re.compile("[^\x20\x09-\x0d]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, extra string"
+
+
+def made(n=60, seed=1):
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 4))) for _ in range(300)]
+    rows = []
+    shared = [rng.choice(vocabulary) for _ in range(70)]
+    for i in range(n):
+        w = [rng.choice(vocabulary) for _ in range(rng.randint(1, 160))]
+        if i % 4 == 0:
+            w[len(w) // 2 : len(w) // 2] = shared
+        if i % 7 == 3:
+            w = rows[i - 1][1].split()
+            w[rng.randrange(len(w))] = "changed"
+        if i % 11 == 5:
+            w = rows[i - 2][1].split()
+        rows.append((i, " ".join(w), "en", f"s{i % 5}", 0, "x"))
+    rows += [(900, None, None, None, None, None), (901, "", "en", "s1", 0, ""), (902, "a " * 300, "en", "s1", 0, ""), (903, "b " + "a " * 200, "en", None, 0, ""), (904, "One  two", "en", "", 0, ""), (905, "one two", "en", "s1", 0, ""), rows[0]]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(made(), SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(5, 4), (4, 3), (9, 8), (8, 8), (7, 9), (3, 5)], "a long, b long")
+    assert sorted(map(tuple, components(edges).collect())) == [(3, 3), (4, 3), (5, 3), (7, 7), (8, 7), (9, 7)]
+
+
+def test_repeats_equal_brute_force(docs, empty):
+    got = {r.doc_id: tuple(r)[1:] for r in recompression.remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()}
+    texts = {r[0]: WORDS.findall(r[1] or "") for r in made()}
+    first = {}
+    for i in sorted(texts):
+        for p in range(len(texts[i]) - 49):
+            first.setdefault(tuple(texts[i][p : p + 50]), i)
+    for i, w in texts.items():
+        keep = [True] * len(w)
+        for p in range(len(w) - 49):
+            if first[tuple(w[p : p + 50])] < i:
+                keep[p : p + 50] = [False] * 50
+        assert got[i] == (len(w), keep.count(False), hashlib.sha256(" ".join(x for x, k in zip(w, keep) if k).encode()).hexdigest()), i
+    assert recompression.remove_repeats(empty).count() == 0
+
+
+def test_similar_equals_brute_force(docs, empty):
+    got = {r.doc_id: (r.n_links, r.component_id) for r in lsh_forest.similar(docs).collect()}
+    sets = {}
+    for i, t, *_ in made():
+        w = WORDS.findall((t or "").lower())
+        if w:
+            sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))}
+    links = {i: [j for j in sets if j != i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])] for i in sets}
+    for i in sets:
+        seen, queue = {i}, [i]
+        while queue:
+            new = [j for j in links[queue.pop()] if j not in seen]
+            seen.update(new)
+            queue += new
+        assert got[i] == (len(links[i]), min(seen)), i
+    assert got[900] == (0, 900) and got[901] == (0, 901) and lsh_forest.similar(empty).count() == 0
+
+
+def test_prefix_shortens_until_the_recall_is_met():
+    k = lsh_forest.prefix()
+    assert 1 - (1 - 0.8**k) ** 40 >= 0.999 > 1 - (1 - 0.8 ** (k + 1)) ** 40
+
+
+def test_suffix_tree_counts_and_distribution(docs, empty):
+    rows = suffix_tree.score_texts(docs, hashed_fold("doc_id", 7, 2)).collect()
+    assert len(rows) == len(made())
+    tokens = {i: [*WORDS.findall((t or "").lower()), None] for i, t, *_ in made()}
+    c = collections.Counter(w for i, *_ in made() if zlib.crc32(str(i).encode()) % 7 != 2 for w in tokens[i])
+    n, v = sum(c.values()), len(c)
+    for r in rows:
+        x = tokens[r.doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(x), sum(w in c for w in x), n)
+        assert math.isclose(r.base_score, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in x), rel_tol=1e-9)
+        assert r.score <= 0
+    assert suffix_tree.score_texts(empty, hashed_fold("doc_id", 7, 2)).count() == 0
+    # in every context the probabilities of all words add up to one
+    rng = np.random.default_rng(0)
+    u, w = rng.integers(1, 4, 400).astype(np.uint16), rng.integers(0, 6, 400).astype(np.uint16)
+    p0 = np.zeros(65536)
+    p0[:6] = [0.3, 0.2, 0.2, 0.1, 0.1, 0.1]
+    asked = np.arange(6, dtype=np.uint16)
+    p = suffix_tree.context_scores(np.append(u, np.full(6, 2, np.uint16)), np.full(406, 9, np.uint16), np.append(w, asked), np.append(np.ones(400), np.zeros(6)), p0)
+    assert math.isclose(p[400:].sum(), 1, abs_tol=1e-9)
+
+
+def test_language_id(spark, empty):
+    rng = random.Random(3)
+    lang = {"aa": "the and of to in that which".split(), "bb": "le la de que et dans une".split()}
+    rows = [(i, " ".join(rng.choice(lang[k]) + rng.choice(["", "s"]) for _ in range(40)), k, k, 0, "") for i in range(200) for k in ["aa" if i % 2 else "bb"]]
+    d = spark.createDataFrame([*rows, (998, None, "aa", "", 0, ""), (999, "123 !!", None, "", 0, "")], SCHEMA)
+    held = hashed_fold("doc_id", 4, 2)
+    got = compression_lid.identify(d, compression_lid.learn(d, ~held)).where(held | (F.col("doc_id") > 900)).collect()
+    assert all(r.lang_pred == r.lang and 0 <= r.lang_score <= 1 for r in got if r.doc_id < 900)
+    assert {r.lang_pred for r in got if r.doc_id > 900} <= {"und"}
+    assert compression_lid.identify(empty, compression_lid.learn(empty)).count() == 0
+
+
+def test_mix_reaches_its_targets(docs, empty):
+    rows = source_schedule.mix(docs).collect()
+    assert len(rows) == len(made()) and sorted(map(tuple, rows), key=repr) == sorted(map(tuple, source_schedule.mix(docs).collect()), key=repr)
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r.source].append(r)
+        assert r.size == len(WORDS.findall(next(t or "" for i, t, *_ in made() if i == r.doc_id))) and 0 <= r.taken <= 2 * r.size
+    total = 1.5 * sum(r.size for r in rows)
+    weights = dict(zip(sorted(by, key=lambda s: (s is None, s or "")), [3, 1, 2] * 9))
+    caps = {s: 2.0 * sum(r.size for r in x) for s, x in by.items()}
+    full: set = set()
+    while True:
+        level = (total - sum(caps[s] for s in full)) / max(1e-9, sum(w for s, w in weights.items() if s not in full))
+        more = {s for s in weights if s not in full and level * weights[s] > caps[s]}
+        if not more:
+            break
+        full |= more
+    for s, x in by.items():
+        aim = caps[s] if s in full else level * weights[s]
+        assert math.isclose(x[0].target, aim, abs_tol=1e-6) and abs(sum(r.taken for r in x) - aim) <= 1
+    assert source_schedule.mix(empty).count() == 0
+
+
+def test_each_slot_has_one_source(docs):
+    taken = source_schedule.schedule(docs).where("slot is not null").groupBy("slot").agg(F.count_distinct(F.struct("source")).alias("n"))
+    assert taken.where("n > 1").count() == 0
+
+
+def test_chat_reads_back(spark):
+    rows = [(1, 0, "user", "\\### Assistant: </turn> ok"), (1, 1, "assistant", "a<|end|>\nb\\<|x|><"), (1, 2, "assistant", "|><|"), (2, None, None, None), (3, 0, "end", "\nx<"), (3, 1, "a|>\\", "<|turn:b|>"), (3, 1, "a|>\\", "<|turn:b|>")]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for r in chat_format.digest(chat_format.format_chats(d)).collect():
+        own = [(b or "", t or "") for c, _, b, t in rows if c == r.conv_id]
+        loss = "".join(t for b, t in own if b == "assistant")
+        assert (r.n_turns, r.turns_sha256) == (len(own), hashlib.sha256("".join(f"{b}\n{t}\n" for b, t in own).encode()).hexdigest())
+        assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert chat_format.format_chats(d.limit(0)).count() == 0
+
+
+def test_chat_parts(spark):
+    from pyspark.sql import types as T
+
+    part = lambda kind, text=None, ref=None, **m: (kind, text, ref, m.get("width"), m.get("height"), m.get("seconds"), m.get("pages"))
+    rows = [(1, 0, "user", [part("text", "see <|image:1|>"), part("image", ref="a", width=56, height=29), part("audio", ref="b", seconds=2.5)]), (1, 1, "assistant", [part("document", ref="d", pages=3), None]), (1, 2, "user", None)]
+    d = spark.createDataFrame(rows, T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()), T.StructField("role", T.StringType()), T.StructField("parts", T.ArrayType(chat_format.PART))]))
+    r = chat_format.format_chats(d).first()
+    assert "see <\\|image:1|><|image:1|><|audio:2|>" in r.formatted and "<|document:3|>" in r.formatted
+    assert [(a.number, a.ref, a.tokens) for a in r.attachments] == [(1, "a", 4), (2, "b", 63), (3, "d", 3072)] and r.expanded_tokens == 3139
+
+
+def test_myers_and_pieces():
+    rng = random.Random(1)
+    for _ in range(200):
+        p = "".join(rng.choice("abc") for _ in range(rng.randint(1, 80)))
+        t, k = "".join(rng.choice("abc") for _ in range(rng.randint(0, 50))) + p[rng.randint(0, 9) :], rng.randint(0, 9)
+        row, best = list(range(len(p) + 1)), (k + 1, -1)
+        for j, c in enumerate(t):
+            old, row = row, [0]
+            for i in range(1, len(p) + 1):
+                row.append(min(old[i - 1] + (p[i - 1] != c), old[i] + 1, row[i - 1] + 1))
+            if row[-1] < best[0]:
+                best = (row[-1], j + 1)
+        assert edit_match.myers(edit_match.peq(p), len(p), t, k) == best
+    assert "".join(x for _, x in edit_match.split("abcdefghij", 3)) == "abcdefghij"
+
+
+def test_decontamination(spark, empty):
+    item = "The quick brown fox jumps over the lazy dog while seventeen clever otters applaud politely"
+    bench = spark.createDataFrame([(1, item), (2, "short"), (3, None)], "item_id long, text string")
+    near = item.replace("clever", "clevr").upper()
+    d = spark.createDataFrame([(i, t, "en", "s", 0, "") for i, t in enumerate(["x " + item, near + "!", "the quick brown fox is elsewhere", None, "", item[:40]])], SCHEMA)
+    assert {(r.doc_id, r.item_id, r.distance) for r in edit_match.matches(d, bench).collect()} == {(0, 1, 0), (1, 1, 1)}
+    assert sorted(r.doc_id for r in edit_match.decontaminate(d, bench).collect()) == [2, 3, 4, 5]
+    assert edit_match.matches(empty, bench).count() == 0 and edit_match.matches(d, bench.limit(0)).count() == 0
+
+
+def test_archive_round_trip(spark):
+    rows = [(5, "u", "x" * 200), (3, "v", "x" * 200), (9, "w\r\n", "x" * 200), (1, None, None), (2, "", "short"), (4, "", "short")]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: tuple(r)[1:] for r in zip_archive.archive_round_trip(d).collect()}
+    for i, _, h in rows:
+        raw = (h or "").encode()
+        again = i in (5, 9)
+        assert got[i] == (len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if again else "response", 3 if again else None)
+    assert zip_archive.archive_round_trip(d.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("zip64", [False, True])
+def test_zip_directories(zip64):
+    out = io.BytesIO()
+    z = zip_archive.ZipWriter(out, zip64)
+    z.add("a", [b"hello"])
+    z.add("é", [b""])
+    z.close()
+    assert zipfile.ZipFile(out).testzip() is None
+    found = zip_archive.members(out, len(out.getvalue()))
+    out.seek(zip_archive.data_start(out, found["a"]))
+    assert out.read(5) == b"hello" and list(found) == ["a", "é"]
+    with pytest.raises(ValueError):
+        zip_archive.members(io.BytesIO(b"no archive"), 10)
+
+
+def test_near_vectors_equal_brute_force(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((300, 16))
+    x[200:240] = x[0] + 0.05 * rng.standard_normal((40, 16))
+    x[250] = 3 * x[1]
+    x[251] = x[2]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(400, None), (401, [0.0] * 16), (402, [float("nan")] * 16), (403, [None] * 16), (404, [])]
+    got = {r.vec_id: r for r in nn_descent.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    adj = u @ u.T >= 0.95
+    np.fill_diagonal(adj, False)
+    assert [got[i].n_links for i in range(300)] == adj.sum(1).tolist()
+    assert got[251].component_id == 2 and not got[251].kept and all(got[i].n_links == 0 and got[i].kept for i in range(400, 405))
+
+
+def test_extraction(spark):
+    page = "<body><header><h1>Site</h1></header><nav>m</nav><main><article><header><h1>T &amp; t</h1><p>by X</p></header><p>A<b>b</b>\n c<br>d<p>E&nbsp;f<ul><li>x<li>y</ul><aside>no</aside><div class='cookie-notice'>z</div></article></main><section id=comments><p>reader</p></section><footer>f</footer>"
+    assert site_template.extract(page) == "T & t\nAb c d\nE f\nx\ny"
+    rows = [(i, f"http://h.example/{i}", f"<article><div><span>Buy now</span></div><p>text {i}</p></article>") for i in range(6)] + [(9, None, None), (10, "http://h.example/x", "")]
+    got = {r.page_id: r.text for r in site_template.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"text {i}" for i in range(6)} | {9: "", 10: ""}
