@@ -14,6 +14,7 @@ from pyspark.sql.window import Window as W
 from .functions import sentiment, text
 from .operators import aggregates as agg
 from .operators import prices as px
+from .operators import reports as rep
 from .operators import series as ts
 from .operators import signals as sig
 
@@ -114,8 +115,9 @@ def signal_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def trading_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accepted signals with reasons and certainty."""
-    return sig.certainty(sig.decide(sig.candidates(sig.features(daily(spark, sf_dir)), k=1.5, least_buy=3, least_sell=3)))
+    """Accepted signals with reasons and certainty; the fifth check is that both sources rise."""
+    x = sig.features(daily(spark, sf_dir)).join(rep.both_rising(by_source(spark, sf_dir), "F", "O").select("e", "date", "both_rising"), ["e", "date"], "left")
+    return sig.certainty(sig.decide(sig.candidates(x, k=1.5, least_buy=3, least_sell=3)))
 
 
 @query(f"""WITH {_DAILY}, w AS (SELECT e, CAST(date + CAST((7 - isodow(date)) AS INT) AS DATE) AS week, sum(n_posts) AS n, sum(coalesce(n_posts * net_bullish, 0)) AS p FROM dense GROUP BY 1, 2)
@@ -233,7 +235,7 @@ def deciles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Right-closed quantile bins; both sides allow for 1e-7 of interpolation error."""
     rows = posts(spark, sf_dir)
     edges = rows.groupBy("e").agg(F.array_distinct(F.percentile("mood", F.array(*[F.lit(i / 10) for i in range(11)]))).alias("edges"))
-    binned = rows.join(F.broadcast(edges), "e").withColumn("bin", ts.quantile_bin(F.col("mood") - 1e-7, F.col("edges")))
+    binned = rows.join(edges, "e").withColumn("bin", ts.quantile_bin(F.col("mood") - 1e-7, F.col("edges")))
     return binned.groupBy("e", "bin").agg(F.count("*").alias("n"), F.round(F.avg("mood"), 4).alias("mean"))
 
 
@@ -319,3 +321,126 @@ def share_flips(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lexicon_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """U1."""
     return table(spark, sf_dir, "documents").select("doc_id", F.round(sentiment.score(F.col("text")), 6).alias("sentiment"))
+
+
+def by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return posts(spark, sf_dir).groupBy("e", "date", "source").agg(F.count("*").alias("n"))
+
+
+def convictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sig.features(daily(spark, sf_dir)).where("conv_z is not null").select("date", "e", F.col("conv_z").alias("conviction_z"))
+
+
+@query(f"""WITH {_DAILY}, t AS (SELECT max(date) AS "end" FROM dense),
+n AS (SELECT e, sum(mentions) FILTER (date > "end" - 7) AS a, sum(mentions) FILTER (date <= "end" - 7) AS b FROM dense, t WHERE date > "end" - 14 GROUP BY 1),
+c AS (SELECT e, arg_max(conv_z, date) AS now, arg_max(conv_z, date) FILTER (date <= "end" - 7) AS ago FROM zs, t WHERE conv_z IS NOT NULL GROUP BY 1)
+SELECT e, CAST(a AS BIGINT) AS mentions_7d, CAST(b AS BIGINT) AS mentions_prior7d, CAST(a - b AS BIGINT) AS velocity_chg, round(now, 6) AS conv_now, round(ago, 6) AS conv_week_ago, round(now - ago, 6) AS conv_chg_7d FROM n LEFT JOIN c USING (e)""")
+def week_lookback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D12, A19, A20."""
+    x = rep.lookback(daily(spark, sf_dir), convictions(spark, sf_dir), value="mentions")
+    return x.select("e", "mentions_7d", "mentions_prior7d", "velocity_chg", six("conv_now", "conv_now"), six("conv_week_ago", "conv_week_ago"), six("conv_chg_7d", "conv_chg_7d"))
+
+
+@query(f"""WITH {_DAILY}, c AS (SELECT e, date, conv_z FROM zs WHERE conv_z IS NOT NULL), s AS (SELECT e, avg(conv_z) AS score FROM c WHERE date >= (SELECT max(date) FROM c) - 30 GROUP BY 1),
+m AS (SELECT *, e IN ('1-URGENT', '2-HIGH', '3-MEDIUM') AS anchored FROM s), d AS (SELECT coalesce(median(score), 0) AS median FROM m WHERE anchored)
+SELECT e, round(score, 6) AS score, anchored, round(median, 6) AS median, NOT anchored AND score > median AS gap FROM m, d""")
+def opportunity_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D13, A26, A28."""
+    anchors = spark.createDataFrame([("1-URGENT",), ("2-HIGH",), ("3-MEDIUM",)], "e string")
+    return rep.opportunity_gap(convictions(spark, sf_dir), anchors).select("e", six("score", "score"), "anchored", six("median", "median"), "gap")
+
+
+_PAIR = """c AS (SELECT o_orderpriority AS e, CAST(o_orderdate AS DATE) AS date, count_if(o_orderstatus = 'F') AS a, count_if(o_orderstatus = 'O') AS b FROM orders GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {_PAIR}, days AS (SELECT CAST(unnest(generate_series((SELECT min(date) FROM c), (SELECT max(date) FROM c), INTERVAL 1 DAY)) AS DATE) AS date),
+d AS (SELECT days.date, x.e, coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM days CROSS JOIN (SELECT DISTINCT e FROM c) x LEFT JOIN c ON c.date = days.date AND c.e = x.e),
+s AS (SELECT *, sum(a) OVER w AS a7, sum(b) OVER w AS b7 FROM d WINDOW w AS (PARTITION BY e ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW))
+SELECT e, date, CAST(a7 AS BIGINT) AS a7, CAST(b7 AS BIGINT) AS b7, coalesce(a7 > lag(a7, 5) OVER v AND b7 > lag(b7, 5) OVER v AND max(b7) OVER (PARTITION BY e ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) > 0, false) AS both_rising
+FROM s WINDOW v AS (PARTITION BY e ORDER BY date)""")
+def cross_source_rise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D1.4."""
+    return rep.both_rising(by_source(spark, sf_dir), "F", "O")
+
+
+_COMPARED = f"""{_PAIR}, o AS (SELECT greatest(min(date) FILTER (a > 0), min(date) FILTER (b > 0)) AS lo, least(max(date) FILTER (a > 0), max(date) FILTER (b > 0)) AS hi FROM c),
+i AS (SELECT c.* FROM c, o WHERE date BETWEEN lo AND hi), names AS (SELECT e FROM i GROUP BY 1 HAVING sum(a) > 0 AND sum(b) > 0),
+d AS (SELECT names.e, CAST(g AS DATE) AS date FROM names, o, generate_series(o.lo, o.hi, INTERVAL 1 DAY) t(g)),
+s AS (SELECT d.e, d.date, sum(coalesce(a, 0)) OVER w AS a7, sum(coalesce(b, 0)) OVER w AS b7 FROM d LEFT JOIN i ON i.e = d.e AND i.date = d.date WINDOW w AS (PARTITION BY d.e ORDER BY d.date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW))"""
+
+
+@query(f"""WITH {_COMPARED} SELECT e, date, CAST(a7 AS BIGINT) AS a7, CAST(b7 AS BIGINT) AS b7, round(a7 / nullif(CAST(max(a7) OVER w AS DOUBLE), 0), 6) AS a_peak, round(b7 / nullif(CAST(max(b7) OVER w AS DOUBLE), 0), 6) AS b_peak,
+round((a7 + b7) / nullif(CAST(max(a7 + b7) OVER w AS DOUBLE), 0), 6) AS both_peak FROM s WINDOW w AS (PARTITION BY e)""")
+def source_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D23, SO4, W20."""
+    x = rep.compare_sources(by_source(spark, sf_dir), "F", "O")
+    return x.select("e", "date", "a7", "b7", *[six(c, c) for c in ("a_peak", "b_peak", "both_peak")])
+
+
+@query(f"""WITH {_COMPARED}, k AS (SELECT CAST(unnest(generate_series(-14, 14)) AS INT) AS k),
+r AS (SELECT x.e, k, corr(x.a7, y.b7) AS corr FROM s x CROSS JOIN k JOIN s y ON y.e = x.e AND y.date = CAST(x.date - k AS DATE) GROUP BY 1, 2),
+b AS (SELECT * FROM r WHERE corr IS NOT NULL AND NOT isnan(corr) QUALIFY row_number() OVER (PARTITION BY e ORDER BY round(corr, 9) DESC, k) = 1)
+SELECT e, k, round(corr, 6) AS corr, CASE WHEN k > 0 THEN 'second leads' WHEN k < 0 THEN 'first leads' ELSE 'together' END AS verdict FROM b""")
+def source_lead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D23, A24."""
+    return rep.source_lead(rep.compare_sources(by_source(spark, sf_dir), "F", "O")).select("e", "k", six("corr", "corr"), "verdict")
+
+
+@query(f"""WITH {_DAILY}, l AS (SELECT *, date > (SELECT max(date) FROM dense) - 5 AS late, (ln(1 + n_posts) - avg(ln(1 + n_posts)) OVER w) / nullif(stddev_samp(ln(1 + n_posts)) OVER w, 0) AS cs FROM dense WINDOW w AS (PARTITION BY date))
+SELECT e, CAST(sum(n_posts) AS BIGINT) AS posts_total, round((avg(n_posts) FILTER (late) - avg(n_posts)) / stddev_samp(n_posts), 6) AS lookback_z, round(avg(cs) FILTER (late), 6) AS cross_sect_z,
+round(avg(net_bullish) FILTER (late), 6) AS sent_5d, round(avg(net_bullish) FILTER (late) - avg(net_bullish), 6) AS sent_delta FROM l GROUP BY 1 HAVING sum(n_posts) >= 150 AND avg(net_bullish) FILTER (late) IS NOT NULL""")
+def momentum_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D24, A29, W6."""
+    x = rep.momentum(daily(spark, sf_dir))
+    return x.select("e", "posts_total", *[six(c, c) for c in ("lookback_z", "cross_sect_z", "sent_5d", "sent_delta")])
+
+
+@query("""WITH c AS (SELECT o_orderstatus AS source, CAST(o_orderdate AS DATE) AS date, count(*) AS n FROM orders GROUP BY 1, 2),
+s AS (SELECT source, CAST(coalesce(sum(n) FILTER (date BETWEEN DATE '1995-01-01' AND DATE '1996-06-30'), 0) AS BIGINT) AS mentions, count(DISTINCT date) FILTER (date BETWEEN DATE '1995-01-01' AND DATE '1996-06-30') AS days, min(date) AS first_date, max(date) AS last_date FROM c GROUP BY 1)
+SELECT *, CAST(least(100, round_even(100.0 * days / date_diff('day', DATE '1995-01-01', DATE '1996-06-30'), 0)) AS INT) AS pct FROM s""")
+def window_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A16, D22."""
+    return rep.window_coverage(by_source(spark, sf_dir), F.lit("1995-01-01").cast("date"), F.lit("1996-06-30").cast("date"))
+
+
+@query(f"""WITH {_DAILY}, m AS (SELECT e, last_day(date) AS month, avg(att_z_full) AS att_z, avg(share) AS share FROM feats GROUP BY 1, 2)
+SELECT e, month, round(att_z, 6) AS att_z, round(share, 6) AS share, count(*) OVER (PARTITION BY e) AS months FROM m WHERE att_z IS NOT NULL AND share IS NOT NULL QUALIFY count(*) OVER (PARTITION BY e) >= 3""")
+def monthly_trail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D5, W24."""
+    return rep.monthly_trail(sig.features(daily(spark, sf_dir))).select("e", "month", six("att_z", "att_z"), six("share", "share"), "months")
+
+
+@query(f"""WITH {_DAILY}, p AS (SELECT e, date, CASE WHEN sum(mentions) OVER (PARTITION BY date) >= 5 THEN 100.0 * mentions / CAST(sum(mentions) OVER (PARTITION BY date) AS DOUBLE) END AS pct FROM dense),
+b AS (SELECT *, avg(pct) OVER (PARTITION BY e ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS base FROM p), c AS (SELECT *, base - lag(base) OVER (PARTITION BY e ORDER BY date) AS change FROM b)
+SELECT e, date, round(base, 6) AS base, round(avg(change) OVER (PARTITION BY e ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS smoothed FROM c""")
+def share_derivative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D7, F6, W8."""
+    return rep.share_derivative(daily(spark, sf_dir), value="mentions", least=5).select("e", "date", six("base", "base"), six("smoothed", "smoothed"))
+
+
+@query(f"""WITH {_CLOSES}, asks AS (SELECT symbol, CAST(d AS DATE) AS date, CASE WHEN day(d) % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS action FROM (SELECT DISTINCT symbol FROM px), generate_series(DATE '1996-01-07', DATE '1997-12-31', INTERVAL 7 DAY) t(d)),
+a AS (SELECT asks.*, px_last AS p0, CAST(asks.date + 20 AS DATE) AS exit_date, least(CAST(asks.date + 20 AS DATE), DATE '1997-12-20') AS until FROM asks ASOF LEFT JOIN px ON px.symbol = asks.symbol AND px.date <= asks.date)
+SELECT a.symbol, a.date, action, exit_date, p0, px_last AS p1, CAST(greatest(0, date_diff('day', DATE '1997-12-20', exit_date)) AS INT) AS days_left, CASE WHEN exit_date > DATE '1997-12-20' THEN 'OPEN' ELSE 'CLOSED' END AS status,
+round(CASE WHEN action = 'SELL' THEN -1 ELSE 1 END * (px_last / p0 - 1) * 100, 6) AS pnl FROM a ASOF LEFT JOIN px ON px.symbol = a.symbol AND px.date <= a.until""")
+def trade_desk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D15, J8."""
+    p = closes(spark, sf_dir)
+    asks = p.select("symbol").distinct().withColumn("date", F.explode(F.expr("sequence(date'1996-01-07', date'1997-12-31', interval 7 days)"))).withColumn("action", F.when(F.day("date") % 2 == 0, "BUY").otherwise("SELL"))
+    return rep.trade_desk(asks, p, F.lit("1997-12-20").cast("date")).select("symbol", "date", "action", "exit_date", "p0", "p1", "days_left", "status", six("pnl", "pnl"))
+
+
+@query("""WITH c AS (SELECT o_orderpriority AS e, CAST(o_orderdate AS DATE) AS date, count(*) AS n FROM orders GROUP BY 1, 2)
+SELECT e, CAST(sum(n) AS BIGINT) AS total, count(DISTINCT date) AS active_days, max(n) AS peak FROM c GROUP BY 1 ORDER BY total DESC, e LIMIT 20""")
+def all_time_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A12, A13, T2."""
+    c = posts(spark, sf_dir).groupBy("e", "date").agg(F.count("*").alias("n"))
+    return c.groupBy("e").agg(F.sum("n").alias("total"), F.count_distinct("date").alias("active_days"), F.max("n").alias("peak")).orderBy(F.desc("total"), "e").limit(20)
+
+
+@query()
+def tuned_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The settings of a grid by their worst era."""
+    p = closes(spark, sf_dir)
+    eras = spark.sql("select * from values ('early', date'1992-01-01', date'1995-01-01'), ('late', date'1995-01-01', date'1999-01-01') as t(era, lo, hi)")
+    symbol = F.when(F.substring("e", 1, 1) <= "2", "A").when(F.substring("e", 1, 1) == "3", "N").otherwise("R")
+    return rep.tune(sig.features(daily(spark, sf_dir)).withColumn("symbol", symbol), p, eras, [1.0, 1.5, 2.0], [2, 3], [10, 21])

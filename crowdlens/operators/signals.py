@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from .series import by, crosses_above, crosses_below, rising_edge, rolling_sum, spaced, trailing_z, whole_z
 
@@ -52,6 +51,7 @@ def decide(found: DataFrame, entity: str = "e", cooldown: int = COOLDOWN) -> Dat
 
 def certainty(signals: DataFrame, today: str | None = None, horizon: int = 90) -> DataFrame:
     """Score + min(|conv_z|, 3) + recency."""
-    now = F.lit(today).cast("date") if today else F.max("signal_date").over(W.partitionBy(F.lit(0)))
-    recency = F.greatest(F.lit(0.0), 1 - F.date_diff(now, F.col("signal_date")) / horizon)
-    return signals.withColumn("certainty", F.col("score") + F.least(F.abs("conv_z"), F.lit(3.0)) + recency)
+    now = F.lit(today).cast("date") if today else F.max("signal_date")
+    recency = F.greatest(F.lit(0.0), 1 - F.date_diff("now", F.col("signal_date")) / horizon)
+    dated = signals.withColumn("now", now) if today else signals.join(F.broadcast(signals.agg(now.alias("now"))))
+    return dated.withColumn("certainty", F.col("score") + F.least(F.abs("conv_z"), F.lit(3.0)) + recency).drop("now")
