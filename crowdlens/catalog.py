@@ -13,6 +13,7 @@ from pyspark.sql.window import Window as W
 
 from .functions import sentiment, text
 from .operators import aggregates as agg
+from .operators import evidence as ev
 from .operators import prices as px
 from .operators import reports as rep
 from .operators import series as ts
@@ -444,3 +445,120 @@ def tuned_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     eras = spark.sql("select * from values ('early', date'1992-01-01', date'1995-01-01'), ('late', date'1995-01-01', date'1999-01-01') as t(era, lo, hi)")
     symbol = F.when(F.substring("e", 1, 1) <= "2", "A").when(F.substring("e", 1, 1) == "3", "N").otherwise("R")
     return rep.tune(sig.features(daily(spark, sf_dir)).withColumn("symbol", symbol), p, eras, [1.0, 1.5, 2.0], [2, 3], [10, 21])
+
+
+_CHANGE = f"""
+raw AS (SELECT o_orderpriority AS e, CAST(o_orderdate AS DATE) AS date, count(*) AS n FROM orders GROUP BY 1, 2), ends AS (SELECT e, min(date) AS lo, max(date) AS hi FROM raw GROUP BY 1),
+days AS (SELECT e, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS date FROM ends), dense AS (SELECT days.*, coalesce(n, 0) AS n FROM days LEFT JOIN raw USING (e, date)),
+p AS (SELECT e, date, CASE WHEN sum(n) OVER (PARTITION BY date) >= 5 THEN 100.0 * n / CAST(sum(n) OVER (PARTITION BY date) AS DOUBLE) END AS pct FROM dense),
+b AS (SELECT *, avg(pct) OVER (PARTITION BY e ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS base FROM p), c AS (SELECT *, base - lag(base) OVER (PARTITION BY e ORDER BY date) AS d FROM b),
+s AS (SELECT e, CASE WHEN e < '3' THEN 'A' WHEN e < '4' THEN 'N' ELSE 'R' END AS symbol, date, avg(d) OVER (PARTITION BY e ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS x FROM c), {_CLOSES},
+span AS (SELECT symbol, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM px GROUP BY symbol),
+full_px AS (SELECT span.*, last_value(px_last IGNORE NULLS) OVER (PARTITION BY span.symbol ORDER BY span.date) AS p FROM span LEFT JOIN px USING (symbol, date)),
+pairs AS (SELECT s.*, (f.p / full_px.p - 1) * 100 AS fwd FROM s JOIN full_px USING (symbol, date) JOIN full_px f ON f.symbol = s.symbol AND f.date = CAST(s.date + 5 AS DATE) WHERE x IS NOT NULL)"""
+
+
+def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Smoothed share changes x of each entity, and the symbol that stands for it."""
+    counts = posts(spark, sf_dir).groupBy("e", "date").agg(F.count("*").alias("n"))
+    return ev.chatter_change(counts, least=5).select("e", anchor().alias("symbol"), "date", F.col("smoothed").alias("x"))
+
+
+def anchor() -> Column:
+    return F.when(F.col("e") < "3", "A").when(F.col("e") < "4", "N").otherwise("R")
+
+
+@query(f"""WITH {_CHANGE} SELECT CASE WHEN grouping(g) = 1 THEN 'all' ELSE g END AS bucket, count(*) AS n, round(100 * count_if(fwd > 0) / CAST(count(*) AS DOUBLE), 6) AS pct_positive, round(avg(fwd), 6) AS mean, round(corr(x, fwd), 6) AS corr
+FROM (SELECT *, CASE WHEN x > 0.5 THEN 'rising' WHEN x < -0.5 THEN 'falling' ELSE 'flat' END AS g FROM pairs) GROUP BY ROLLUP (g)""")
+def price_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D8, A23, A30, W13."""
+    x = ev.gradient(ev.forward_pairs(changes(spark, sf_dir), closes(spark, sf_dir)))
+    return x.select("bucket", "n", *[six(c, c) for c in ("pct_positive", "mean", "corr")])
+
+
+@query(f"""WITH {_CHANGE}, q AS (SELECT list_distinct(list_sort(quantile_cont(x, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS u FROM pairs), g AS (SELECT list_sort(u) AS edges FROM q),
+n AS (SELECT *, greatest(1, len(list_filter(edges, lambda y: y < x - 1e-7))) AS bin FROM pairs, g)
+SELECT CAST(bin AS INT) AS bin, round(any_value(edges[bin]), 6) AS lower, count(*) AS n, round(avg(fwd), 6) AS mean FROM n GROUP BY 1""")
+def change_deciles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D8, A25."""
+    return ev.binned_moves(ev.forward_pairs(changes(spark, sf_dir), closes(spark, sf_dir))).select("bin", six("lower", "lower"), "n", six("mean", "mean"))
+
+
+@query(f"""WITH {_CHANGE}, m AS (SELECT symbol, date, (p / lag(p) OVER (PARTITION BY symbol ORDER BY date) - 1) * 100 AS y FROM full_px), k AS (SELECT CAST(unnest(generate_series(-15, 15)) AS INT) AS k),
+r AS (SELECT e, k, corr(x, y) AS corr FROM s CROSS JOIN k JOIN m ON m.symbol = s.symbol AND m.date = CAST(s.date + k AS DATE) GROUP BY 1, 2)
+SELECT e, k, round(corr, 6) AS corr FROM r WHERE corr IS NOT NULL AND NOT isnan(corr)""")
+def price_lead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D8, A24, W14."""
+    return ev.lead_curve(changes(spark, sf_dir), closes(spark, sf_dir)).select("e", "k", six("corr", "corr"))
+
+
+@query()
+def lead_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The peak of the mean curve."""
+    return ev.lead_verdict(ev.lead_curve(changes(spark, sf_dir), closes(spark, sf_dir)))
+
+
+@query()
+def flip_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moves after turns of the share change."""
+    x, p = changes(spark, sf_dir), closes(spark, sf_dir)
+    turns = ts.flips(x.select("e", "date", "x")).withColumn("symbol", anchor())
+    return ev.event_evidence(turns, ev.lead_curve(x, p), p)
+
+
+@query()
+def crossing_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moves after conviction crosses 1.5."""
+    c, p = convictions(spark, sf_dir), closes(spark, sf_dir)
+    curve = ev.lead_curve(c.select("e", anchor().alias("symbol"), "date", F.col("conviction_z").alias("x")), p, 20)
+    return ev.event_evidence(ev.crossing_events(c).withColumn("symbol", anchor()), curve, p)
+
+
+@query(f"""WITH {_CHANGE}, t AS (SELECT * FROM s WHERE x IS NOT NULL AND e <> '5-LOW' QUALIFY row_number() OVER (PARTITION BY e ORDER BY date DESC) <= 7), g AS (SELECT e, round(avg(x), 3) AS growth FROM t GROUP BY 1)
+SELECT e, growth, CAST(row_number() OVER (ORDER BY growth DESC, e) AS INT) AS rank FROM g""")
+def fast_growing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D17, W21."""
+    x = changes(spark, sf_dir).withColumnRenamed("x", "smoothed")
+    return ev.fast_growing(x, posts(spark, sf_dir).where("e <> '5-LOW'").select("e").distinct())
+
+
+@query(f"""WITH {_DAILY}, m AS (SELECT e, date, CASE WHEN n_posts >= 2 THEN net_bullish END AS net FROM dense),
+l AS (SELECT e, date, CASE WHEN count(net) OVER w >= 3 THEN avg(net) OVER w END AS line FROM m WINDOW w AS (PARTITION BY e ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW))
+SELECT e, date, round(line, 6) AS line, round(avg(line) OVER (PARTITION BY date), 6) AS average FROM l""")
+def sentiment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D25, F6, W7."""
+    return ev.sentiment_lines(daily(spark, sf_dir), least=2).select("e", "date", six("line", "line"), six("average", "average"))
+
+
+_TRADES = f"""{_CLOSES}, asks AS (SELECT symbol, CAST(d AS DATE) AS date, CASE WHEN day(d) % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS action FROM (SELECT DISTINCT symbol FROM px), generate_series(DATE '1996-01-07', DATE '1997-12-31', INTERVAL 7 DAY) t(d)),
+h AS (SELECT *, unnest([5, 10, 20]) AS horizon FROM asks), p0 AS (SELECT h.*, px_last AS p0 FROM h ASOF LEFT JOIN px ON px.symbol = h.symbol AND px.date <= h.date),
+u AS (SELECT *, CAST(date + horizon AS DATE) AS until FROM p0), r AS (SELECT u.symbol, u.date, action, horizon, p0, CASE WHEN until <= (SELECT max(date) FROM px x WHERE x.symbol = u.symbol) THEN (px_last / p0 - 1) * 100 END AS ret FROM u ASOF LEFT JOIN px ON px.symbol = u.symbol AND px.date <= u.until)"""
+
+
+def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = closes(spark, sf_dir)
+    asks = p.select("symbol").distinct().withColumn("date", F.explode(F.expr("sequence(date'1996-01-07', date'1997-12-31', interval 7 days)")))
+    return px.forward_returns(asks.withColumn("action", F.when(F.day("date") % 2 == 0, "BUY").otherwise("SELL")), p)
+
+
+@query(f"""WITH {_TRADES} SELECT action, count(*) AS n, round(100 * count_if(CASE WHEN action = 'SELL' THEN -ret ELSE ret END > 0) / CAST(count(*) AS DOUBLE), 6) AS hit_rate, round(avg(ret), 6) AS mean FROM r WHERE horizon = 20 AND ret IS NOT NULL GROUP BY 1""")
+def side_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D10."""
+    return ev.side_hits(trades(spark, sf_dir)).select("action", "n", six("hit_rate", "hit_rate"), six("mean", "mean"))
+
+
+@query(f"""WITH {_TRADES}, g AS (SELECT *, CASE WHEN action = 'SELL' THEN -ret ELSE ret END AS pnl FROM r WHERE p0 IS NOT NULL)
+SELECT symbol, action, date, {", ".join(f"round(max(pnl) FILTER (horizon = {h}), 2) AS pnl_{h}d" for h in (5, 10, 20))} FROM g GROUP BY 1, 2, 3""")
+def trade_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D11."""
+    return ev.ledger(trades(spark, sf_dir))
+
+
+@query("""WITH d AS (SELECT CAST(o_orderdate AS DATE) AS date, o_orderstatus AS s FROM orders WHERE o_totalprice > 390000),
+w AS (SELECT CAST(date + CAST((7 - isodow(date)) AS INT) AS DATE) AS week, count_if(s = 'F') AS buys, count_if(s = 'O') AS sells FROM d GROUP BY 1),
+a AS (SELECT CAST(unnest(generate_series((SELECT min(week) FROM w), (SELECT max(week) FROM w), INTERVAL 7 DAY)) AS DATE) AS week)
+SELECT week, coalesce(buys, 0) AS buys, coalesce(sells, 0) AS sells FROM a LEFT JOIN w USING (week)""")
+def weekly_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D10, W23."""
+    rows = posts(spark, sf_dir).where("mood > 390000").withColumn("action", F.when(F.col("source") == "F", "BUY").when(F.col("source") == "O", "SELL"))
+    return ev.weekly_signals(rows)

@@ -7,6 +7,8 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .lists import BARE_PROSE_STOP
+
 # Symbols that are jargon rather than tickers.
 STOP_TICKERS = tuple(
     "DD YOLO USA CEO CFO IPO ATH ITM OTM FOMO FUD ER EOD IMO IRL AI IT OK ALL NEW NOW BIG LOL WSB IV EOY ETF ROI FBI NYSE NASDAQ SEC EV USD GDP CPI".split()
@@ -42,7 +44,7 @@ def bare_symbols(text: Column) -> Column:
     return F.regexp_extract_all(F.regexp_replace(text, r"(?U)(?i)\$[A-Z]{1,5}\b", " "), F.lit(r"(?U)\b([A-Z]{4,5})\b"), 1)
 
 
-def symbols(text: Column, cashtags_only: bool = False, bare_stop: Iterable[str] = (), screened: Iterable[str] = ()) -> Column:
+def symbols(text: Column, cashtags_only: bool = False, bare_stop: Iterable[str] = BARE_PROSE_STOP, screened: Iterable[str] = ()) -> Column:
     """X3 without the universe (J6 is a join): cashtags, then bare symbols; the stop list holds for both, the other two for
     bare ones only."""
     without = lambda xs, stop: F.filter(xs, lambda s: ~s.isin(*stop)) if stop else xs

@@ -14,6 +14,11 @@ def as_of(asks: DataFrame, prices: DataFrame, symbol: str = "symbol", at: str =
     return both.withColumn("px", F.last("_px", ignorenulls=True).over(w)).where("_ask = 1").drop("_px", "_ask")
 
 
+def gain(before: Column, after: Column) -> Column:
+    """Percent from one price to another; null if the first is zero."""
+    return (after / F.nullif(before, F.lit(0.0)) - 1) * 100
+
+
 def forward_returns(signals: DataFrame, prices: DataFrame, horizons: tuple[int, ...] = (5, 10, 20), clamp: bool = False) -> DataFrame:
     """Percent return after each horizon; null where prices end earlier, or, with clamp, where the last close is the first."""
     ends = prices.groupBy("symbol").agg(F.max("date").alias("last_day"))
@@ -21,7 +26,7 @@ def forward_returns(signals: DataFrame, prices: DataFrame, horizons: tuple[int,
     out = base.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons]))).withColumn("at", F.date_add("date", F.col("horizon")))
     out = as_of(out, prices).withColumnRenamed("px", "p1").join(ends, "symbol")
     ok = (F.col("p1") != F.col("p0")) if clamp else F.col("at") <= F.col("last_day")
-    return out.withColumn("ret", F.when(ok, (F.col("p1") / F.col("p0") - 1) * 100)).drop("last_day", "at")
+    return out.withColumn("ret", F.when(ok, gain(F.col("p0"), F.col("p1")))).drop("last_day", "at")
 
 
 def signed(action: Column, ret: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .prices import as_of, signed
+from .prices import as_of, gain, signed
 from .series import by, lead_lag, rolling_sum, spaced, spine
 from .signals import candidates
 
@@ -119,7 +119,7 @@ def trade_desk(signals: DataFrame, prices: DataFrame, today: Column, hold: int =
     x = x.withColumn("exit_date", F.date_add("date", hold)).withColumn("at", F.least("exit_date", today))
     x = as_of(x, prices).withColumnRenamed("px", "p1").drop("at")
     left = F.greatest(F.lit(0), F.date_diff("exit_date", today))
-    return x.withColumn("status", F.when(left > 0, "OPEN").otherwise("CLOSED")).withColumn("days_left", left).withColumn("pnl", signed(F.col("action"), (F.col("p1") / F.col("p0") - 1) * 100))
+    return x.withColumn("status", F.when(left > 0, "OPEN").otherwise("CLOSED")).withColumn("days_left", left).withColumn("pnl", signed(F.col("action"), gain(F.col("p0"), F.col("p1"))))
 
 
 def tune(x: DataFrame, prices: DataFrame, eras: DataFrame, ks: list[float], scores: list[int], cooldowns: list[int], entity: str = "e", horizon: int = 10, least: int = 4) -> DataFrame:
@@ -132,7 +132,7 @@ def tune(x: DataFrame, prices: DataFrame, eras: DataFrame, ks: list[float], scor
     kept = found.groupBy(*setting, entity, "symbol", "action").agg(F.sort_array(F.collect_list("date")).alias("dates"))
     taken = kept.select(*setting, "symbol", "action", F.explode(spaced(F.col("dates"), F.col("cooldown"))).alias("signal_date")).withColumn("date", F.date_add("signal_date", 1))
     t = as_of(taken.withColumn("at", F.col("date")), prices).withColumnRenamed("px", "p0")
-    t = as_of(t.withColumn("at", F.date_add("date", horizon)), prices).withColumn("ret", signed(F.col("action"), (F.col("px") / F.col("p0") - 1) * 100)).where("ret is not null")
+    t = as_of(t.withColumn("at", F.date_add("date", horizon)), prices).withColumn("ret", signed(F.col("action"), gain(F.col("p0"), F.col("px")))).where("ret is not null")
     by_era = t.join(F.broadcast(eras), (F.col("date") >= F.col("lo")) & (F.col("date") < F.col("hi"))).groupBy(*setting, "era").agg(F.count("*").alias("n"), F.avg("ret").alias("mean")).where(F.col("n") >= least)
     out = by_era.groupBy(*setting).agg(F.count("*").alias("eras_scored"), F.sum("n").alias("signals"), F.min("mean").alias("worst_era_avg"), F.avg("mean").alias("mean_avg"))
     return out.withColumn("rank", F.row_number().over(W.orderBy(F.desc("worst_era_avg"), F.desc("mean_avg"), *setting)))

@@ -143,14 +143,18 @@ def inflection(counts: DataFrame, entity: str = "e", value: str = "n", span: flo
     return dense.groupBy(entity).applyInPandas(one, f"{entity} {kinds[entity]}, date date, n double, smoothed double, velocity double, is_rise boolean, is_fall boolean, is_peak boolean, is_trough boolean")
 
 
+def spread(events: DataFrame, gap: int, entity: str = "e") -> DataFrame:
+    """U4: of each entity's and side's events (date, side) those at least `gap` days after the last accepted one."""
+    kept = events.groupBy(entity, "side").agg(spaced(F.sort_array(F.collect_list("date")), gap).alias("dates"))
+    return kept.select(entity, F.explode("dates").alias("date"), "side")
+
+
 def flips(change: DataFrame, entity: str = "e", eps: float = 0.25, gap: int = 7) -> DataFrame:
-    """Days on which x clears +eps or -eps times its deviation after the other side, spaced by the gap; the state turns even
-    where the gap suppresses the event."""
+    """Days on which x clears +eps or -eps times its deviation after the other side, spaced by the gap within each
+    direction; the state turns even where the gap suppresses the event."""
     w = by(entity)
     sd = F.stddev_samp("x").over(W.partitionBy(entity))
     side = F.when(F.col("x") > eps * sd, 1).when(F.col("x") < -eps * sd, -1)
     marked = change.withColumn("side", side).where("side is not null")
     turned = marked.withColumn("before", F.lag("side").over(w)).where("before is null or before <> side")
-    kept = turned.groupBy(entity).agg(spaced(F.sort_array(F.collect_list("date")), gap).alias("dates"), F.map_from_entries(F.collect_list(F.struct("date", "side"))).alias("sides"))
-    return kept.select(entity, F.explode("dates").alias("date"), "sides").select(entity, "date", F.element_at("sides", F.col("date")).alias("side"))
-
+    return spread(turned, gap, entity)
