@@ -18,6 +18,7 @@ from .operators import prices as px
 from .operators import reports as rep
 from .operators import series as ts
 from .operators import signals as sig
+from .plans import tables as six_tables
 
 FLAGSHIP = "attention_crossings"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,11 +123,10 @@ def trading_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_DAILY}, w AS (SELECT e, CAST(date + CAST((7 - isodow(date)) AS INT) AS DATE) AS week, sum(n_posts) AS n, sum(coalesce(n_posts * net_bullish, 0)) AS p FROM dense GROUP BY 1, 2)
-SELECT e, week, CAST(n AS BIGINT) AS n, round(p, 6) AS pressure, CASE WHEN n >= 10 THEN round(p / n, 6) END AS share FROM w""")
+SELECT e, week, CAST(n AS BIGINT) AS n, round(p, 6) AS pressure, CASE WHEN n >= 10 THEN round(p / n, 6) END AS share, CASE WHEN stddev_samp(p) OVER v > 1e-12 THEN round((p - avg(p) OVER v) / stddev_samp(p) OVER v, 6) END AS pressure_z FROM w WINDOW v AS (PARTITION BY e)""")
 def weekly_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D4, W23, F6."""
-    rows = daily(spark, sf_dir).groupBy("e", ts.week_end(F.col("date")).alias("week")).agg(F.sum("n_posts").alias("n"), F.sum(F.coalesce(F.col("n_posts") * F.col("net_bullish"), F.lit(0.0))).alias("p"))
-    return rows.select("e", "week", "n", six("p", "pressure"), F.when(F.col("n") >= 10, F.round(F.col("p") / F.col("n"), 6)).alias("share"))
+    """D4, W5, W23, F6, T2."""
+    return rep.weekly_heatmap(daily(spark, sf_dir)).select("e", "week", "n", *[six(c, c) for c in ("pressure", "share", "pressure_z")])
 
 
 _TERM_STOP = ", ".join(f"'{w}'" for w in text.TERM_STOP)
@@ -562,3 +562,14 @@ def weekly_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D10, W23."""
     rows = posts(spark, sf_dir).where("mood > 390000").withColumn("action", F.when(F.col("source") == "F", "BUY").when(F.col("source") == "O", "SELL"))
     return ev.weekly_signals(rows)
+
+
+@query("""WITH d AS (SELECT DATE '2024-01-01' + CAST(doc_id % 60 AS INT) AS date, lower(text) AS t, regexp_extract_all(regexp_replace(lower(text), '[^ -~]', ' ', 'g'), '[a-z0-9]+') AS w, CASE length(text) % 3 WHEN 0 THEN 0.6 WHEN 1 THEN -0.4 ELSE 0.0 END AS s FROM documents WHERE lang = 'en'),
+h AS (SELECT date, s, unnest(['motion', 'place', 'thought']) AS theme, unnest([list_has_any(w, ['ing', 'tion']) OR contains(t, 'er the'), list_has_any(w, ['at', 'in']) OR contains(t, 'on the'), list_contains(w, 'and') OR contains(t, 'of the')]) AS hit FROM d)
+SELECT date, theme, count(*) AS n_posts, round(avg(s), 6) AS avg_sentiment, round((count_if(s > 0.05) - count_if(s < -0.05)) / CAST(count(*) AS DOUBLE), 6) AS net_bullish FROM h WHERE hit GROUP BY 1, 2""")
+def theme_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The published table of theme sentiment, by a scorer that SQL can follow."""
+    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 60).cast("int")).alias("date"), "source", F.lit("").alias("title"), F.regexp_replace("text", "[^ -~]", " ").alias("selftext"))
+    score = lambda t: F.when((F.length(t) - 1) % 3 == 0, 0.6).when((F.length(t) - 1) % 3 == 1, -0.4).otherwise(0.0)
+    found = six_tables.aggregate(docs, spark.createDataFrame([], "ticker string"), THEMES, scorer=score)["daily_theme_sentiment"]
+    return found.select("date", "theme", "n_posts", six("avg_sentiment", "avg_sentiment"), six("net_bullish", "net_bullish"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .prices import as_of, gain, signed
-from .series import by, lead_lag, rolling_sum, spaced, spine
+from .series import by, lead_lag, rolling_sum, spaced, spine, week_end, whole_z
 from .signals import candidates
 
 
@@ -104,6 +104,15 @@ def monthly_trail(x: DataFrame, entity: str = "e", least: int = 3) -> DataFrame:
     return m.withColumn("months", F.count("*").over(W.partitionBy(entity))).where(F.col("months") >= least)
 
 
+def weekly_heatmap(days: DataFrame, entity: str = "e", top: int = 20, least: int = 10) -> DataFrame:
+    """Of the entities with most posts, by week (its Sunday), posts, pressure, its z over all weeks, and the
+    share of sentiment where posts are enough."""
+    most = days.groupBy(entity).agg(F.sum("n_posts").alias("all")).orderBy(F.desc("all"), entity).limit(top).select(entity)
+    lean = F.coalesce(F.col("n_posts") * F.col("net_bullish"), F.lit(0.0))
+    weeks = days.join(most, entity, "left_semi").groupBy(entity, week_end(F.col("date")).alias("week")).agg(F.sum("n_posts").alias("n"), F.sum(lean).alias("pressure"))
+    return weeks.withColumn("share", F.when(F.col("n") >= least, F.col("pressure") / F.nullif(F.col("n"), F.lit(0)))).withColumn("pressure_z", whole_z(F.col("pressure"), entity))
+
+
 def share_derivative(dense: DataFrame, entity: str = "e", value: str = "n", window: int = 7, smooth: int = 5, least: int = 30) -> DataFrame:
     """Percent of the day's mentions (null on thin days), its rolling mean, the change of that and its rolling mean."""
     w = by(entity)
