@@ -83,10 +83,15 @@ def themes(text: Column, keywords: Mapping[str, Iterable[str]]) -> Column:
 def terms(text: Column, stop: Iterable[str] = TERM_STOP) -> Column:
     """Distinct words of 3 or more, and pairs of neighbours, with no stop word among them."""
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-z][a-z0-9]{2,}"), 0)
-    ok = lambda w: ~w.isin(*stop)
-    n = F.greatest(F.size(words) - 1, F.lit(0))
-    pairs = F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.when(ok(a) & ok(b), F.concat_ws(" ", a, b)))
-    return F.array_distinct(F.concat(F.filter(words, ok), F.array_compact(pairs)))
+    kept = F.transform(words, lambda w: F.when(~w.isin(*stop), w))  # stop words become null, so neighbours stay known
+
+    def of(kept: Column) -> Column:
+        n = F.greatest(F.size(kept) - 1, F.lit(0))
+        pairs = F.zip_with(F.slice(kept, F.lit(1), n), F.slice(kept, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.array_distinct(F.array_compact(F.concat(kept, pairs)))
+
+    # as a lambda's variable the words are found once, not at every mention
+    return F.element_at(F.transform(F.array(kept), of), 1)
 
 
 def compact(n: Column) -> Column:
