@@ -3,9 +3,10 @@
 A neighbour graph starts from random-projection trees and is refined by joining neighbours of neighbours: all members of a
 vector's list, and of the lists it stands in, are compared with each other and keep the best.  A vector whose list holds
 only neighbours over the threshold is saturated and gets a longer list in the next round.  Rounds end when they find
-no more links.  Edges over the threshold connect vectors into groups; within these, in blocks, all links are counted exactly in
-double precision.  An audit compares vectors drawn by hash with all others; while it finds less than the wanted recall,
-more trees are added.
+no more links.  Whatever is over the threshold in a leaf or neighbourhood connects its vectors into groups, before lists are cut,
+so that a list filled by its own cluster hides no other; within groups, in blocks, all links are counted exactly in double
+precision.  An audit compares vectors drawn by hash, and vectors with links, with all others; while it finds less than the wanted
+recall, more trees are added, and if that doesn't help all vectors are compared with each other, in blocks.
 
 Equal vectors are one throughout and are multiplied in at the end.
 """
@@ -29,9 +30,12 @@ LIST, GROWTH, LONGEST = 10, 2, 80
 #: Members of a leaf, about, and the most; share of close pairs that the trees alone should find.
 LEAF, LEAF_MOST, TREE_RECALL = 64, 192, 0.97
 ROUNDS = 6
-#: Vectors in the audit (a bound of what is broadcast), the recall wanted, and how often trees are added for it.
+#: Vectors in each half of the audit at least (the square root of all beyond), the recall wanted, and how often trees are added
+#: for it.
 AUDITED, RECALL, RETRIES = 256, 0.99, 2
 BLOCK = 512
+#: What single precision may be off.
+MARGIN = 1e-4
 
 
 def _prepare(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -64,19 +68,38 @@ def _matrix(rows: pa.Table, dtype: type = np.float32) -> np.ndarray:
     return np.frombuffer(flat, np.float64).reshape(rows.num_rows, -1).astype(dtype)
 
 
-def _best(ids: np.ndarray, sims: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
-    """Each member's k best others."""
+def _roots(linked: np.ndarray) -> np.ndarray:
+    """Of each member, the first of those that links (symmetric) connect it with."""
+    root = np.arange(len(linked))
+    some = np.flatnonzero(linked.any(axis=1))
+    if len(some):
+        near = linked[np.ix_(some, some)] | np.eye(len(some), dtype=bool)
+        at = np.arange(len(some))
+        while True:
+            least = np.where(near, at, len(some)).min(axis=1)
+            if (least == at).all():
+                break
+            at = least
+        root[some] = some[at]
+    return root
+
+
+def _best(ids: np.ndarray, sims: np.ndarray, k: np.ndarray, threshold: float) -> pa.RecordBatch:
+    """Each member's k best others, and the member that stands for those that it is connected with, null for itself."""
     np.fill_diagonal(sims, -2)
     n = len(ids)
+    linked = sims >= threshold - MARGIN
+    root = _roots(linked | linked.T)
     order = np.argsort(-sims, axis=1, kind="stable")
     lists = [order[i, : min(int(k[i]), n - 1)] for i in range(n)]
-    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array([ids[x].tolist() for x in lists], pa.list_(pa.int64())), pa.array([sims[i, x].tolist() for i, x in enumerate(lists)], pa.list_(pa.float32()))], ["id", "nbrs", "sims"])
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array([ids[x].tolist() for x in lists], pa.list_(pa.int64())), pa.array([sims[i, x].tolist() for i, x in enumerate(lists)], pa.list_(pa.float32())), pa.array(ids[root], mask=root == np.arange(n))], ["id", "nbrs", "sims", "up"])
 
 
 LISTS = "id long, nbrs array<long>, sims array<float>"
+FOUND = f"{LISTS}, up long"
 
 
-def _trees(vecs: DataFrame, n: int, trees: int, bits: int, seed: int) -> DataFrame:
+def _trees(vecs: DataFrame, n: int, trees: int, bits: int, seed: int, threshold: float) -> DataFrame:
     """Lists from the leaves of random-projection trees: vectors on the same side of all `bits` hyperplanes."""
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,13 +125,14 @@ def _trees(vecs: DataFrame, n: int, trees: int, bits: int, seed: int) -> DataFra
     def leaf(_: tuple, rows: pa.Table) -> Iterator[pa.RecordBatch]:
         if rows.num_rows > 1:
             x = _matrix(rows)
-            yield _best(rows["id"].to_numpy(), x @ x.T, np.full(rows.num_rows, LIST))
+            yield _best(rows["id"].to_numpy(), x @ x.T, np.full(rows.num_rows, LIST), threshold)
 
-    return grouped(placed.select("tree", "dim", "code", "part", "id", "x"), ["tree", "dim", "code", "part"], leaf, LISTS)
+    return grouped(placed.select("tree", "dim", "code", "part", "id", "x"), ["tree", "dim", "code", "part"], leaf, FOUND)
 
 
 def _merge(lists: DataFrame, sizes: DataFrame | None) -> DataFrame:
-    """One list per vector: the best of all that were found for it, as many as its size allows."""
+    """One list per vector: the best of all that were found for it, as many as its size allows; and ups, all that it is connected
+    with by what was found."""
     lists = lists.withColumn("k", F.lit(LIST)) if sizes is None else lists.join(small(sizes), "id", "left").withColumn("k", F.coalesce("k", F.lit(LIST)))
 
     def best(key: tuple, rows: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -118,12 +142,12 @@ def _merge(lists: DataFrame, sizes: DataFrame | None) -> DataFrame:
         ids, sims = ids[order], sims[order]
         _, first = np.unique(ids, return_index=True)
         first = np.sort(first)[: rows["k"][0].as_py()]
-        yield pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([ids[first].tolist()], pa.list_(pa.int64())), pa.array([sims[first].tolist()], pa.list_(pa.float32()))], ["id", "nbrs", "sims"])
+        yield pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([ids[first].tolist()], pa.list_(pa.int64())), pa.array([sims[first].tolist()], pa.list_(pa.float32())), pa.array([rows["up"].unique().drop_null().to_pylist()], pa.list_(pa.int64()))], ["id", "nbrs", "sims", "ups"])
 
-    return grouped(lists, ["id"], best, LISTS)
+    return grouped(lists, ["id"], best, f"{LISTS}, ups array<long>")
 
 
-def _descend(graph: DataFrame, vecs: DataFrame, sizes: DataFrame) -> DataFrame:
+def _descend(graph: DataFrame, vecs: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
     """A round: the lists after all members of a neighbourhood were compared.  A neighbourhood is a vector, its list, and the LIST
     best of those that list it."""
     links = graph.select("id", F.explode(F.arrays_zip("nbrs", "sims")).alias("l")).select("id", F.col("l.nbrs").alias("m"), F.col("l.sims").alias("s"))
@@ -139,10 +163,10 @@ def _descend(graph: DataFrame, vecs: DataFrame, sizes: DataFrame) -> DataFrame:
     def compare(_: tuple, rows: pa.Table) -> Iterator[pa.RecordBatch]:
         if rows.num_rows > 1:
             x = _matrix(rows)
-            yield _best(rows["m"].to_numpy(), x @ x.T, rows["k"].to_numpy())
+            yield _best(rows["m"].to_numpy(), x @ x.T, rows["k"].to_numpy(), threshold)
 
-    found = grouped(with_x.select("center", "m", "x", "k"), ["center"], compare, LISTS)
-    return _merge(found.unionByName(graph), sizes)
+    found = grouped(with_x.select("center", "m", "x", "k"), ["center"], compare, FOUND)
+    return _merge(found.unionByName(graph.select("id", "nbrs", "sims", F.lit(None).cast("long").alias("up"))), sizes)
 
 
 def _count(graph: DataFrame, threshold: float) -> int:
@@ -150,22 +174,29 @@ def _count(graph: DataFrame, threshold: float) -> int:
 
 
 def neighbour_graph(vecs: DataFrame, threshold: float, seed: int) -> DataFrame:
-    """Lists (id, nbrs, sims) refined until a round adds less than one link in ten thousand."""
+    """(a, b) that connect the vectors of each group over the threshold, from the leaves, from lists refined until a round adds less
+    than one link in ten thousand, and from all neighbourhoods on the way."""
     n = vecs.count()
     bits = max(1, math.ceil(math.log2(max(2, n / LEAF))))
     side = 1 - math.acos(threshold) / math.pi  # that a pair at the threshold is on one side of a hyperplane
     trees = max(4, math.ceil(math.log(1 - TREE_RECALL) / math.log(1 - side**bits)))
-    graph = stored(_merge(_trees(vecs, n, trees, bits, seed), None), "graph")
+    graph = stored(_merge(_trees(vecs, n, trees, bits, seed, threshold), None), "graph")
     sizes = graph.select("id", F.lit(LIST).alias("k")).limit(0)
     found = _count(graph, threshold)
+    edges = _edges(graph)
     for _ in range(ROUNDS):
         full = graph.where((F.size("sims") > 0) & F.forall("sims", lambda s: s >= threshold)).select("id", F.least(F.size("nbrs") * GROWTH, F.lit(LONGEST)).alias("k"))
         sizes = cut(full.unionByName(sizes).groupBy("id").agg(F.max("k").alias("k")))
-        graph = stored(_descend(graph, vecs, sizes), "graph")
+        graph = stored(_descend(graph, vecs, sizes, threshold), "graph")
+        edges = edges.unionByName(_edges(graph))
         before, found = found, _count(graph, threshold)
         if found - before <= before / 10_000:
             break
-    return graph
+    return edges.distinct()
+
+
+def _edges(graph: DataFrame) -> DataFrame:
+    return graph.select(F.col("id").alias("a"), F.explode("ups").alias("b"))
 
 
 def _links(key: tuple, rows: pa.Table, threshold: float) -> Iterator[pa.RecordBatch]:
@@ -195,7 +226,15 @@ def _links(key: tuple, rows: pa.Table, threshold: float) -> Iterator[pa.RecordBa
 
 def _complete(edges: DataFrame, vecs: DataFrame, threshold: float) -> DataFrame:
     """(a, b, links) of `_links` over all groups that the edges (a, b) connect."""
-    group = components(edges)
+    return _within(components(edges), vecs, threshold)
+
+
+def _exact(vecs: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, links) of `_links` over all vectors, as one group."""
+    return _within(vecs.select("id", F.lit(0).cast("long").alias("component")), vecs, threshold)
+
+
+def _within(group: DataFrame, vecs: DataFrame, threshold: float) -> DataFrame:
     sizes = group.groupBy("component").agg(F.count("*").alias("n"))
     rows = vecs.join(group, "id").join(sizes, "component").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "dim", "id", "copies", "block", "x")
@@ -203,8 +242,12 @@ def _complete(edges: DataFrame, vecs: DataFrame, threshold: float) -> DataFrame:
 
 
 def audit(vecs: DataFrame, links: DataFrame, threshold: float) -> float:
-    """Share of the links of up to AUDITED vectors, those of the smallest hash, that are in (id, links); 1 if they have none."""
-    sample = vecs.orderBy(F.xxhash64(F.lit(3), "id"), "id").limit(AUDITED).collect()
+    """Share of the links of audited vectors that are in (id, links), or the mean of their shares if that is less; 1 if they have none.
+
+    Audited are AUDITED vectors, or the square root of all if that is more, of the smallest hash; and as many of those with links."""
+    most = max(AUDITED, math.isqrt(vecs.count()))
+    first = [F.xxhash64(F.lit(3), "id"), "id"]
+    sample = vecs.select("id", "x").orderBy(*first).limit(most).collect() + vecs.join(links.where("links > 0").select("id"), "id", "left_semi").select("id", "x").orderBy(*first).limit(most).collect()
     asked = {r.id: np.frombuffer(r.x, np.float64) for r in sample}
     shared = vecs.sparkSession.sparkContext.broadcast(asked)
 
@@ -224,8 +267,8 @@ def audit(vecs: DataFrame, links: DataFrame, threshold: float) -> float:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total.astype(np.int64))], ["id", "n"])
 
     true = vecs.select("id", "dim", "copies", "x").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    r = true.join(links, "id", "left").agg(F.sum("n").alias("n"), F.sum(F.least("n", F.coalesce("links", F.lit(0)))).alias("found")).first()
-    return 1.0 if not r or not r.n else r.found / r.n
+    r = true.join(links, "id", "left").withColumn("got", F.least("n", F.coalesce("links", F.lit(0)))).where("n > 0").agg(F.sum("n").alias("n"), F.sum("got").alias("found"), F.avg(F.col("got") / F.col("n")).alias("mean")).first()
+    return 1.0 if not r or not r.n else min(r.found / r.n, r.mean)
 
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -237,13 +280,15 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     first.  Other columns are ignored."""
     vecs, of_row = _prepare(vectors)
     edges = None
-    for attempt in range(RETRIES + 1):
-        graph = neighbour_graph(vecs, threshold, seed=attempt + 1)
-        new = graph.select("id", F.explode(F.arrays_zip("nbrs", "sims")).alias("l")).where(F.col("l.sims") >= threshold - 1e-4).select(F.col("id").alias("a"), F.col("l.nbrs").alias("b"))
-        edges = cut(new if edges is None else new.unionByName(edges).distinct())
-        found = _complete(edges, vecs, threshold)
+    for attempt in range(RETRIES + 2):
+        if attempt <= RETRIES:
+            new = neighbour_graph(vecs, threshold, seed=attempt + 1)
+            edges = cut(new if edges is None else new.unionByName(edges).distinct())
+            found = _complete(edges, vecs, threshold)
+        else:
+            found = _exact(vecs, threshold)
         links = cut(found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links")))
-        if audit(vecs, links, threshold) >= RECALL:
+        if attempt > RETRIES or audit(vecs, links, threshold) >= RECALL:
             break
     group = components(found.where("b is not null").select("a", "b"))
     out = of_row.join(vecs.select("id", "copies"), "id", "left").join(links, "id", "left").join(group, "id", "left")

@@ -244,6 +244,28 @@ def test_near_vectors_equal_brute_force(spark):
     assert got[251].component_id == 2 and not got[251].kept and all(got[i].n_links == 0 and got[i].kept for i in range(400, 405))
 
 
+def test_full_lists_hide_no_other_cluster(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((2000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = x[1] - (x[0] @ x[1]) * x[0]
+    near = 0.97 * x[0] + math.sqrt(1 - 0.97**2) * side / np.linalg.norm(side)
+    for lo, center in ((100, x[0]), (300, near)):
+        x[lo : lo + 100] = center + 0.006 * rng.standard_normal((100, 64))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    adj = u @ u.T >= 0.95
+    assert adj[100:200, 300:400].all()
+    np.fill_diagonal(adj, False)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in nn_descent.near_vectors(d).collect()}
+    assert [got[i].n_links for i in range(2000)] == adj.sum(1).tolist()
+    assert sum(got[i].kept for i in [*range(100, 200), *range(300, 400)]) == 0  # vector 0 is kept for both
+    # without any edge the audit leads to the comparison of all
+    monkeypatch.setattr(nn_descent, "neighbour_graph", lambda vecs, *a, **k: vecs.select(*[vecs.id.alias(c) for c in "ab"]).limit(0))
+    got = {r.vec_id: r for r in nn_descent.near_vectors(d).collect()}
+    assert [got[i].n_links for i in range(2000)] == adj.sum(1).tolist()
+
+
 def test_extraction(spark):
     page = "<body><header><h1>Site</h1></header><nav>m</nav><main><article><header><h1>T &amp; t</h1><p>by X</p></header><p>A<b>b</b>\n c<br>d<p>E&nbsp;f<ul><li>x<li>y</ul><aside>no</aside><div class='cookie-notice'>z</div></article></main><section id=comments><p>reader</p></section><footer>f</footer>"
     assert site_template.extract(page) == "T & t\nAb c d\nE f\nx\ny"
