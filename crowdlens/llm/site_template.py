@@ -1,8 +1,8 @@
 """HTML extraction with site template removal.
 
 Every element of a page is a subtree with a hash of its tag, its class and id, and its contents.  Spark counts on how many pages
-of a host each subtree stands.  What recurs on a large share of a host's pages is template: it is cut out of each page
-before the main text is read.  What is left is read from the article, without elements whose tag, role or class marks
+of a host each subtree stands; equal pages of a host count once.  What recurs on a large share of a host's pages is template: it
+is cut out of each page before the main text is read, unless it holds the article.  What is left is read from the article, without elements whose tag, role or class marks
 them as menu, header, footer, sidebar, notice, advert, form or reader comment.
 """
 
@@ -164,7 +164,15 @@ def _is_header(n: Node) -> bool:
 
 
 def _prune(root: Node, template: frozenset[int], often: frozenset[int]) -> None:
-    """Takes out template and unwanted elements."""
+    """Takes out template and unwanted elements; template that holds the article stays, and is looked into."""
+    holds = set()
+    for tag in ("article", "main"):
+        if found := [n for n in walk(root) if n.tag == tag]:
+            n = max(found, key=_length)
+            while n is not None:
+                holds.add(id(n))
+                n = n.parent
+            break
     stack = [(root, False)]
     while stack:
         n, inside = stack.pop()
@@ -172,7 +180,7 @@ def _prune(root: Node, template: frozenset[int], often: frozenset[int]) -> None:
         kept = []
         for c in n.children:
             if isinstance(c, Node):
-                if c.tag not in ("html", "body", "article", "main") and c.hash and c.hash in (often if inside and c.tag in PROSE else template):
+                if c.tag not in ("html", "body", "article", "main") and id(c) not in holds and c.hash and c.hash in (often if inside and c.tag in PROSE else template):
                     continue
                 if _unwanted(c):
                     continue
@@ -259,7 +267,7 @@ def templates(pages: DataFrame) -> DataFrame:
     """(host, template, often): hashes of the subtrees that recur on a host's pages, and of those that recur so much that they
     are template even as prose.
 
-    A subtree is on a share of its host's pages, so that a host has at most 1 / SHARE times as many as a page."""
+    Equal html of a host is one page, however often it was crawled.  A subtree is on a share of its host's pages, so that a host has at most 1 / SHARE times as many as a page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -270,7 +278,11 @@ def templates(pages: DataFrame) -> DataFrame:
                 hashes += [0, *found]  # 0 counts pages
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], ["host", "hash"])
 
-    counts = pages.select(host("url").alias("host"), "html").mapInArrow(run, "host string, hash long").groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST)
+    # 128 bits of a host and page; only pages that stand there several times are brought together
+    keyed = pages.select(host("url").alias("host"), F.coalesce("html", F.lit("")).alias("html")).withColumn("h1", F.xxhash64("host", "html")).withColumn("h2", F.xxhash64(F.lit(1), "host", "html"))
+    again = small(cut(keyed.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")))
+    rows = keyed.join(again, ["h1", "h2"], "left_anti").unionByName(keyed.join(again, ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"])).select("host", "html")
+    counts = rows.mapInArrow(run, "host string, hash long").groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST)
     counts = cut(counts)
     sizes = counts.where("hash = 0").select("host", F.col("n").alias("pages"))
     shared = counts.where("hash <> 0").join(small(sizes), "host").where(F.col("n") >= F.col("pages") * SHARE)

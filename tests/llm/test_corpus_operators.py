@@ -272,3 +272,14 @@ def test_extraction(spark):
     rows = [(i, f"http://h.example/{i}", f"<article><div><span>Buy now</span></div><p>text {i}</p></article>") for i in range(6)] + [(9, None, None), (10, "http://h.example/x", "")]
     got = {r.page_id: r.text for r in site_template.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: f"text {i}" for i in range(6)} | {9: "", 10: ""}
+
+
+def test_repeated_pages_keep_their_article(spark):
+    page = lambda k: f"<body><div class='wrap'><article><h1>T{k}</h1><p>text {k}</p><ul><li>one {k}</ul><table><tr><td>cell {k}</table></article></div><div><p>Buy now</p></div></body>"
+    text = lambda k: f"T{k}\ntext {k}\none {k}\ncell {k}"
+    which = [0, 0, 0, 0, 0, 0, 1, 2, 3, 4]
+    rows = [(i, f"http://h.example/{i}", page(k)) for i, k in enumerate(which)]
+    # the article is the same under another page: template, but what wraps it stays
+    rows += [(20 + i, f"http://w.example/{i}", f"<body><div><main><p>{'same text ' * 3}</p></main></div><p>{i}</p></body>") for i in range(4)]
+    got = {r.page_id: r.text for r in site_template.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: text(k) for i, k in enumerate(which)} | {20 + i: "same text same text same text" for i in range(4)}
