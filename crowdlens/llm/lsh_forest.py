@@ -1,8 +1,11 @@
 """N-gram Jaccard join by a MinHash LSH forest.
 
-Each document's set of word 5-grams gets a MinHash signature.  A tree of the forest orders the documents by a sequence of
-signature values; documents that share a prefix of it share a node of the tree's trie.  The matched prefix starts at the full
-DEPTH and is shortened until a pair of exactly the threshold's similarity shares a node of some tree with probability RECALL.
+Each document's set of word 5-grams gets a MinHash signature, of DEPTH values of its own for each tree.  Documents that share
+a prefix of a tree's values share a node of its trie.  All nodes of one level are found by a hash of the prefix; no other level
+of the trie is built, as all documents are matched at the same threshold.  The level starts at DEPTH and is raised
+until a pair of exactly the threshold's similarity shares a node of some tree with probability RECALL; then an audit compares
+documents drawn by hash, and documents with links, with all others, and while it finds less than RECALL of their links, the level
+is raised by one and the pairs of that level are added.
 In a node, sketches of one bit per MinHash value discard pairs that are far from similar and the rest are chained together, so
 that a node of n documents gives at most n - 1 links.  Documents so connected, a superset of those that are similar, are
 compared exactly, in blocks of bounded size.
@@ -23,6 +26,8 @@ from .shared import components, cut, grouped, mix, pieces, small, stored, text_b
 
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, DEPTH, VALUES, RECALL = 40, 14, 128, 0.999
+#: Documents in each half of the audit, at least; the square root of all beyond.
+AUDITED = 256
 #: Equal bits of two sketches below which a pair is given up: at similarity t, (1 + t) / 2 of VALUES are expected equal; four
 #: standard deviations are allowed.
 SLACK = 4.0
@@ -55,47 +60,39 @@ def shingles(buf: np.ndarray, offsets: np.ndarray, n: int = SHINGLE) -> tuple[np
     return out[order], out_rows[order]
 
 
-def signatures(s: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """VALUES MinHash values of each set; sets are the stretches of s that begin there."""
+def forest_keys(s: np.ndarray, begins: np.ndarray, depth: int, trees: int = TREES) -> tuple[np.ndarray, np.ndarray]:
+    """Of each set and tree, a hash of the first `depth` MinHash values of the tree, which no other tree has; and of each set a
+    sketch, one bit of VALUES values, as two 64-bit integers.  Sets are the stretches of s that begin there."""
     rng = np.random.default_rng(7)
-    a = rng.integers(0, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    b = rng.integers(0, 1 << 63, VALUES, dtype=np.uint64)
-    return np.stack([np.minimum.reduceat(mix_light(s * x + y), begins) for x, y in zip(a, b)], axis=1)
+    a = rng.integers(0, 1 << 63, (trees, DEPTH), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    b = rng.integers(0, 1 << 63, (trees, DEPTH), dtype=np.uint64)
+    for_sketch = -(-VALUES // trees)
+    keys, bits = np.empty((len(begins), trees), np.uint64), np.zeros((len(begins), trees, for_sketch), np.uint8)
+    for t in range(trees):
+        key = np.full(len(begins), t + 1, np.uint64)
+        for i in range(max(depth, for_sketch)):
+            value = np.minimum.reduceat(mix_light(s * a[t, i] + b[t, i]), begins)
+            if i < depth:
+                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + value)
+            if i < for_sketch:
+                bits[:, t, i] = mix(value) & np.uint64(1)
+        keys[:, t] = key
+    return keys, np.packbits(bits.reshape(len(begins), -1)[:, :VALUES], axis=1).view(np.uint64)
 
 
 def mix_light(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def tree_keys(sig: np.ndarray, depth: int, trees: int = TREES) -> np.ndarray:
-    """Of each document and tree, a hash of the first `depth` values of the tree's sequence."""
-    rng = np.random.default_rng(11)
-    out = np.empty((len(sig), trees), np.uint64)
-    for t in range(trees):
-        order = rng.permutation(sig.shape[1])
-        key = np.full(len(sig), t + 1, np.uint64)
-        for i in order[:depth]:
-            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, i])
-        out[:, t] = key
-    return out
-
-
-def sketches(sig: np.ndarray) -> np.ndarray:
-    """One bit of each value, as two 64-bit integers."""
-    bits = (mix(sig) & np.uint64(1)).astype(np.uint8)
-    return np.packbits(bits, axis=1).view(np.uint64)
-
-
 def _forest(docs: DataFrame, depth: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in pieces(whole, "text"):
+            for b in pieces(whole, "text", 1 << 20):
                 s, rows = shingles(*text_buffer(b.column(1)))
                 if not len(s):
                     continue
                 begins = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-                sig = signatures(s, begins)
-                keys, sk = tree_keys(sig, depth), sketches(sig)
+                keys, sk = forest_keys(s, begins, depth)
                 ids = b.column(0).to_numpy()[rows[begins]]
                 n = keys.shape[1]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.view(np.int64).ravel(), np.repeat(ids, n), np.repeat(sk[:, 0].view(np.int64), n), np.repeat(sk[:, 1].view(np.int64), n))], ["key", "id", "s1", "s2"])
@@ -226,6 +223,59 @@ def _compare(key: tuple, rows: pa.Table, threshold: float) -> Iterator[pa.Record
     yield pa.RecordBatch.from_arrays([pa.array([*ids[some].tolist(), *a], pa.int64()), pa.array([*[None] * k, *b], pa.int64()), pa.array([*count[some].astype(np.int64).tolist(), *[0] * len(a)], pa.int64())], ["a", "b", "links"])
 
 
+def _audit(single: DataFrame, copies: DataFrame, links: DataFrame, threshold: float) -> float:
+    """Share of the links of audited documents, those to other texts, that are in (class_id, links), or the mean of their shares
+    if that is less; 1 if they have none.  copies: (class_id, copies) of texts that occur several times.
+
+    Audited are AUDITED documents, or the square root of all if that is more, of the smallest hash; and as many of those with
+    links."""
+    ids = cut(single.select("doc_id"))
+    most = max(AUDITED, int(ids.count() ** 0.5))
+    drawn = ids.join(links.where("links > 0").select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
+    order = [F.xxhash64(F.lit(3), "doc_id"), "doc_id"]
+    sample = ids.orderBy(*order).limit(most).unionByName(drawn.orderBy(*order).limit(most)).distinct()
+    rows = _sets(single.join(small(cut(sample)), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("component"), F.lit(1).cast("long").alias("copies"), "text")).collect()
+    sets = [np.frombuffer(r.shingles, np.uint64) for r in rows]
+    if not sets:
+        return 1.0
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    by = np.argsort(flat, kind="stable")
+    asked = single.sparkSession.sparkContext.broadcast((np.array([r.id for r in rows]), np.array([len(x) for x in sets]), flat[by], owner[by]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, size, flat, owner = asked.value
+        for whole in batches:
+            for b in pieces(whole, "text", 1 << 20):
+                all_s, all_rows = shingles(*text_buffer(b.column(1)))
+                order = np.lexsort((all_s, all_rows))  # a row's shingles are a set
+                s, rows = all_s[order], all_rows[order]
+                new = np.ones(len(s), bool)
+                new[1:] = (s[1:] != s[:-1]) | (rows[1:] != rows[:-1])
+                s, rows = s[new], rows[new]
+                own = np.bincount(rows, minlength=b.num_rows)
+                lo, hi = np.searchsorted(flat, s), np.searchsorted(flat, s, "right")
+                at = np.flatnonzero(hi > lo)
+                rows, lo, n = rows[at], lo[at], (hi - lo)[at]
+                total = np.append(0, np.cumsum(np.bincount(rows, n, b.num_rows)))
+                start = 0
+                while start < b.num_rows:  # so many rows that neither their hits nor their pairs take much memory
+                    end = max(start + 1, min(start + 250_000 // len(ids), int(np.searchsorted(total, total[start] + 500_000, "right")) - 1, b.num_rows))
+                    x, y = np.searchsorted(rows, [start, end])
+                    k = n[x:y]
+                    which = owner[np.repeat(lo[x:y] - np.cumsum(k) + k, k) + np.arange(k.sum())]
+                    both = np.bincount(np.repeat(rows[x:y] - start, k) * len(ids) + which, minlength=(end - start) * len(ids)).reshape(-1, len(ids))
+                    union = size[None, :] + own[start:end, None] - both
+                    doc = b.column(0).to_numpy()[start:end]
+                    row, which = np.nonzero((both > 0) & (both >= threshold * union - 1e-9 * union) & (doc[:, None] != ids[None, :]))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[which]), pa.array(doc[row])], ["asked", "class_id"])
+                    start = end
+
+    pairs = single.select("doc_id", "text").mapInArrow(run, "asked long, class_id long").distinct()
+    true = pairs.join(copies, "class_id", "left").groupBy(F.col("asked").alias("class_id")).agg(F.sum(F.coalesce("copies", F.lit(1))).alias("n"))
+    r = true.join(links, "class_id", "left").withColumn("got", F.least("n", F.coalesce("links", F.lit(0)))).agg(F.sum("n").alias("n"), F.sum("got").alias("found"), F.avg(F.col("got") / F.col("n")).alias("mean")).first()
+    return 1.0 if not r or not r.n else min(r.found / r.n, r.mean)
+
+
 def similar(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """One row per distinct (doc_id, text): doc_id, body, class_id, n_links, component_id and kept.
 
@@ -242,15 +292,21 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     single = named.where("doc_id is not null and text is not null").withColumn("body", F.xxhash64("text")).join(small(later), ["doc_id", "body"], "left_anti")
 
     least = int(VALUES * (1 + threshold) / 2 - SLACK * (VALUES * (1 - threshold**2) / 4) ** 0.5)
-    near = components(_chains(_forest(single, prefix(threshold, recall=recall)), least))
-    sizes = near.groupBy("component").agg(F.count("*").alias("n"))
-    near = cut(near.join(sizes, "component").join(classes.select(F.col("class_id").alias("id"), "copies"), "id"))
-    chosen = single.join(small(near.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi").join(near.withColumnRenamed("id", "doc_id"), "doc_id")
-    sets = _sets(chosen.withColumnRenamed("doc_id", "id")).join(sizes, "component")
-    parts = sets.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "copies", "block", "shingles")
-    found = stored(grouped(dealt, ["component", "i", "j"], lambda k, t: _compare(k, t, threshold), "a long, b long, links long"), "links")
-    links = found.where("b is null").groupBy(F.col("a").alias("class_id")).agg(F.sum("links").alias("links"))
+    pairs = None
+    for depth in range(prefix(threshold, recall=recall), 0, -1):
+        more = _chains(_forest(single, depth), least)
+        near = components(more if pairs is None else more.unionByName(pairs))
+        pairs = near.select(F.col("id").alias("a"), F.col("component").alias("b"))
+        sizes = near.groupBy("component").agg(F.count("*").alias("n"))
+        near = cut(near.join(sizes, "component").join(classes.select(F.col("class_id").alias("id"), "copies"), "id"))
+        chosen = single.join(small(near.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi").join(near.withColumnRenamed("id", "doc_id"), "doc_id")
+        sets = _sets(chosen.withColumnRenamed("doc_id", "id")).join(sizes, "component")
+        parts = sets.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        dealt = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "copies", "block", "shingles")
+        found = stored(grouped(dealt, ["component", "i", "j"], lambda k, t: _compare(k, t, threshold), "a long, b long, links long"), "links")
+        links = cut(found.where("b is null").groupBy(F.col("a").alias("class_id")).agg(F.sum("links").alias("links")))
+        if _audit(single, classes.where("copies > 1").select("class_id", "copies"), links, threshold) >= recall:
+            break
     whole = components(found.where("b is not null").select("a", "b")).withColumnsRenamed({"id": "class_id", "component": "reached"})
     out = of_doc.join(links, "class_id", "left").join(whole, "class_id", "left")
     component = F.coalesce("reached", "class_id")

@@ -283,3 +283,22 @@ def test_repeated_pages_keep_their_article(spark):
     rows += [(20 + i, f"http://w.example/{i}", f"<body><div><main><p>{'same text ' * 3}</p></main></div><p>{i}</p></body>") for i in range(4)]
     got = {r.page_id: r.text for r in site_template.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: text(k) for i, k in enumerate(which)} | {20 + i: "same text same text same text" for i in range(4)}
+
+
+def test_trees_share_no_values_and_meet_the_recall():
+    # 30,000 pairs of sets with a similarity of exactly 0.8: 36 shingles in common, 9 apart
+    n, rng = 30_000, np.random.default_rng(4)
+    x = rng.integers(0, 1 << 63, (n, 45), dtype=np.uint64)
+    begins = np.arange(n)
+    one, other = (lsh_forest.forest_keys(x[:, at].ravel(), begins * len(at), lsh_forest.prefix())[0] for at in (np.arange(40), np.r_[:36, 40:45]))
+    assert (one == other).any(axis=1).mean() >= 0.9988
+
+
+def test_audit_raises_the_level(spark, docs, monkeypatch):
+    chains, depths, forest = lsh_forest._chains, [], lsh_forest._forest
+    monkeypatch.setattr(lsh_forest, "_forest", lambda d, depth: depths.append(depth) or forest(d, depth))
+    whole = {r.doc_id: tuple(r) for r in lsh_forest.similar(docs).collect()}
+    assert depths == [8]
+    depths.clear()
+    monkeypatch.setattr(lsh_forest, "_chains", lambda f, least: chains(f, least).where(F.lit(len(depths) > 1)))
+    assert {r.doc_id: tuple(r) for r in lsh_forest.similar(docs).collect()} == whole and depths == [8, 7]
