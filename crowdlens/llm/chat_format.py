@@ -5,10 +5,9 @@ reference goes to the attachment list with the number of model tokens it expands
 
     <|turn:role|>text<|end|>\n
 
-and no role or text can forge it: a backslash is put before every backslash, before every | of a role and before every |
-of a text that follows a <.  Reading
-back drops each first backslash, so that escaping is exactly reversible.  Placeholders are written by the formatter as
-<|image:1|>; the same string in a text is escaped.
+and no role or text can forge it, nor can several parts together: a backslash is put before every backslash, before every | of a
+role, and before every | of a text that follows a < or begins a part.  Reading back drops each first backslash, so that escaping
+is exactly reversible.  Placeholders are written by the formatter as <|image:1|>; the same string in a text is escaped.
 """
 
 from __future__ import annotations
@@ -19,7 +18,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 END = "<|end|>\n"
-_HEAD = r"(?s)^<\|turn:((?:\\.|[^\\|])*)\|>"
+# possessive, so that a role of any length takes no stack
+_HEAD = r"(?s)^<\|turn:([^\\|]*+(?:\\.[^\\|]*+)*+)\|>"
 #: A content part.  width and height are pixels, seconds the length of audio, pages those of a document.
 PART = T.StructType([
     T.StructField("type", T.StringType()),
@@ -37,7 +37,7 @@ MEDIA = ("image", "audio", "document")
 
 def escape(text: Column) -> Column:
     """Null becomes empty."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"\\|(?<=<)\|", r"\\$0")
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"\\|(?<=<)\||^\|", r"\\$0")
 
 
 def head(role: Column) -> Column:
@@ -85,12 +85,15 @@ def format_chats(turns: DataFrame, trained: str = "assistant") -> DataFrame:
     """One row per conversation of turns (conv_id, turn, role, and parts or text): conv_id, n_turns, formatted, loss_spans,
     attachments and expanded_tokens.
 
+    A column parts counts if it is an array of structs with PART's fields; one of another kind is ignored like other columns.
+
     loss_spans are (start, length) of the `trained` role's bodies in `formatted`, 0-based code points.  attachments are
     (number, turn_no, type, ref, tokens) in order; expanded_tokens is their sum.  Turns are ordered by turn, null first, then
     role and parts, so that repeated turn numbers have one order; repeated rows are turns of their own.  A null role or
     text is empty, null parts are skipped, other columns are ignored.  Rows with a null conv_id form one conversation.  A
     conversation, which is one row of the result, is held by one task; different ones are dealt out by their id."""
-    parts = F.filter(F.coalesce("parts", F.array()), lambda p: p.isNotNull()) if "parts" in turns.columns else text_part(F.col("text"))
+    typed = "parts" in turns.columns and isinstance(kind := turns.schema["parts"].dataType, T.ArrayType) and isinstance(kind.elementType, T.StructType) and set(PART.names) <= set(kind.elementType.names)
+    parts = F.filter(F.coalesce("parts", F.array()), lambda p: p.isNotNull()) if typed else text_part(F.col("text"))
     order = W.partitionBy("conv_id").orderBy("turn", "role", "parts")
     before = order.rowsBetween(W.unboundedPreceding, -1)
     so_far = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))

@@ -3,6 +3,7 @@
 Pigeonhole: an item with a budget of k edits is split into k + 1 pieces; wherever a document has the item with at most k edits,
 at least one piece is there unchanged.  An automaton of all pieces finds these hits in one pass over a document; around each,
 Myers' bit-parallel distance decides.  Text is compared as its letters and digits, lower case, one space between runs of them.
+Items of under SHORT_CHARS have no budget and must stand as whole words.
 
 The documents stay where they are.  Items go to every task in blocks of BLOCK_CHARS, each a pass over the documents, so that
 memory is bounded however many items there are.
@@ -19,15 +20,17 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, small
+from .shared import cut, lean, small, tame, unused
 
 #: Edits allowed per normalised character of an item; a piece has then about 1 / RATE characters.
 RATE = 0.05
-#: Shorter items, after normalisation, identify nothing and are not searched for.
-LEAST_CHARS = 25
+#: Shorter items, after normalisation, count only where they stand as they are, between the ends of words.
+SHORT_CHARS = 25
 #: Characters of items whose automaton a task holds at once; about 60 bytes each.
 BLOCK_CHARS = 2_000_000
 _RUNS = regex.compile(r"[\p{L}\p{M}\p{N}]+")
+#: Scripts without spaces between words: in these, a word may end anywhere.
+_UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
 
 
 def normal(text: str | None) -> str:
@@ -35,7 +38,13 @@ def normal(text: str | None) -> str:
 
 
 def budget(n: int, rate: float = RATE) -> int:
-    return int(n * rate)
+    return int(n * rate) if n >= SHORT_CHARS else 0
+
+
+def stands(item: str, text: str, at: int) -> bool:
+    """Whether the item, which the text has at this place, begins and ends there with a word."""
+    end = at + len(item)
+    return (at <= 0 or text[at - 1] == " " or bool(_UNSPACED.match(item[0]))) and (end >= len(text) or text[end] == " " or bool(_UNSPACED.match(item[-1])))
 
 
 def split(item: str, k: int) -> list[tuple[int, str]]:
@@ -110,6 +119,11 @@ class Matcher:
         for i, begins in spans.items():
             item, k = self.items[i]
             m, best = len(item), (k + 1, -1)
+            if m < SHORT_CHARS:
+                found = [b for b in begins if stands(item, text, b)]
+                if found:
+                    out.append((i, 0, min(found) + m))
+                continue
             table = self.tables.get(i)
             if table is None:
                 table = self.tables[i] = peq(item)
@@ -135,10 +149,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFr
     """(doc_id, item_id, distance, item_chars, end) for each document and item within the item's budget of each other's text;
     end is where the best match ends in the normalised document.
 
-    Whole texts are searched.  Null and empty texts match nothing; items that normalise to less than LEAST_CHARS characters
-    are not searched for; items with a null id are taken for id -1.  Repeated items count once per id and text; repeated
-    documents give repeated rows.  Other columns are ignored."""
-    spark = docs.sparkSession
+    Whole texts are searched.  Null and empty texts match nothing, and neither do items without a letter or digit; items of
+    under SHORT_CHARS normalised characters match only as whole words without an edit; items with a null id are taken for id
+    -1.  Repeated items count once per id and text; repeated documents give repeated rows.  Other columns are ignored."""
+    spark = tame(docs).sparkSession
     listed = benchmark.select(F.coalesce("item_id", F.lit(-1)).cast("long").alias("item_id"), "text").where("text is not null").distinct()
     sizes = listed.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-sizes // BLOCK_CHARS) or 1
@@ -149,7 +163,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFr
         rows = listed.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
         # an id may have several texts
         items = {j: (r.item_id, normal(r.text)) for j, r in enumerate(sorted(rows, key=lambda r: (r.item_id, r.text)))}
-        items = {j: x for j, x in items.items() if len(x[1]) >= LEAST_CHARS}
+        items = {j: x for j, x in items.items() if x[1]}
         shared = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -164,7 +178,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFr
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()))], names)
 
-        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), schema)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -172,6 +186,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFr
 def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """The documents, all columns, without those that contain an item within its budget.
 
-    A null doc_id is compared like any other."""
-    hit = cut(matches(docs, benchmark, rate).select("doc_id").distinct().withColumnRenamed("doc_id", "hit_id"))
-    return docs.join(small(hit), F.col("doc_id").cast("long").eqNullSafe(F.col("hit_id")), "left_anti")
+    A null doc_id is compared like any other; other columns may have any name."""
+    gone = unused("gone", docs.columns)
+    hit = cut(matches(docs, benchmark, rate).select(F.col("doc_id").alias(gone)).distinct())
+    return docs.join(small(hit), F.col("doc_id").cast("long").eqNullSafe(F.col(gone)), "left_anti")

@@ -65,6 +65,15 @@ def op10_compression_lid(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_tree, op2_site_template, op3_nn_descent, op4_chat_format, op5_edit_match, op6_zip_archive, op7_lsh_forest, op8_recompression, op9_source_schedule, op10_compression_lid)}
 
 ORACLE: dict[str, str] = {
+    "op4_chat_format": r"""
+        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+        -- what the template adds: its own characters, and a backslash for each escaped one
+        s AS (SELECT *, length(role) + length(regexp_replace(role, '[^\\|]', '', 'g')) + length(text) + length(text) - length(replace(text, '\', ''))
+                     + length(text) - length(replace(text, '<|', '<')) + CASE WHEN starts_with(text, '|') THEN 1 ELSE 0 END + length('<|turn:|><|end|>') + 1 AS n FROM t),
+        a AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+                     coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss, CAST(sum(n) AS BIGINT) AS formatted_chars FROM s GROUP BY conv_id)
+        SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM a""",
     "op6_zip_archive": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         d AS (SELECT page_id, octet_length(encode(html)) AS n, sha256(html) AS digest FROM p),

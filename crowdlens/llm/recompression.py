@@ -7,8 +7,8 @@ of the equal stretch.  With each symbol goes its extent, the words on which its
 extent lies within a window of words is therefore the same wherever that window occurs: it is an anchor of the window.  Windows
 that happen to have no anchor are named by all their words, so that no repeat is missed.
 
-A window is looked up by the least of its anchors.  Only where that occurs in several documents are its words compared, by a
-128-bit hash.
+A window is looked up by the anchor of most words, the highest in the hierarchy, and of several by that with the least name.
+Only where this occurs in several documents are its words compared, by two 64-bit hashes made from independent hashes of words.
 """
 
 from __future__ import annotations
@@ -22,11 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import cut, drop_stored, mix, pieces, small, stored, text_buffer, window_hashes, word_hashes, words
+from .shared import cut, drop_stored, lean, mix, pieces, small, stored, tame, text_buffer, unused, window_hashes, word_hashes, words
 
 WINDOW = 50
 #: Rounds, the first so many of which also name runs, and the most words of a symbol.
 ROUNDS, RUN_ROUNDS, CAP = 7, 2, 16
+#: Bytes of text that are parsed at once; a symbol takes about 40 bytes of memory for each of its words.
+PIECE = 1 << 20
 
 
 def symbols(h: np.ndarray, rows: np.ndarray, rounds: int = ROUNDS, run_rounds: int = RUN_ROUNDS, cap: int = CAP) -> dict[str, np.ndarray]:
@@ -104,22 +106,22 @@ def _pairs(s: dict[str, np.ndarray], cap: int, t: int) -> dict[str, np.ndarray]:
 class Parsed:
     """The windows of the rows of a batch, and the name by which each is looked up."""
 
-    def __init__(self, buf: np.ndarray, offsets: np.ndarray, window: int):
+    def __init__(self, buf: np.ndarray, offsets: np.ndarray, window: int, second: bool = False):
         starts, ends, self.rows = words(buf, offsets)
-        self.hashes = word_hashes(buf, starts, ends)
-        self.w1, self.at = window_hashes(self.hashes, self.rows, window)
-        s = symbols(self.hashes, self.rows)
-        name, low, high = (s[k][s["high"] - s["low"] <= window] for k in ("name", "low", "high"))
-        # the windows (by their first word) that hold an anchor's extent: high - window .. low
-        order = np.argsort(name, kind="stable")
-        first, last = np.maximum(high - window, 0)[order], low[order]
-        count = last - first + 1
-        which = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
-        least = np.full(len(self.hashes) + 1, len(name), np.int64)
-        np.minimum.at(least, which, np.repeat(np.arange(len(name)), count))
-        least = least[self.at]
-        bare = least == len(name)  # no anchor: all words name it
-        self.name = np.append(name[order], np.uint64(0))[least]
+        hashes = word_hashes(buf, starts, ends)
+        self.w1, self.at = window_hashes(hashes, self.rows, window)
+        if second:
+            self.w2, _ = window_hashes(word_hashes(buf, starts, ends, too=True), self.rows, window, seed=1)
+        del starts, ends
+        s = symbols(hashes, self.rows)
+        fits = s["high"] - s["low"] <= window
+        name, low, high, span = s["name"][fits], s["low"][fits], s["high"][fits], (s["hi"] - s["lo"])[fits]
+        del s
+        order = np.lexsort((name, -span))
+        name, low, high = name[order], low[order], high[order]
+        best = least_over(np.maximum(high - window, 0), low, len(hashes) + 1, window)[self.at]
+        bare = best == len(name)  # no anchor: all words name it
+        self.name = np.append(name, np.uint64(0))[best]
         self.name[bare] = mix(self.w1[bare] ^ np.uint64(0xA5A5A5A5A5A5A5A5))
 
     def lookups(self) -> tuple[np.ndarray, np.ndarray]:
@@ -132,6 +134,25 @@ class Parsed:
         return n[new], r[new]
 
 
+def least_over(first: np.ndarray, last: np.ndarray, n: int, longest: int) -> np.ndarray:
+    """For each of n places the least index of the intervals (first to last, in order of index) that hold it, or their number.
+
+    Each interval marks two stretches of a power of two in length, which are then halved down to single places."""
+    levels = max(1, int(longest).bit_length())
+    table = np.full((levels, n), len(first), np.int32)
+    if len(first):
+        k = np.frexp((last - first + 1).astype(np.float64))[1] - 1
+        no = np.arange(len(first), dtype=np.int32)
+        np.minimum.at(table, (k, first), no)
+        np.minimum.at(table, (k, last - (1 << k) + 1), no)
+    for k in range(levels - 1, 0, -1):
+        half = 1 << (k - 1)
+        np.minimum(table[k - 1], table[k], out=table[k - 1])
+        if half < n:
+            np.minimum(table[k - 1][half:], table[k][: n - half], out=table[k - 1][half:])
+    return table[0]
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
@@ -139,12 +160,12 @@ def _signed(x: np.ndarray) -> pa.Array:
 def _names(docs: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in pieces(whole, "text"):
+            for b in pieces(whole, "text", PIECE):
                 p = Parsed(*text_buffer(b.column(2)), window)
                 name, row = p.lookups()
                 yield pa.RecordBatch.from_arrays([_signed(name), b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row))], ["name", "doc_id", "body"])
 
-    return docs.select("doc_id", "body", "text").mapInArrow(run, "name long, doc_id long, body long")
+    return docs.select("doc_id", "body", "text").mapInArrow(lean(run), "name long, doc_id long, body long")
 
 
 def _windows(docs: DataFrame, window: int) -> DataFrame:
@@ -152,9 +173,9 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in pieces(whole, "text"):
-                p = Parsed(*text_buffer(b.column(2)), window)
-                w2, _ = window_hashes(p.hashes, p.rows, window, seed=1)
+            for b in pieces(whole, "text", PIECE):
+                p = Parsed(*text_buffer(b.column(2)), window, second=True)
+                w2 = p.w2
                 names, row = b.column(3), p.rows[p.at]
                 begins = np.searchsorted(p.rows, np.arange(b.num_rows))
                 for i in range(b.num_rows):
@@ -174,7 +195,7 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
                         same, head = np.full(len(first), i), order[first]
                         yield pa.RecordBatch.from_arrays([_signed(p.w1[head]), _signed(w2[head]), b.column(0).take(pa.array(same)), b.column(1).take(pa.array(same)), pa.array(place[first]), pa.array(rest, pa.list_(pa.int32()))], ["w1", "w2", "doc_id", "body", "at", "more"])
 
-    return docs.select("doc_id", "body", "text", "names").mapInArrow(run, "w1 long, w2 long, doc_id long, body long, at int, more array<int>")
+    return docs.select("doc_id", "body", "text", "names").mapInArrow(lean(run), "w1 long, w2 long, doc_id long, body long, at int, more array<int>")
 
 
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -182,7 +203,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     windows' first words, ascending, or null where every word goes (a copy of a smaller document's text).
 
     body is xxhash64 of the text: it tells rows of one doc_id apart.  Rows without doc_id or text take no part."""
-    keyed = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("body"), "text")
+    keyed = tame(docs).where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("body"), "text")
     # copies of a whole text are settled by their hash, 128 bits of it; the smallest of them stands for all
     digests = cut(keyed.select("doc_id", "body", F.xxhash64(F.lit(1), "text").alias("body2")).distinct())
     texts = digests.groupBy("body", "body2").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1")
@@ -219,22 +240,23 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, found: DataFrame | Non
 
     Words are runs of anything but white space (bytes 20 and 09-0D), as they stand.  Windows are judged on the input.  Null
     texts have no words and stay null; rows without doc_id stay as they are; rows that share doc_id are one document, of which
-    no row makes another's words repeats.  Columns named as the added ones are replaced."""
+    no row makes another's words repeats.  Columns named as the added ones are replaced; others may have any name."""
     added = ["n_words", "n_removed", "kept_sha256", "removed_spans"]
     kept = [c for c in docs.columns if c.lower() not in added]
     found = repeats(docs, window) if found is None else found
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("body")).alias("_key"))
-    marks = found.select(F.struct("doc_id", "body").alias("_key"), "starts", F.lit(True).alias("_hit"))
-    keys = small(marks.select("_key"))
+    key, starts_, hit_ = (unused(c, docs.columns) for c in ("key", "starts", "hit"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("body")).alias(key))
+    marks = found.select(F.struct("doc_id", "body").alias(key), F.col("starts").alias(starts_), F.lit(True).alias(hit_))
+    keys = small(marks.select(key))
     # documents without repeats, nearly all, need no shuffle if the others are few
-    touched = rows.join(keys, "_key", "left_semi").join(marks, "_key")
-    rest = rows.join(keys, "_key", "left_anti").withColumn("starts", F.lit(None).cast("array<int>")).withColumn("_hit", F.lit(False))
+    touched = rows.join(keys, key, "left_semi").join(marks, key)
+    rest = rows.join(keys, key, "left_anti").withColumn(starts_, F.lit(None).cast("array<int>")).withColumn(hit_, F.lit(False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in pieces(whole, "text"):
+            for b in pieces(whole, "text", PIECE):
                 get = {f.name: b.column(i) for i, f in enumerate(b.schema)}
-                text, starts, hit = get["text"], get["starts"], get["_hit"].to_pylist()
+                text, starts, hit = get["text"], get[starts_], get[hit_].to_pylist()
                 buf, offsets = text_buffer(text)
                 first, last, row = words(buf, offsets)
                 begins = np.searchsorted(row, np.arange(b.num_rows + 1))
@@ -258,4 +280,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, found: DataFrame | Non
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     fields = [docs.schema[c] for c in kept] + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("removed_spans", span)]
     both = touched.unionByName(rest)
-    return both.select(*kept, "starts", "_hit").mapInArrow(run, T.StructType(fields))
+    return both.select(*[F.col(f"`{c}`") for c in kept], starts_, hit_).mapInArrow(lean(run), T.StructType(fields))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -14,12 +15,14 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but these bytes; in UTF-8 no other character contains them.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = b" \t\n\x0b\x0c\r"
-#: Rows of at most 16 bytes that may be broadcast: 16 MB at most.
-BROADCAST_ROWS = 1_000_000
+#: Rows of two longs that may be broadcast: 8 MB of data, about 50 MB as an executor's hash table.
+BROADCAST_ROWS = 500_000
+#: Bytes of one Arrow batch between the JVM and Python; operators lower Spark's 64 MB to this, and leave any other setting alone.
+BATCH, _BATCH_CONF, _BATCH_DEFAULT = "8m", "spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b", "64m", "64MB")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, or a folder of this session where none is named (tests)."""
+    """The folder named in spark.checkpoint.dir; where none is named, a folder of this session in local mode, else an error."""
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if where:
@@ -27,10 +30,49 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(where)
         return where.rstrip("/")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="llm-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def tame(df: DataFrame) -> DataFrame:
+    """Lowers the session's default size of Arrow batches, so that a worker holds few texts at a time."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_CONF, _BATCH_DEFAULT[0]) in _BATCH_DEFAULT:
+        conf.set(_BATCH_CONF, BATCH)
+    return df
+
+
+def release() -> None:
+    """Gives freed memory back to the system, which a worker that waits for its next task would keep."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The Arrow map, which releases its memory when a task ends."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return go
+
+
+def unused(name: str, columns: Sequence[str]) -> str:
+    """The name, with underscores added until no column is called so in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -96,7 +138,7 @@ def grouped(df: DataFrame, keys: Sequence[str], fn: Callable[[tuple, pa.Table],
         if held:
             yield from fn(at, pa.Table.from_batches(held))
 
-    return df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order).mapInArrow(lean(run), schema)
 
 
 def pieces(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -125,7 +167,7 @@ _SPACE[list(SPACES)] = True
 _AS_IS = np.arange(256)
 _LOWER = np.where((_AS_IS >= 65) & (_AS_IS <= 90), _AS_IS + 32, _AS_IS)
 _RANDOM = np.random.default_rng(20240229)
-_BYTE = _RANDOM.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE, _BYTE_TOO = (_RANDOM.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _CHUNK = 1 << 20
 _POWERS: dict[str, np.ndarray] = {}
@@ -165,10 +207,11 @@ def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, np.flatnonzero(ends) + 1, np.searchsorted(offsets, starts, "right") - 1
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """64 bits for each word, the same wherever it stands; in chunks, so that long rows need little memory."""
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, too: bool = False) -> np.ndarray:
+    """64 bits for each word, the same wherever it stands, and others if `too`; in chunks, so that long rows need little memory."""
     out = np.empty(len(starts), np.uint64)
-    table = _BYTE[_LOWER] if lower else _BYTE
+    table = _BYTE_TOO if too else _BYTE
+    table = table[_LOWER] if lower else table
     i = 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + _CHUNK, "right")))
@@ -206,7 +249,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     def star(df: DataFrame, large: bool) -> DataFrame:
         both = df.select("u", "v").unionByName(df.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else df
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
+        # cut, so that both sides of the join are plain exchanges, of which AQE splits a hub's
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")))
         joined = both.join(least, "u")
         if large:
             out = joined.where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))

@@ -2,8 +2,10 @@
 
 Every element of a page is a subtree with a hash of its tag, its class and id, and its contents.  Spark counts on how many pages
 of a host each subtree stands; equal pages of a host count once.  What recurs on a large share of a host's pages is template: it
-is cut out of each page before the main text is read, unless it holds the article.  What is left is read from the article, without elements whose tag, role or class marks
-them as menu, header, footer, sidebar, notice, advert, form or reader comment.
+is cut out of each page before the main text is read, unless it holds the article or is most of its text.  What is left is read
+from the article, without elements whose tag, role or class marks them as menu, header, footer, sidebar, notice, advert, form or
+reader comment.  A class or id is such a mark if all of its parts are words for these things or for boxes: "share-buttons" is,
+"share-price-analysis" and "with-sidebar" aren't.
 """
 
 from __future__ import annotations
@@ -17,14 +19,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, small, stored
+from .shared import BROADCAST_ROWS, cut, lean, small, stored, tame
 
 #: A subtree is template if it is on at least LEAST pages and on this share of its host's pages.  Within the article more is
-#: asked of paragraphs, headings and the like, as an author may repeat a line.
+#: asked, as an author may repeat a line and several pages may have an article.
 LEAST, SHARE = 3, 0.3
-LEAST_PROSE, SHARE_PROSE = 5, 0.6
-#: Hashes that may be broadcast, 8 bytes each; beyond, pages are joined with their host's by a shuffle.
-BROADCAST_HASHES = 1_000_000
+LEAST_INSIDE, SHARE_INSIDE = 5, 0.6
+#: Share of an article's text that recurs from which on it is the article.
+MOST = 0.75
+#: Hashes that may be broadcast, 8 bytes each; beyond, pages are joined with their host's by a shuffle, in which a host with more
+#: than so many pages is dealt to several tasks.
+BROADCAST_HASHES, HOST_PAGES = 1_000_000, 20_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -36,12 +41,16 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Start tags that end an open paragraph, and what ends an open element of the same kind.
 CLOSES_P = BLOCKS - frozenset("td th tr tbody thead tfoot caption summary figcaption dt dd li html body".split()) | frozenset(["li"])
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-#: Words in a class or id that mark what isn't the article.
+#: Words for what isn't the article, and words that a class or id made of them may hold besides.
 MARKS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead banner cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup promo promotion "
     "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors social share sharing related recommended recommendations comment comments commentlist disqus reply replies respond "
     "pagination pager toolbar widget widgets login signin search alert paywall skip topbar".split()
 )
+BOXES = frozenset(
+    "area bar bottom box block btn button buttons card cards column container content form group header heading icon icons id inner item items js left link links list main mobile module outer page panel "
+    "post posts article articles right row section site slot text thread title top unit user wrap wrapper zone bar to s".split()
+)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 HEADER_MARKS = frozenset(["header", "topbar", "masthead"])
 CONTENT = frozenset("article post entry story content articlebody main".split())
@@ -144,31 +153,44 @@ def subtree_hashes(page: str) -> set[int]:
 
 
 def _marks(n: Node) -> set[str]:
+    """The words of which class and id are made, of each name that is nothing but words for what isn't the article and for boxes."""
+    out: set[str] = set()
+    for name in f"{n.attrs.get('class', '')} {n.attrs.get('id', '')}".split():
+        parts = {x.lower() for x in _NAMES.findall(name)}
+        if parts & MARKS and parts <= MARKS | BOXES:
+            out |= parts
+    return out
+
+
+def _words(n: Node) -> set[str]:
     return {x.lower() for x in _NAMES.findall(f"{n.attrs.get('class', '')} {n.attrs.get('id', '')}")}
 
 
-def _unwanted(n: Node) -> bool:
+def _unwanted(n: Node, inside: bool = False) -> bool:
     if n.tag in DROPPED or "hidden" in n.attrs or n.attrs.get("aria-hidden") == "true":
         return True
     if n.attrs.get("role", "").lower() in ROLES:
         return True
-    if not n.attrs or n.tag in ("html", "body", "main"):
+    if not n.attrs or n.tag in ("html", "body", "main", "article") or inside and n.tag in PROSE - {"li"}:
         return False
     if "style" in n.attrs and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", n.attrs["style"], re.I):
         return True
-    return bool(MARKS & _marks(n))
+    return bool(_marks(n))
 
 
 def _is_header(n: Node) -> bool:
-    return n.tag == "header" or bool(n.attrs) and n.tag in CONTAINERS and bool(HEADER_MARKS & _marks(n))
+    return n.tag == "header" or bool(n.attrs) and n.tag in CONTAINERS and bool(HEADER_MARKS & _words(n)) and _words(n) <= HEADER_MARKS | BOXES
 
 
 def _prune(root: Node, template: frozenset[int], often: frozenset[int]) -> None:
-    """Takes out template and unwanted elements; template that holds the article stays, and is looked into."""
-    holds = set()
+    """Takes out template and unwanted elements.  What holds the article, the longest <article> or else <main>, stays and is looked
+    into; within it, what is often there goes unless that is most of the article's text."""
+    holds: set[int] = set()
     for tag in ("article", "main"):
         if found := [n for n in walk(root) if n.tag == tag]:
-            n = max(found, key=_length)
+            n = main = max(found, key=_length)
+            if often and sum(_length(x) for x in _outermost(main, often)) >= MOST * _length(main):
+                often = frozenset()
             while n is not None:
                 holds.add(id(n))
                 n = n.parent
@@ -179,10 +201,10 @@ def _prune(root: Node, template: frozenset[int], often: frozenset[int]) -> None:
         inside = inside or n.tag in ("article", "main")
         kept = []
         for c in n.children:
-            if isinstance(c, Node):
-                if c.tag not in ("html", "body", "article", "main") and id(c) not in holds and c.hash and c.hash in (often if inside and c.tag in PROSE else template):
+            if isinstance(c, Node) and id(c) not in holds:
+                if c.tag not in ("html", "body") and c.hash and c.hash in (often if inside else template):
                     continue
-                if _unwanted(c):
+                if _unwanted(c, inside):
                     continue
                 if _is_header(c):  # of an article's header, its headings are text
                     if not inside:
@@ -190,11 +212,24 @@ def _prune(root: Node, template: frozenset[int], often: frozenset[int]) -> None:
                     kept += [x for x in walk(c) if x.tag in HEADINGS]
                     stack += [(x, inside) for x in walk(c) if x.tag in HEADINGS]
                     continue
+            if isinstance(c, Node):
                 stack.append((c, inside))
             kept.append(c)
         n.children = kept
 
 
+def _outermost(node: Node, hashes: frozenset[int]) -> list[Node]:
+    """The subtrees under a node whose hash is one of these, without those within another."""
+    out, stack = [], [c for c in node.children if isinstance(c, Node)]
+    while stack:
+        n = stack.pop()
+        if n.hash and n.hash in hashes:
+            out.append(n)
+        else:
+            stack += [c for c in n.children if isinstance(c, Node)]
+    return out
+
+
 def _length(n: Node) -> int:
     return sum(len(c) for x in walk(n) for c in x.children if isinstance(c, str))
 
@@ -210,7 +245,7 @@ def _content(root: Node) -> Node:
     for found in (
         [n for n in nodes if n.tag == "article"],
         [n for n in nodes if n.tag == "main" or n.attrs.get("role", "").lower() == "main"],
-        [n for n in nodes if n.attrs and (n.attrs.get("itemprop", "").lower() == "articlebody" or n.tag in ("div", "section") and CONTENT & _marks(n))],
+        [n for n in nodes if n.attrs and (n.attrs.get("itemprop", "").lower() == "articlebody" or n.tag in ("div", "section") and CONTENT & _words(n))],
     ):
         found = [n for n in found if _length(n)]
         if found:
@@ -265,7 +300,7 @@ def host(url: str | Column) -> Column:
 
 def templates(pages: DataFrame) -> DataFrame:
     """(host, template, often): hashes of the subtrees that recur on a host's pages, and of those that recur so much that they
-    are template even as prose.
+    are template even within the article.
 
     Equal html of a host is one page, however often it was crawled.  A subtree is on a share of its host's pages, so that a host has at most 1 / SHARE times as many as a page."""
 
@@ -282,12 +317,12 @@ def templates(pages: DataFrame) -> DataFrame:
     keyed = pages.select(host("url").alias("host"), F.coalesce("html", F.lit("")).alias("html")).withColumn("h1", F.xxhash64("host", "html")).withColumn("h2", F.xxhash64(F.lit(1), "host", "html"))
     again = small(cut(keyed.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")))
     rows = keyed.join(again, ["h1", "h2"], "left_anti").unionByName(keyed.join(again, ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"])).select("host", "html")
-    counts = rows.mapInArrow(run, "host string, hash long").groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST)
+    counts = rows.mapInArrow(lean(run), "host string, hash long").groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST)
     counts = cut(counts)
     sizes = counts.where("hash = 0").select("host", F.col("n").alias("pages"))
     shared = counts.where("hash <> 0").join(small(sizes), "host").where(F.col("n") >= F.col("pages") * SHARE)
-    prose = (F.col("n") >= LEAST_PROSE) & (F.col("n") >= F.col("pages") * SHARE_PROSE)
-    return shared.groupBy("host").agg(F.collect_list("hash").alias("template"), F.collect_list(F.when(prose, F.col("hash"))).alias("often"))
+    inside = (F.col("n") >= LEAST_INSIDE) & (F.col("n") >= F.col("pages") * SHARE_INSIDE)
+    return shared.groupBy("host").agg(F.collect_list("hash").alias("template"), F.collect_list(F.when(inside, F.col("hash"))).alias("often"))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -295,12 +330,18 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     Null html is empty and gives an empty text.  Pages without url are one host.  Repeated rows count as pages of their own;
     other columns are ignored."""
-    from .shared import stored
-
+    rows = tame(pages).select("page_id", "url", "html", host("url").alias("host"))
     found = stored(templates(pages), "templates")
     hashes = found.agg(F.sum(F.size("template") + F.size("often"))).first()[0] or 0
-    found = F.broadcast(found) if hashes <= BROADCAST_HASHES else found
-    rows = pages.select("page_id", "url", "html", host("url").alias("host")).join(found, "host", "left").select("page_id", "url", "html", "host", "template", "often")
+    if hashes <= BROADCAST_HASHES:
+        rows = rows.join(F.broadcast(found), "host", "left")
+    else:
+        # a host's pages are dealt to as many tasks as they need, and its template to each of them
+        deals = cut(rows.groupBy("host").agg(F.ceil(F.count("*") / HOST_PAGES).cast("int").alias("deals")).where("deals > 1"))
+        dealt = rows.join(small(deals, BROADCAST_ROWS // 10), "host", "left").withColumn("deal", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("deals", F.lit(1))))
+        many = found.join(small(deals, BROADCAST_ROWS // 10), "host", "left").withColumn("deal", F.explode(F.sequence(F.lit(0), F.coalesce("deals", F.lit(1)) - 1)).cast("long"))
+        rows = dealt.drop("deals").join(many.drop("deals"), ["host", "deal"], "left")
+    rows = rows.select("page_id", "url", "html", "host", "template", "often")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[frozenset[int], frozenset[int]]] = {}
@@ -314,4 +355,4 @@ def extract_pages(pages: DataFrame) -> DataFrame:
                 texts.append(extract(b.column(2)[i].as_py(), *known[h]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(lean(run), "page_id long, url string, text string, n_chars long")

@@ -1,8 +1,10 @@
 """WARC records in ZIP packages: a writer, and a reader that fetches records by range without extracting anything.
 
-A package holds a stored (uncompressed) member archive/data.warc.gz, one gzip member per WARC record, and an index
-indexes/index.cdxj that gives each record's page id, offset and length in it.  The reader parses the end of the ZIP file, the
-ZIP64 locator and directory where they are present, and the central directory; an index tells it which bytes to fetch.
+The writer's packages hold a stored (uncompressed) member archive/data.warc.gz, one gzip member per WARC record, and an index
+indexes/index.cdxj that gives each record's page id, file name, offset and length.  The reader parses the end of the ZIP file, the
+ZIP64 locator and directory where they are present, and the central directory, which tells it what archives and indexes there are,
+under any name and however many; the indexes, plain or gzip, tell it which bytes to fetch.  An archive that no index names is
+gone through once, to find its records.
 Paths are URIs of any store that pyarrow.fs reaches; plain paths are local.
 """
 
@@ -23,7 +25,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_ROWS, cut, fresh_path, stored
+from .shared import BROADCAST_ROWS, cut, fresh_path, lean, stored, tame
 
 WARC, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Smaller payloads are always written in full.
@@ -32,6 +34,8 @@ LEAST_PAYLOAD = 100
 PACKAGE = 64 << 20
 #: Records of one task and range that are fetched together.
 RANGE = 8 << 20
+#: Tasks that read directories or fetch ranges, at most; each then takes several.
+MOST_TASKS = 100_000
 DATE = datetime(2024, 1, 1, tzinfo=timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 _LOCAL, _CENTRAL, _END, _END64, _LOCATOR = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
 
@@ -203,7 +207,7 @@ def write_packages(pages: DataFrame, folder: str) -> DataFrame:
     in the shared folder, lists those that count.  Payloads are html in UTF-8, null as empty.  Rows with equal payloads of
     at least LEAST_PAYLOAD bytes are revisits of the smallest page_id (rows that repeat this id are responses too).  A null
     page_id is written without one and never referred to; other columns are ignored."""
-    first = cut(_first_of_payload(pages.where("page_id is not null")))
+    first = cut(_first_of_payload(tame(pages).where("page_id is not null")))
     # 72 bytes a row; a longer list is joined by a shuffle
     first = F.broadcast(first) if first.count() <= BROADCAST_ROWS // 8 else first
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha2(F.col("html").cast("binary"), 256)).join(first, "digest", "left")
@@ -233,7 +237,7 @@ def write_packages(pages: DataFrame, folder: str) -> DataFrame:
                 payload = html.encode("utf-8", "surrogatepass")
                 revisit = refers is not None and page_id != refers
                 raw = gzip.compress(warc_record(page_id, url, payload, digest, refers, revisit), 6, mtime=0)
-                index.append(f"{page_id} {json.dumps({'offset': at, 'length': len(raw)})}\n")
+                index.append(f"{page_id} {json.dumps({'filename': WARC.rpartition('/')[2], 'offset': at, 'length': len(raw)})}\n")
                 records.append(raw)
                 at += len(raw)
                 if at >= PACKAGE:
@@ -242,32 +246,79 @@ def write_packages(pages: DataFrame, folder: str) -> DataFrame:
         if records:
             yield close()
 
-    return stored(rows.mapInArrow(run, "path string, records long"), "packages")
+    return stored(rows.mapInArrow(lean(run), "path string, records long"), "packages")
+
+
+def _index_lines(raw: bytes, name: str) -> Iterator[tuple[str | None, int, int]]:
+    """(file name, offset, length) of each record that the index lists; lines without them are passed over."""
+    if name.endswith(".gz") or raw[:2] == b"\x1f\x8b":
+        raw = gzip.decompress(raw)
+    for line in raw.decode("utf-8", "replace").splitlines():
+        at = line.find("{")
+        if at < 0:
+            continue
+        x = json.loads(line[at:])
+        if "offset" in x and "length" in x:
+            yield (x["filename"].rpartition("/")[2] if x.get("filename") else None), int(x["offset"]), int(x["length"])
+
+
+def _gzip_members(f, start: int, size: int) -> Iterator[tuple[int, int]]:
+    """(offset, length) of the gzip members in a stretch of a file, which is read once from end to end."""
+    begin, at, end = start, start, start + size
+    coder = zlib.decompressobj(31)
+    f.seek(start)
+    while at < end:
+        raw = f.read(min(1 << 20, end - at))
+        if not raw:
+            raise ValueError("an archive ends early")
+        at += len(raw)
+        while raw:
+            coder.decompress(raw)
+            raw = coder.unused_data if coder.eof else b""
+            if coder.eof:
+                yield begin, at - len(raw) - begin
+                begin, coder = at - len(raw), zlib.decompressobj(31)
+    if begin < end:
+        raise ValueError("an archive ends within a record")
+
+
+def record_ranges(f, size: int) -> list[tuple[int, int]]:
+    """(offset, length) in the ZIP file of every WARC record of its archives.  Archives and indexes must be stored, and every
+    record that an index lists must be in an archive; else ValueError."""
+    found = members(f, size)
+    archives = {k: m for k, m in found.items() if k.startswith("archive/") and not k.endswith("/")}
+    indexes = {k: m for k, m in found.items() if k.startswith("indexes/") and not k.endswith(("/", ".idx"))}
+    if any(m["method"] for m in [*archives.values(), *indexes.values()]):
+        raise ValueError("archives and indexes must be stored, not compressed")
+    starts = {k.rpartition("/")[2]: (data_start(f, m), m["size"]) for k, m in archives.items()}
+    spans, named = set(), set()
+    for k, m in sorted(indexes.items()):
+        f.seek(data_start(f, m))
+        for name, offset, length in _index_lines(f.read(m["size"]), k):
+            name = next(iter(starts)) if name is None and len(starts) == 1 else name
+            if name not in starts or offset + length > starts[name][1]:
+                raise ValueError(f"{k} lists a record that is in no archive")
+            named.add(name)
+            spans.add((starts[name][0] + offset, length))
+    for name in starts.keys() - named:
+        spans.update(_gzip_members(f, *starts[name]))
+    return sorted(spans)
 
 
 def read_packages(spark: SparkSession, packages: DataFrame) -> DataFrame:
-    """Every record of the listed packages (path): page_id, url, record_type, payload_bytes, payload_digest, refers_to and payload
-    (null for a revisit).
+    """Every response and revisit of the listed packages (path): page_id, url, record_type, payload_bytes, payload_digest,
+    refers_to and payload (null for a revisit).
 
     A first step reads directories and indexes and forms ranges of about RANGE bytes; a second fetches these, each on its
-    own, so that a large package is read by many tasks."""
+    own, so that a large package is read by many tasks.  Records of other kinds are passed over; page_id and refers_to are
+    null where a record doesn't have the writer's fields for them."""
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path in b.column(0).to_pylist():
                 fs, name = filesystem(path)
                 with fs.open_input_file(name) as f:
-                    found = members(f, f.size())
-                    stores = {k: m for k, m in found.items() if k.startswith("archive/")}
-                    if any(m["method"] for m in [*stores.values(), *(found[k] for k in found if k.startswith("indexes/"))]):
-                        raise ValueError(f"{path}: archives and indexes must be stored, not compressed")
-                    start = data_start(f, found[WARC])
-                    f.seek(data_start(f, found[INDEX]))
-                    index = f.read(found[INDEX]["size"]).decode()
-                spans: list[tuple[int, int]] = []
-                for line in index.splitlines():
-                    x = json.loads(line.partition(" ")[2])
-                    spans.append((start + x["offset"], x["length"]))
+                    spans = record_ranges(f, f.size())
                 i = 0
                 while i < len(spans):
                     j = i + 1
@@ -289,22 +340,26 @@ def read_packages(spark: SparkSession, packages: DataFrame) -> DataFrame:
                 rows, held = [], 0
                 for o, n in zip(offsets, lengths):
                     r = parse_record(gzip.decompress(raw[o - offsets[0] : o - offsets[0] + n]))
-                    full = r["warc-type"] == "response"
-                    digest = hashlib.sha256(r["payload"]).hexdigest() if full else r["warc-payload-digest"].removeprefix("sha256:")
-                    if full and r["warc-payload-digest"] != f"sha256:{digest}":
+                    if r["warc-type"] not in ("response", "revisit"):
+                        continue
+                    full, said = r["warc-type"] == "response", r.get("warc-payload-digest", "")
+                    digest = hashlib.sha256(r["payload"]).hexdigest() if full else said.removeprefix("sha256:")
+                    if full and said.startswith("sha256:") and said != f"sha256:{digest}":
                         raise ValueError(f"{path}: a payload that doesn't have its digest")
-                    size = len(r["payload"]) if full else int(r["http"]["content-length"])
+                    size = len(r["payload"]) if full else int(r["http"].get("content-length", 0))
                     number = lambda k: int(r[k]) if k in r else None  # noqa: B023, E731
-                    rows.append((number("x-page-id"), r["warc-target-uri"], r["warc-type"], size, digest, number("x-refers-to-page"), r["payload"] if full else None))
-                    held += size
+                    rows.append((number("x-page-id"), r.get("warc-target-uri", ""), r["warc-type"], size, digest, number("x-refers-to-page"), r["payload"] if full else None))
+                    held += len(r["payload"])
                     if held > RANGE:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
                         rows, held = [], 0
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    found = packages.select("path").mapInArrow(ranges, "path string, offsets array<long>, lengths array<long>").repartition(F.col("path"), F.col("offsets")[0])
-    return found.mapInArrow(fetch, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
+    # written, so that the number of fetching tasks can follow the number of ranges, which AQE would put together as small rows
+    found = stored(packages.select("path").repartition(max(1, min(packages.count(), MOST_TASKS)), "path").mapInArrow(ranges, "path string, offsets array<long>, lengths array<long>"), "ranges")
+    dealt = found.repartition(max(1, min(found.count(), MOST_TASKS)), F.col("path"), F.col("offsets")[0])
+    return dealt.mapInArrow(lean(fetch), "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
