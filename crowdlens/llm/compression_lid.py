@@ -1,13 +1,13 @@
-"""Language ID by compression: a text belongs to the language whose dictionary shortens it most.
+"""Language ID by compression: a text belongs to the language whose dictionary and sample shorten it most.
 
-Each language gets a zstandard raw-content dictionary of labelled text.  A text is cut into blocks of BLOCK bytes and every
-block is encoded with every dictionary, so that the whole text counts and a long text cannot become its own dictionary.
-Texts for which all sizes are nearly equal are rejected.
+Each language gets a zstandard raw-content dictionary of labelled text and a few slices more.  A text of any length is cut into
+blocks of BLOCK bytes; every block is encoded behind each slice with the dictionary, and what the block adds to the output counts.
+The slice primes the coder's letter statistics, so that letters cost what they cost in that language.  Texts for which the sums are
+nearly equal in two languages are rejected.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,37 +17,36 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
-#: Bytes of labelled text per language: DICTIONARY for the dictionary, SLICES times SLICE to prime short texts.  The
-#: training sample is bounded by their sum, 80 KB a language.
-DICTIONARY, SLICES, SLICE = 64 << 10, 8, 2 << 10
-#: About so many labelled rows per language are drawn, by a hash of the id, to fill the sample.
-SAMPLE_ROWS = 400
-#: Of one training text, at most so many characters enter the sample, so that one long text can't be all of it.
-PER_TEXT = 2 << 10
-BLOCK = 4096
-#: Under so many bytes a text is encoded behind each of the slices instead, and the growth of the output counts: its
-#: letters then cost what they cost in that language, which tells more than a few matches.
-SHORT = 256
+from .shared import lean, tame
+
+#: Bytes of labelled text per language: the dictionary and the slices behind which blocks are encoded.
+DICTIONARY, SLICES, SLICE = 64 << 10, 2, 4 << 10
+#: The training sample: about so many labelled rows per language, drawn by a hash of the id, and of all pieces of PIECE characters
+#: of their whole texts, PIECES per language, drawn by a hash too.
+SAMPLE_ROWS, PIECE, PIECES = 400, 256, 400
+BLOCK = 16 << 10
 #: A text is rejected if the second-best size exceeds the best by less than this share.
 MARGIN = 0.01
 #: Scale of the score: relative excess sizes are turned into weights exp(-excess / TEMPERATURE).
 TEMPERATURE = 0.02
 UNKNOWN = "und"
 _OTHER = regex.compile(r"[^\p{L}]+")
-_AGAIN = regex.compile(r"\b(\w+)(?: \1\b)+")
 
 
 def letters(text: str) -> bytes:
-    """Lower case, what isn't a letter as one space, a word repeated on the spot once; empty if no letter is left."""
-    out = _AGAIN.sub(r"\1", _OTHER.sub(" ", text.lower()).strip())
+    """Lower case, and what isn't a letter as one space; empty if no letter is left."""
+    out = _OTHER.sub(" ", text.lower()).strip()
     return f" {out} ".encode("utf-8", "replace") if out else b""
 
 
 def learn(docs: DataFrame, allowed: Column | None = None) -> dict[str, bytes]:
-    """A sample for each non-null language of the allowed rows, from about SAMPLE_ROWS rows of each.
+    """A sample for each non-null language of the allowed rows: at most DICTIONARY + SLICES * SLICE bytes, from about SAMPLE_ROWS
+    rows of each.
 
-    Which rows are drawn follows from doc_id alone.  Languages, 80 KB each, must fit the driver."""
+    Which rows and pieces are drawn follows from doc_id alone.  Languages, 100 KB each, must fit the driver.  Null texts, null
+    languages and texts without letters teach nothing; other columns are ignored."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     if allowed is not None:
         rows = rows.where(allowed)
@@ -56,41 +55,39 @@ def learn(docs: DataFrame, allowed: Column | None = None) -> dict[str, bytes]:
     if not n:
         return {}
     share = F.create_map(*[F.lit(x) for k, v in n.items() for x in (k, min(1.0, SAMPLE_ROWS / v))])
-    drawn = rows.where(unit < share[F.col("lang")]).select("lang", "doc_id", F.substring("text", 1, PER_TEXT).alias("text")).collect()
-    most = DICTIONARY + SLICES * SLICE
-    parts: dict[str, bytes] = dict.fromkeys(sorted(n), b"")
-    for r in sorted(drawn, key=lambda r: (r.lang, zlib.crc32(str(r.doc_id).encode()), r.text)):
-        parts[r.lang] = (parts[r.lang] + letters(r.text))[:most]
-    return parts
+    drawn = rows.where(unit < share[F.col("lang")]).select("lang", "doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))).alias("no", "piece"))
+    order = [F.xxhash64(F.col("doc_id").cast("string"), "no"), F.col("no"), F.col("piece")]
+    best = drawn.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= PIECES).select("lang", "rank", "piece").collect()
+    parts: dict[str, list[bytes]] = {k: [] for k in sorted(n)}
+    for r in sorted(best, key=lambda r: (r.lang, r.rank)):
+        parts[r.lang].append(letters(r.piece))
+    return {k: b"".join(x)[: DICTIONARY + SLICES * SLICE] for k, x in parts.items()}
 
 
 class Coder:
-    """Sizes of a text under each dictionary."""
+    """Sizes of a text under each language."""
 
     def __init__(self, samples: dict[str, bytes]):
         self.langs = list(samples)
-        self.long, self.short = [], []
+        self.coders = []
         for raw in samples.values():
             own = min(SLICE, len(raw) // 3 // SLICES)  # a small sample is shared out
-            head, tail = raw[: len(raw) - own * SLICES], raw[len(raw) - own * SLICES :]
-            self.long.append(self._encoder(head[-DICTIONARY:], 3, BLOCK))
-            coder = self._encoder(head[: DICTIONARY // 2], 5, 2 * SLICE, min_match=3)
-            slices = [tail[i * own : (i + 1) * own] for i in range(SLICES)]
-            self.short.append((coder, [(s, len(coder.compress(s))) for s in slices]))
+            at = len(raw) - own * SLICES
+            coder = self._encoder(raw[:at])
+            slices = [raw[at + i * own : at + (i + 1) * own] for i in range(SLICES)]
+            self.coders.append((coder, [(s, len(coder.compress(s))) for s in slices]))
 
     @staticmethod
-    def _encoder(raw: bytes, level: int, size: int, **more: int) -> zstd.ZstdCompressor:
+    def _encoder(raw: bytes) -> zstd.ZstdCompressor:
         raw = raw if len(raw) >= 8 else raw + b"        "  # the library refuses less than 8 bytes
-        params = zstd.ZstdCompressionParameters.from_level(level, source_size=size, dict_size=len(raw), write_content_size=0, write_checksum=0, write_dict_id=0, **more)
+        params = zstd.ZstdCompressionParameters.from_level(5, source_size=BLOCK + SLICE, dict_size=len(raw), write_content_size=0, write_checksum=0, write_dict_id=0, min_match=3)
         d = zstd.ZstdCompressionDict(raw, dict_type=zstd.DICT_TYPE_RAWCONTENT)
         d.precompute_compress(compression_params=params)
         return zstd.ZstdCompressor(dict_data=d, compression_params=params)
 
     def sizes(self, raw: bytes) -> np.ndarray:
-        if len(raw) < SHORT:
-            return np.array([sum(len(c.compress(s + raw)) - alone for s, alone in slices) / SLICES for c, slices in self.short])
         blocks = [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
-        return np.array([sum(len(c.compress(b)) for b in blocks) for c in self.long], float)
+        return np.array([sum(len(c.compress(s + b)) - alone for b in blocks for s, alone in slices) / SLICES for c, slices in self.coders])
 
     def best(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score from 0 to 1, and whether it is rejected."""
@@ -111,7 +108,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
     the language that is first by code point."""
     added = ["lang_pred", "lang_score", "lang_rejected"]
     kept = [c for c in docs.columns if c.lower() not in added]
-    docs = docs.select(*[F.col(f"`{c}`") for c in kept])
+    docs = tame(docs).select(*[F.col(f"`{c}`") for c in kept])
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,4 +119,4 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
             yield pa.RecordBatch.from_arrays([*b.columns, *new], [*kept, *added])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(added[0], T.StringType()), T.StructField(added[1], T.DoubleType()), T.StructField(added[2], T.BooleanType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
