@@ -1,16 +1,16 @@
 """LM scoring by a probabilistic suffix tree over words.
 
-Contexts are the last one or two words.  A context is kept as a state if the next words it predicts diverge from those of its
-suffix: the mean log ratio of the two, each training token left out of its own counts, must reach DIVERGENCE.  A state's
-distribution is smoothed by absolute discounting towards its suffix's, down to the add-one distribution of single words.
-A word is scored in the longest state that its history ends in.
+Contexts are the last one to DEPTH words, any words; before a text's first word stands a beginning.  A context is kept as a state
+if the next words it predicts diverge from those of its suffix: the mean log ratio of the two, each training token left out of
+its own counts, must reach DIVERGENCE.  A state's distribution is smoothed by absolute discounting towards its suffix's, down to
+the add-one distribution of single words.  A word is scored in the longest state that its history ends in.
 
-The VOCABULARY most frequent training words are symbols of their own; the others share one symbol and are told apart by their
-add-one shares of its mass, so that the distribution stays whole and every word's count is used.
+All tokens after one word meet in one task, which counts their contexts, tests them and scores the tokens; so no table of contexts
+is ever broadcast.  A context with over HOT tokens is dealt by its longer contexts instead, and if the longest is hot at random:
+its counts are added up by Spark over tasks and keys, its state is settled there once, and the probabilities of its words come to
+the tasks that ask for them, as do the counts of words.  Where a token is dealt changes no score.
 
-Words travel as 16-bit symbols.  All tokens after one word meet in one task, which counts its contexts, tests them and scores
-its tokens; so no table of contexts is ever broadcast and the shuffle holds six bytes a token.  A very frequent word is split
-by what precedes it into several states of its own, which keeps tasks bounded.
+Words are known by 64-bit hashes.  The CODES most frequent travel as numbers, which is shorter and changes nothing else.
 """
 
 from __future__ import annotations
@@ -20,21 +20,35 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard as zstd
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, grouped, mix, pieces, text_buffer, word_hashes, words
+from .shared import cut, drop_stored, grouped, lean, mix, pieces, small, stored, tame, text_buffer, word_hashes, words
 
-#: Words with symbols of their own: the bound of what is broadcast (16 bytes each).
-VOCABULARY = 65_000
-RARE, BOS = 0, 65_535
+#: Words of the longest context.
+DEPTH = 3
 #: Nats per token by which a context must beat its suffix, and the discount of seen continuations.
 DIVERGENCE, DISCOUNT = 0.005, 0.75
-#: Tokens of a task's share, about; tokens after one word beyond which it is split, and beyond which its predecessor's
-#: predecessor splits it too.
-SHARE, SPLIT, SPLIT_TWICE = 2_000_000, 1_000_000, 64_000_000
-END = np.uint64(0x5CA1AB1E0DDBA11)
+#: Words that travel as numbers, at most: 24 bytes each in every worker.
+CODES = 500_000
+#: Tokens of a task's share, about; tokens of a context from which on it is hot (more where that would make over MOST_HOT of them
+#: possible in a length of context); one text of SAMPLE is looked at to find them.
+SHARE, HOT, MOST_HOT, SAMPLE = 1_500_000, 2_000_000, 4_000_000, 64
+END, BOS = np.uint64(0x5CA1AB1E0DDBA11), np.uint64(0x0B0B0B0B0B0B0B0B)
+_STEP, _PAIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_LONG = np.uint64((1 << 63) - 1)
+
+
+def longer(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The hash of a context with one word more before it."""
+    return mix(context * _STEP + word)
+
+
+def pair(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The hash of a context and the word after it."""
+    return mix(context * _PAIR ^ mix(word))
 
 
 class Tokens:
@@ -45,131 +59,316 @@ class Tokens:
         starts, ends, rows = words(buf, offsets)
         n_rows = len(offsets) - 1
         count = np.bincount(rows, minlength=n_rows)
-        self.stop = np.cumsum(count + 1)  # one past each row's end token
+        self.count = count + 1
+        self.stop = np.cumsum(self.count)  # one past each row's end token
         self.hash = np.full(len(starts) + n_rows, END, np.uint64)
         self.hash[np.arange(len(starts)) + rows] = word_hashes(buf, starts, ends, lower=True)
-        self.row = np.repeat(np.arange(n_rows), count + 1)
-        self.count = count + 1
+        self.row = np.repeat(np.arange(n_rows), self.count)
 
+    def back(self, x: np.ndarray, before: int) -> np.ndarray:
+        """Of each token what x has for the one before it, or `before` at a row's first."""
+        out = np.empty_like(x)
+        out[1:] = x[:-1]
+        out[self.stop - self.count] = before
+        return out
 
-def _unigrams(docs: DataFrame) -> DataFrame:
-    """(word, n): counts of the training rows, added up in each task first."""
+    def contexts(self) -> list[np.ndarray]:
+        """Hashes of the contexts of one to DEPTH words of each token."""
+        out, word, context = [], self.hash, np.zeros(len(self.hash), np.uint64)
+        for _ in range(DEPTH):
+            word = self.back(word, BOS)
+            context = longer(context, word)
+            out.append(context)
+        return out
 
-    def merged(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(h)
-        h, c = h[order], c[order]
-        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        return h[first], np.add.reduceat(c, first)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, c = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for whole in batches:
-            for b in pieces(whole, "text"):
-                more, n = np.unique(Tokens(b.column(0)).hash, return_counts=True)
-                h, c = merged(np.append(h, more), np.append(c, n)) if len(h) or len(more) else (h, c)
-                if len(h) > 1_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["word", "n"])
-                    h, c = h[:0], c[:0]
-        if len(h):
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["word", "n"])
+def _doc_hash(ids: pa.Array) -> np.ndarray:
+    return mix(ids.fill_null(-1).to_numpy(zero_copy_only=False).view(np.uint64) + np.uint64(17))
+
+
+def _summed(keys: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The rows of columns with the n of those of equal first column added up; the other columns follow the first."""
+    _, first, at = np.unique(keys[0], return_index=True, return_inverse=True)
+    return [k[first] for k in keys], np.bincount(at, n, len(first)).astype(np.int64)
+
 
-    return docs.where("not held_out").select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def _in_parts(parts: Iterator[tuple[list[np.ndarray], np.ndarray]], names: list[str], most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """Batches of the sums of many parts, added up until there are `most` rows."""
+    held, n = None, None
 
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*[pa.array(k.view(np.int64)) for k in held], pa.array(n)], names)
 
-class Vocabulary:
-    """Symbols of words by hash, their counts, and the sums the model needs."""
+    for keys, more in parts:
+        if held is not None:
+            keys, more = [np.append(a, b) for a, b in zip(held, keys)], np.append(n, more)
+        held, n = _summed(keys, more)
+        if len(n) > most:
+            yield batch()
+            held, n = None, None
+    if held is not None and len(n):
+        yield batch()
 
-    def __init__(self, frequent: list[tuple[int, int]], tokens: int, distinct: int):
+
+def _counts(docs: DataFrame) -> DataFrame:
+    """(kind, key, n): 0 for words of training rows, -1 for the number of all tokens, and 1 to DEPTH for contexts of all rows that
+    the sample holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+            for whole in batches:
+                for b in pieces(whole, "text"):
+                    t = Tokens(b.column(2))
+                    train = ~b.column(1).to_numpy(zero_copy_only=False)
+                    found, n = np.unique(t.hash[train[t.row]], return_counts=True)
+                    keys, kinds, ns = [np.zeros(1, np.uint64), found], [np.full(1, -1), np.zeros(len(found), np.int64)], [np.array([len(t.hash)]), n]
+                    seen = (_doc_hash(b.column(0)) % np.uint64(SAMPLE) == 0)[t.row]
+                    if seen.any():
+                        for k, c in enumerate(t.contexts(), 1):
+                            found, n = np.unique(c[seen], return_counts=True)
+                            keys.append(found)
+                            kinds.append(np.full(len(found), k))
+                            ns.append(n)
+                    yield [np.concatenate(keys), np.concatenate(kinds).astype(np.int64)], np.concatenate(ns)
+
+        yield from _in_parts(rows(), ["key", "kind", "n"])
+
+    rows = docs.select("doc_id", "held_out", "text").mapInArrow(lean(run), "key long, kind long, n long")
+    return rows.groupBy("kind", "key").agg(F.sum("n").alias("n"))
+
+
+class Model:
+    """What every task needs: frequent words with their numbers and counts, hot contexts, and sums."""
+
+    def __init__(self, frequent: list[tuple[int, int]], tokens: int, distinct: int, every: int, hot: list[list[int]]):
+        frequent = sorted(frequent, key=lambda x: (-x[1], x[0]))
         h = np.array([x for x, _ in frequent], np.int64).view(np.uint64)
         order = np.argsort(h)
-        self.hashes, counts = h[order], np.array([n for _, n in frequent], np.int64)[order]
-        self.tokens, self.distinct = tokens, distinct
-        self.total = float(tokens + distinct + 1)
-        self.counts = np.zeros(65_536, np.int64)
-        self.counts[1 : len(h) + 1] = counts
-        self.counts[RARE] = tokens - counts.sum()
-        #: Mass of the words that share a symbol, the unknown one included.
-        self.rare = float(self.counts[RARE] + distinct - len(h) + 1)
-        p = (self.counts + 1) / self.total
-        p[RARE] = self.rare / self.total
-        self.p0 = p
-        self.split1 = np.minimum(64, -(-self.counts // SPLIT)).clip(1).astype(np.uint64)
-        self.split2 = (-(-self.counts // SPLIT_TWICE)).clip(1).astype(np.uint64)
-        self.shards = max(1, -(-tokens * 7 // 6 // SHARE))
-
-    def symbols(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.zeros(len(h), np.uint16)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, at + 1, RARE).astype(np.uint16)
-
-
-def _deal(docs: DataFrame, vocabulary: object) -> DataFrame:
-    """Rows for the tasks: blobs of (u, v, w) symbols by shard of v, of the hashes of rare words, and of what is known already."""
+        self.sorted, self.number = h[order], (order + 1).astype(np.uint32)
+        #: By number; 0 is any other word, the last the beginning of a text.
+        self.hashes = np.concatenate([[np.uint64(0)], h, [BOS]]).astype(np.uint64)
+        self.counts = np.array([0, *[n for _, n in frequent], 0], np.int64)
+        self.bos = len(h) + 1
+        self.tokens, self.distinct, self.total = tokens, distinct, float(tokens + distinct + 1)
+        self.shards = max(1, -(-every // SHARE))
+        self.hot = [np.sort(np.array(x, np.int64).view(np.uint64)) for x in hot]
+        #: Of each hot context, whether it is kept, and what it gives to words that it hasn't seen, as a share of the suffix's.
+        self.kept = [np.zeros(len(x), bool) for x in self.hot]
+        self.share = [np.zeros(len(x)) for x in self.hot]
+
+    def numbers(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.sorted):
+            return np.zeros(len(h), np.uint32)
+        at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
+        return np.where(self.sorted[at] == h, self.number[at], np.uint32(0))
+
+    def is_hot(self, k: int, contexts: np.ndarray) -> np.ndarray:
+        known = self.hot[k - 1]
+        if not len(known):
+            return np.zeros(len(contexts), bool)
+        return known[np.minimum(np.searchsorted(known, contexts), len(known) - 1)] == contexts
+
+    def hot_depth(self, contexts: list[np.ndarray]) -> np.ndarray:
+        """How many of a token's contexts, from the shortest on, are hot."""
+        out = np.zeros(len(contexts[0]), np.int8)
+        for k, c in enumerate(contexts, 1):
+            at = np.flatnonzero(out == k - 1)
+            out[at[self.is_hot(k, c[at])]] = k
+        return out
+
+    def deal(self, t: Tokens, ids: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """The contexts of the tokens, their hot depth, and the shard of each: that of the shortest context that isn't hot."""
+        contexts = t.contexts()
+        depth = self.hot_depth(contexts)
+        where = contexts[0].copy()
+        for k in range(1, DEPTH):
+            where[depth == k] = contexts[k][depth == k]
+        at = np.flatnonzero(depth == DEPTH)
+        where[at] = mix(_doc_hash(ids)[t.row[at]] + at.astype(np.uint64) - (t.stop - t.count)[t.row[at]].astype(np.uint64))
+        return contexts, depth, ((mix(where + np.uint64(5)) & _LONG) % np.uint64(self.shards)).astype(np.int64)
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed string, their bytes by place value."""
+    head = np.array([len(x) for x in arrays], np.uint32).tobytes()
+    body = [np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes() if len(x) else b"" for x in arrays]
+    return zstd.compress(head + b"".join(body), 1)
+
+
+def _unpack(raw: bytes, *kinds: type) -> list[np.ndarray]:
+    raw = zstd.decompress(raw)
+    at, out = 4 * len(kinds), []
+    for n, kind in zip(np.frombuffer(raw, np.uint32, len(kinds)).tolist(), kinds):
+        size = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).view(kind).ravel())
+        at += n * size
+    return out
+
+
+def _runs(keys: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(key, places) of each key from 0 to n - 1 that occurs; places ascend."""
+    order = np.argsort(keys, kind="stable")
+    edge = np.searchsorted(keys[order], np.arange(n + 1))
+    for k in np.flatnonzero(np.diff(edge)).tolist():
+        yield k, order[edge[k] : edge[k + 1]]
+
+
+# ---- hot contexts --------------------------------------------------------------------------------------------------
+
+
+def _hot_counts(docs: DataFrame, shared: object) -> DataFrame:
+    """(key, k, context, suffix, n): how often a word follows a hot context in training; key is the pair of both, suffix that of the
+    next shorter context and the word, or for k = 1 the word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: Model = shared.value
+
+        def rows() -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+            for whole in batches:
+                for b in pieces(whole, "text"):
+                    t = Tokens(b.column(1))
+                    train = (~b.column(0).to_numpy(zero_copy_only=False))[t.row]
+                    contexts = t.contexts()
+                    depth = model.hot_depth(contexts)
+                    cols: list[list[np.ndarray]] = []
+                    for k in range(1, DEPTH + 1):
+                        at = np.flatnonzero(train & (depth >= k))
+                        c, w = contexts[k - 1][at], t.hash[at]
+                        cols.append([pair(c, w), np.full(len(at), k, np.int64), c, w if k == 1 else pair(contexts[k - 2][at], w)])
+                    keys = [np.concatenate(x) for x in zip(*cols)]
+                    yield keys, np.ones(len(keys[0]), np.int64)
+
+        yield from _in_parts(rows(), ["key", "k", "context", "suffix", "n"])
+
+    rows = docs.select("held_out", "text").mapInArrow(lean(run), "key long, k long, context long, suffix long, n long")
+    return rows.groupBy("key", "k", "context", "suffix").agg(F.sum("n").alias("n"))
+
+
+def _hot_states(docs: DataFrame, words_: DataFrame, model: Model) -> list[DataFrame]:
+    """(key, value) of the words after hot contexts: their probability.  Fills in what the model says of these contexts."""
+    spark, out = docs.sparkSession, []
+    if not len(model.hot[0]):
+        return out
+    counts = stored(_hot_counts(docs, spark.sparkContext.broadcast(model)), "hot")
+    sizes = cut(counts.groupBy("k", "context").agg(F.sum("n").alias("size"), F.count("*").alias("kinds")))
+    low = words_.select(F.col("key").alias("suffix"), ((F.col("n") + 1) / F.lit(model.total)).alias("low"))
+    for k in range(1, DEPTH + 1):
+        if not len(model.hot[k - 1]):
+            break
+        rows = counts.where(F.col("k") == k).join(small(sizes.where(F.col("k") == k).drop("k")), "context").join(low, "suffix")
+        n, size, kinds = F.col("n"), F.col("size"), F.col("kinds")
+        p = (F.greatest(n - DISCOUNT, F.lit(0.0)) + DISCOUNT * kinds * F.col("low")) / size
+        without = (F.greatest(n - 1 - DISCOUNT, F.lit(0.0)) + DISCOUNT * (kinds - (n == 1).cast("int")) * F.col("low")) / (size - 1)
+        gain = F.when(size > 1, n * F.log(F.greatest(without, F.lit(1e-300)) / F.col("low"))).otherwise(0.0)
+        settled = stored(rows.select("key", "context", "low", "size", "kinds", p.alias("p"), gain.alias("gain")), "hot")
+        states = settled.groupBy("context").agg(F.sum("gain").alias("gain"), F.first("size").alias("size"), F.first("kinds").alias("kinds"))
+        # as many as there are hot contexts of this length
+        states = cut(states.select("context", ((F.col("gain") >= DIVERGENCE * F.col("size")) & (F.col("size") > 1)).alias("kept"), (DISCOUNT * F.col("kinds") / F.col("size")).alias("share")))
+        for r in states.collect():
+            at = np.searchsorted(model.hot[k - 1], np.array([r.context]).view(np.uint64))[0]
+            model.kept[k - 1][at], model.share[k - 1][at] = r.kept, r.share
+        value = settled.join(small(states), "context").select("key", F.when(F.col("kept"), F.col("p")).otherwise(F.col("low")).alias("value"))
+        out.append(cut(value))
+        drop_stored(settled)
+        low = out[-1].select(F.col("key").alias("suffix"), F.col("value").alias("low"))
+    drop_stored(counts)
+    return out
+
+
+# ---- what tasks ask for --------------------------------------------------------------------------------------------
+
+
+def _asked(docs: DataFrame, shared: object) -> DataFrame:
+    """(shard, asked): by shard of the keys, the keys of words without number and of words after hot contexts, and the shards whose
+    tokens need them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: Model = shared.value
+        for whole in batches:
+            for b in pieces(whole, "text"):
+                t = Tokens(b.column(1))
+                contexts, depth, shard = model.deal(t, b.column(0))
+                rare = np.flatnonzero(model.numbers(t.hash) == 0)
+                keys, wanted = [t.hash[rare]], [shard[rare]]
+                for k in range(1, DEPTH + 1):
+                    at = np.flatnonzero(depth >= k)
+                    keys.append(pair(contexts[k - 1][at], t.hash[at]))
+                    wanted.append(shard[at])
+                keys, wanted = np.concatenate(keys), np.concatenate(wanted)
+                _, first = np.unique(mix(keys + wanted.astype(np.uint64) * _STEP), return_index=True)
+                keys, wanted = keys[first], wanted[first].astype(np.uint32)
+                rows = [(s, _pack(keys[at], wanted[at])) for s, at in _runs(((keys & _LONG) % np.uint64(model.shards)).astype(np.int64), model.shards)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["shard", "asked"])
+
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "shard long, asked binary")
+
+
+def _answers(asked: DataFrame, known: DataFrame, shards: int) -> DataFrame:
+    """(shard, found): for each shard the keys that it asked for and that are known, with their values."""
+
+    def answer(_: tuple, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        blobs = [x for x in rows["asked"].to_pylist() if x is not None]
+        if not blobs:
+            return
+        keys, wanted = (np.concatenate(x) for x in zip(*(_unpack(b, np.uint64, np.uint32) for b in blobs)))
+        have = rows.filter(rows["key"].is_valid())
+        key, value = have["key"].to_numpy().view(np.uint64), have["value"].to_numpy()
+        if not len(key):
+            return
+        order = np.argsort(key)
+        key, value = key[order], value[order]
+        at = np.minimum(np.searchsorted(key, keys), len(key) - 1)
+        hit = key[at] == keys
+        at, wanted = at[hit], wanted[hit]
+        _, first = np.unique(at.astype(np.uint64) * np.uint64(shards) + wanted.astype(np.uint64), return_index=True)
+        at, wanted = at[first], wanted[first].astype(np.int64)
+        out = [(s, _pack(key[at[i]], value[at[i]])) for s, i in _runs(wanted, shards)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.binary())], ["shard", "found"])
+
+    entries = known.select((F.col("key").bitwiseAND(F.lit((1 << 63) - 1)) % shards).alias("shard"), F.lit(None).cast("binary").alias("asked"), "key", "value")
+    both = asked.select("shard", "asked", F.lit(None).cast("long").alias("key"), F.lit(None).cast("double").alias("value")).unionByName(entries)
+    return grouped(both, ["shard"], answer, "shard long, found binary")
+
+
+# ---- tokens --------------------------------------------------------------------------------------------------------
+
+DEALT = "shard long, flush long, ids array<long>, tokens binary, found binary"
+
+
+def _deal(docs: DataFrame, shared: object) -> DataFrame:
+    """Rows for the tasks: of each piece of the input the tokens by shard, and of the piece itself, under a shard of its own, its ids
+    with what is known of them already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc: Vocabulary = vocabulary.value
+        model: Model = shared.value
         part, no = TaskContext.get().partitionId(), 0
-        none = np.zeros(0, np.uint8)
         for whole in batches:
             for b in pieces(whole, "text"):
                 ids, held = b.column(0), b.column(1).to_numpy(zero_copy_only=False)
                 no += 1
                 flush = int.from_bytes(hashlib.blake2b(repr((part, no, ids.to_pylist())).encode(), digest_size=8).digest(), "big", signed=True)
                 t = Tokens(b.column(2))
-                w = t.symbols = voc.symbols(t.hash)
-                n_rows = b.num_rows
-
-                def back(x: np.ndarray, t: Tokens = t) -> np.ndarray:
-                    out = np.empty_like(x)
-                    out[1:] = x[:-1]
-                    out[t.stop - t.count] = BOS
-                    return out
-
-                v = back(w)
-                u = back(v)
-                v3 = back(u)
-                p = voc.p0[w]
-                first = v == BOS
-                own = np.bincount(t.row[first], np.log10(p[first]), n_rows)
-                frequent = w != RARE
-                base = np.bincount(t.row[frequent], np.log10(p[frequent]), n_rows)
-                known = np.bincount(t.row[frequent], minlength=n_rows)
-                rows: list[tuple] = [(-1 - (flush & 0x3FFFFFFF), flush, t.count.astype(np.int64), held.astype(np.uint8), own, base, known.astype(np.float64))]
-                salt = mix(u.astype(np.uint64) + np.uint64(77)) % voc.split1[v] + np.uint64(64) * (mix(v3.astype(np.uint64) + np.uint64(99)) % voc.split2[v])
-                shard = (mix(v.astype(np.uint64) + salt * np.uint64(65_537) + np.uint64(5)) % np.uint64(voc.shards)).astype(np.int64)
-                for which, s, what in ((~first, shard, None), (~frequent, (t.hash % np.uint64(voc.shards)).astype(np.int64) + voc.shards, t.hash)):
-                    at = np.flatnonzero(which)
-                    at = at[np.argsort(s[at], kind="stable")]
-                    edge = np.searchsorted(s[at], np.arange(s[at[0]], s[at[-1]] + 2)) if len(at) else []
-                    for lo, hi in zip(edge[:-1], edge[1:]):
-                        if lo < hi:
-                            i = at[lo:hi]
-                            doc, count = np.unique(t.row[i], return_counts=True)
-                            raw = np.concatenate([u[i], v[i], w[i]]) if what is None else what[i]
-                            rows.append((int(s[i[0]]), flush, np.stack([doc, count]).astype(np.uint32), held[doc].astype(np.uint8), raw, none, none))
+                shard = model.deal(t, ids)[2]
+                number = model.numbers(t.hash)
+                some = number > 0
+                base = np.bincount(t.row[some], np.log10((model.counts[number[some]] + 1) / model.total), b.num_rows)
+                known = np.bincount(t.row[some], minlength=b.num_rows)
+                own = _pack(t.count.astype(np.int64), held.astype(np.uint8), base, known.astype(np.int64))
+                rows: list[tuple] = [(-1 - (flush & 0x3FFFFFFF), ids.to_pylist(), own)]
+                columns = [(number, t.hash)]
+                for _ in range(DEPTH):
+                    columns.append((t.back(columns[-1][0], model.bos), t.back(columns[-1][1], BOS)))
+                for s, at in _runs(shard, model.shards):
+                    doc, count = np.unique(t.row[at], return_counts=True)
+                    numbers = [x[at] for x, _ in columns]
+                    others = [h[at][x == 0] for (_, h), x in zip(columns, numbers)]
+                    rows.append((s, None, _pack(np.diff(doc, prepend=0).astype(np.uint32), count.astype(np.uint32), held[doc].astype(np.uint8), *numbers, *others)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([ids.to_pylist(), *[None] * (len(rows) - 1)], pa.list_(pa.int64())), *[pa.array([r[k].tobytes() for r in rows], pa.binary()) for k in range(2, 7)]],
-                    ["shard", "flush", "ids", "a", "b", "c", "d", "e"],
+                    [pa.array([r[0] for r in rows], pa.int64()), pa.array([flush] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.binary()), pa.nulls(len(rows), pa.binary())],
+                    ["shard", "flush", "ids", "tokens", "found"],
                 )
 
-    return docs.select("doc_id", "held_out", "text").mapInArrow(run, "shard long, flush long, ids array<long>, a binary, b binary, c binary, d binary, e binary")
-
-
-def context_scores(u: np.ndarray, v: np.ndarray, w: np.ndarray, train: np.ndarray, p0: np.ndarray) -> np.ndarray:
-    """The probability of each w after (u, v), all tokens after each of these v being given; train says which of them count."""
-    # contexts of one word
-    key1, at1 = np.unique(v.astype(np.uint32) << np.uint32(16) | w, return_inverse=True)
-    n1 = np.bincount(at1, train, len(key1))
-    of1 = np.cumsum(np.append(True, key1[1:] >> np.uint32(16) != key1[:-1] >> np.uint32(16))) - 1
-    low1 = p0[key1 & np.uint32(0xFFFF)]
-    p1 = _state(n1, of1, low1)
-    # contexts of two
-    key2, at2 = np.unique(v.astype(np.uint64) << np.uint64(32) | u.astype(np.uint64) << np.uint64(16) | w, return_inverse=True)
-    n2 = np.bincount(at2, train, len(key2))
-    of2 = np.cumsum(np.append(True, key2[1:] >> np.uint64(16) != key2[:-1] >> np.uint64(16))) - 1
-    parent = np.searchsorted(key1, ((key2 >> np.uint64(32)) << np.uint64(16) | key2 & np.uint64(0xFFFF)).astype(np.uint32))
-    return _state(n2, of2, p1[parent])[at2]
+    return docs.select("doc_id", "held_out", "text").mapInArrow(lean(run), DEALT)
 
 
 def _state(n: np.ndarray, of: np.ndarray, low: np.ndarray) -> np.ndarray:
@@ -186,59 +385,98 @@ def _state(n: np.ndarray, of: np.ndarray, low: np.ndarray) -> np.ndarray:
     return np.where(keep[of], p, low)
 
 
-def _share(key: tuple, rows: pa.Table, voc: Vocabulary) -> Iterator[pa.RecordBatch]:
-    """Sums for the documents of each blob: log10 score, base score and known tokens.  A blob names only the documents that have
-    tokens in it, so that its size follows its tokens however many shards there are."""
-    shard = key[0]
-    names = ["flush", "ids", "count", "held", "score", "base", "known"]
-    if shard < 0:
-        yield pa.RecordBatch.from_arrays([rows.combine_chunks()[k].combine_chunks() for k in ("flush", "ids", "a", "b", "c", "d", "e")], names)
+def probabilities(contexts: list[np.ndarray], w: np.ndarray, train: np.ndarray, p: np.ndarray, model: Model, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The probability of each token after its contexts, from p, that of its word alone.  All tokens of every context that isn't hot
+    are given; train says which of them count.  (keys, values), by key, are the probabilities that are known after hot contexts."""
+    _, first, at = np.unique(pair(contexts[-1], w), return_index=True, return_inverse=True)
+    n = np.bincount(at, train, len(first))
+    contexts, w, p = [c[first] for c in contexts], w[first], p[first].copy()
+    depth = model.hot_depth(contexts)
+    for k, c in enumerate(contexts, 1):
+        hot = np.flatnonzero(depth >= k)
+        if len(hot):
+            of = np.searchsorted(model.hot[k - 1], c[hot])
+            p[hot] = np.where(model.kept[k - 1][of], model.share[k - 1][of] * p[hot], p[hot])
+            if len(keys):
+                key = pair(c[hot], w[hot])
+                i = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                p[hot] = np.where(keys[i] == key, values[i], p[hot])
+        cold = np.flatnonzero(depth < k)
+        _, one, i = np.unique(pair(c[cold], w[cold]), return_index=True, return_inverse=True)
+        _, of = np.unique(c[cold[one]], return_inverse=True)
+        p[cold] = _state(np.bincount(i, n[cold], len(one)), of, p[cold[one]])[i]
+    return p[at]
+
+
+PARTS = ["flush", "ids", "own", "sums"]
+
+
+def _share(key: tuple, rows: pa.Table, model: Model) -> Iterator[pa.RecordBatch]:
+    """Sums for the documents of each piece: log10 score, and of words without number base score and how many are known."""
+    if key[0] < 0:
+        yield pa.RecordBatch.from_arrays([rows["flush"].combine_chunks(), rows["ids"].combine_chunks(), rows["tokens"].combine_chunks(), pa.nulls(rows.num_rows, pa.binary())], PARTS)
+        return
+    answers = [_unpack(x, np.uint64, np.float64) for x in rows["found"].to_pylist() if x is not None]
+    keys, values = (np.concatenate(x) for x in zip(*answers)) if answers else (np.zeros(0, np.uint64), np.zeros(0))
+    order = np.argsort(keys)
+    keys, values = keys[order], values[order]
+    del answers, order
+    flushes, docs, counts, train, hashes, numbers = [], [], [], [], [[] for _ in range(DEPTH + 1)], []
+    for flush, raw in zip(rows["flush"].to_pylist(), rows["tokens"].to_pylist()):
+        if raw is None:
+            continue
+        doc, count, held, *rest = _unpack(raw, np.uint32, np.uint32, np.uint8, *[np.uint32] * (DEPTH + 1), *[np.uint64] * (DEPTH + 1))
+        flushes.append(flush)
+        docs.append(np.cumsum(doc))
+        counts.append(count)
+        train.append(np.repeat(held == 0, count))
+        numbers.append(rest[0])
+        for k in range(DEPTH + 1):
+            h = model.hashes[rest[k]]
+            h[rest[k] == 0] = rest[DEPTH + 1 + k]
+            hashes[k].append(h)
+    if not flushes:
         return
-    col = {k: rows[k].to_pylist() for k in ("flush", "a", "b", "c")}
-    docs, counts = zip(*(np.frombuffer(x, np.uint32).reshape(2, -1) for x in col["a"]))
-    train = np.concatenate([np.repeat(np.frombuffer(h, np.uint8) == 0, c) for h, c in zip(col["b"], counts)])
-    sizes = [int(c.sum()) for c in counts]
-    if shard < voc.shards:
-        parts = [np.frombuffer(x, np.uint16).reshape(3, -1) for x in col["c"]]
-        u, v, w = (np.concatenate([p[k] for p in parts]) for k in range(3))
-        score = np.log10(context_scores(u, v, w, train, voc.p0))
-        base = known = None
-    else:
-        h = np.concatenate([np.frombuffer(x, np.uint64) for x in col["c"]])
-        _, at = np.unique(h, return_inverse=True)
-        n = np.bincount(at, train)[at]
-        score, base, known = np.log10((n + 1) / voc.rare), np.log10((n + 1) / voc.total), (n > 0).astype(float)
-    lo = 0
-    out: list[list] = [[], [], [], [], []]
-    for flush, found, c, size in zip(col["flush"], docs, counts, sizes):
-        doc = np.repeat(np.arange(len(c)), c)
-        out[0].append(flush)
-        out[4].append(found.tobytes())
-        for k, x in enumerate((score, base, known)):
-            out[k + 1].append(None if x is None else np.bincount(doc, x[lo : lo + size], len(c)).tobytes())
+    train, number, w = np.concatenate(train), np.concatenate(numbers), np.concatenate(hashes[0])
+    contexts, context = [], np.zeros(len(w), np.uint64)
+    for k in range(1, DEPTH + 1):
+        context = longer(context, np.concatenate(hashes[k]))
+        hashes[k] = []
+        contexts.append(context)
+    seen = model.counts[number]
+    other = np.flatnonzero(number == 0)
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, w[other]), len(keys) - 1)
+        seen[other] = np.where(keys[at] == w[other], values[at], 0)
+    p = (seen + 1) / model.total
+    score = np.log10(probabilities(contexts, w, train, p, model, keys, values))
+    del contexts, context, w, train
+    p = np.log10(p)
+    lo, out = 0, []
+    for flush, found, count in zip(flushes, docs, counts):
+        size = int(count.sum())
+        doc = np.repeat(np.arange(len(count)), count)
+        i = np.flatnonzero(number[lo : lo + size] == 0)
+        some, of = np.unique(doc[i], return_inverse=True)
+        sums = _pack(np.diff(found, prepend=0).astype(np.uint32), np.bincount(doc, score[lo : lo + size], len(count)).astype(np.float32), found[some].astype(np.uint32), np.bincount(of, p[lo + i], len(some)), np.bincount(of, seen[lo + i] > 0, len(some)).astype(np.uint32))
+        out.append((flush, sums))
         lo += size
-    n = len(out[0])
-    score, base, known, found = (pa.array(x, pa.binary()) for x in out[1:])
-    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.nulls(n, pa.list_(pa.int64())), found, pa.nulls(n, pa.binary()), score, base, known], names)
+    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.nulls(len(out), pa.list_(pa.int64())), pa.nulls(len(out), pa.binary()), pa.array([x[1] for x in out], pa.binary())], PARTS)
 
 
 def _gather(key: tuple, rows: pa.Table) -> Iterator[pa.RecordBatch]:
-    col = {k: rows[k].to_pylist() for k in rows.column_names}
-    known = [i for i, x in enumerate(col["ids"]) if x is not None]
-    if len(known) != 1:
+    own = rows.filter(rows["own"].is_valid())
+    if own.num_rows != 1:
         raise ValueError("a batch of documents came back in parts that don't belong together")
-    i = known[0]
-    sums = {k: np.frombuffer(col[k][i], np.float64).copy() for k in ("score", "base", "known")}
-    for j, found in enumerate(col["count"]):
-        if j != i:
-            at = np.frombuffer(found, np.uint32)
-            for k, total in sums.items():
-                if col[k][j] is not None:
-                    total[at] += np.frombuffer(col[k][j], np.float64)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(col["ids"][i], pa.int64()), pa.array(np.frombuffer(col["held"][i], np.uint8).astype(bool)), pa.array(np.frombuffer(col["count"][i], np.int64)), pa.array(np.rint(sums["known"]).astype(np.int64)), pa.array(sums["base"]), pa.array(sums["score"])],
-        ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
-    )
+    count, held, base, known = (x.copy() for x in _unpack(own["own"][0].as_py(), np.int64, np.uint8, np.float64, np.int64))
+    score = np.zeros(len(count))
+    for raw in rows["sums"].to_pylist():
+        if raw is not None:
+            doc, s, some, b, n = _unpack(raw, np.uint32, np.float32, np.uint32, np.float64, np.uint32)
+            score[np.cumsum(doc)] += s
+            base[some] += b
+            known[some] += n
+    yield pa.RecordBatch.from_arrays([pa.array(own["ids"][0].as_py(), pa.int64()), pa.array(held.astype(bool)), pa.array(count), pa.array(known), pa.array(base), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
 
 def score_texts(docs: DataFrame, held_out: Column) -> DataFrame:
@@ -246,15 +484,31 @@ def score_texts(docs: DataFrame, held_out: Column) -> DataFrame:
 
     The model learns from the rows where held_out is false and scores all.  Tokens are words, A-Z in lower case, and one end
     per text; a null text is empty, that is one end.  base_score sums log10((c + 1) / (N + V + 1)) over the tokens; score is
-    the model's log10 probability of the text.  Without training rows N and V are 0 and every token has probability 1 by
-    either.  Repeated rows are texts of their own; other columns are ignored."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
-    counts = cut(_unigrams(rows))
-    sums = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    frequent = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
-    voc = Vocabulary([(r.word, r.n) for r in frequent], sums.n or 0, sums.v)
-    shared = docs.sparkSession.sparkContext.broadcast(voc)
-    dealt = _deal(rows, shared)
-    parts = grouped(dealt, ["shard"], lambda k, t: _share(k, t, shared.value), "flush long, ids array<long>, count binary, held binary, score binary, base binary, known binary")
+    the model's log10 probability of the text, summed from parts in single precision.  Without training rows N and V are 0 and
+    every token has probability 1 by either.  Repeated rows are texts of their own; other columns are ignored."""
+    rows = tame(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
+    spark = docs.sparkSession
+    counts = cut(_counts(rows))
+    every = counts.groupBy().agg(F.sum(F.when(F.col("kind") == -1, F.col("n"))).alias("every"), F.sum(F.when(F.col("kind") == 0, F.col("n"))).alias("n"), F.count_if(F.col("kind") == 0).alias("v")).first()
+    words_ = counts.where("kind = 0").select("key", "n")
+    # the counts from which on words get numbers: not more than CODES of them, whatever the table's size
+    steps = words_.groupBy(F.floor(F.log2("n") * 8).alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("n")).orderBy(F.desc("step")).collect()
+    least, total = 1 << 62, 0
+    for r in steps:
+        total += r.words
+        if total > CODES:
+            break
+        least = r.n
+    frequent = [(r.key, r.n) for r in words_.where(F.col("n") >= least).collect()]
+    limit = max(HOT, (every.every or 0) // MOST_HOT) / SAMPLE
+    found = counts.where((F.col("kind") > 0) & (F.col("n") >= limit)).select("kind", "key").collect()
+    model = Model(frequent, every.n or 0, every.v, every.every or 0, [[r.key for r in found if r.kind == k] for k in range(1, DEPTH + 1)])
+    known = words_.where(F.col("n") < least).select("key", F.col("n").cast("double").alias("value"))
+    for more in _hot_states(rows, words_, model):
+        known = known.unionByName(more)
+    shared = spark.sparkContext.broadcast(model)
+    answers = _answers(_asked(rows, shared), known, model.shards)
+    dealt = _deal(rows, shared).unionByName(answers.select("shard", F.lit(None).cast("long").alias("flush"), F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("binary").alias("tokens"), "found"))
+    parts = grouped(dealt, ["shard"], lambda k, t: _share(k, t, shared.value), "flush long, ids array<long>, own binary, sums binary")
     out = grouped(parts, ["flush"], _gather, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(voc.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

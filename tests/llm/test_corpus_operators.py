@@ -93,26 +93,61 @@ def test_prefix_shortens_until_the_recall_is_met():
     assert 1 - (1 - 0.8**k) ** 40 >= 0.999 > 1 - (1 - 0.8 ** (k + 1)) ** 40
 
 
-def test_suffix_tree_counts_and_distribution(docs, empty):
-    rows = suffix_tree.score_texts(docs, hashed_fold("doc_id", 7, 2)).collect()
-    assert len(rows) == len(made())
-    tokens = {i: [*WORDS.findall((t or "").lower()), None] for i, t, *_ in made()}
-    c = collections.Counter(w for i, *_ in made() if zlib.crc32(str(i).encode()) % 7 != 2 for w in tokens[i])
+def plain_suffix_tree(texts, held, depth=3):
+    """The model counted word by word: base score and score of each text."""
+    tokens = {i: [*WORDS.findall((t or "").lower()), 0] for i, t in texts.items()}
+    train = [i for i in tokens if not held(i)]
+    c = collections.Counter(w for i in train for w in tokens[i])
     n, v = sum(c.values()), len(c)
+    follow = [collections.defaultdict(collections.Counter) for _ in range(depth + 1)]
+    after = lambda x, j, k: tuple(x[j - m] if j >= m else -1 for m in range(1, k + 1))
+    for i in train:
+        for j, w in enumerate(tokens[i]):
+            for k in range(1, depth + 1):
+                follow[k][after(tokens[i], j, k)][w] += 1
+    kept = {}
+
+    def p(context, w):
+        if not context:
+            return (c[w] + 1) / (n + v + 1)
+        low, seen = p(context[:-1], w), follow[len(context)].get(context)
+        if not seen or not keep(context):
+            return low
+        return (max(seen[w] - 0.75, 0) + 0.75 * len(seen) * low) / sum(seen.values())
+
+    def keep(context):
+        if context not in kept:
+            seen, gain = follow[len(context)][context], 0.0
+            size = sum(seen.values())
+            for w, m in seen.items() if size > 1 else ():
+                low = p(context[:-1], w)
+                gain += m * math.log(max((max(m - 1.75, 0) + 0.75 * (len(seen) - (m == 1)) * low) / (size - 1), 1e-300) / low)
+            kept[context] = size > 1 and gain >= 0.005 * size
+        return kept[context]
+
+    score = {i: sum(math.log10(p(after(x, j, depth), w)) for j, w in enumerate(x)) for i, x in tokens.items()}
+    base = {i: sum(math.log10(p((), w)) for w in x) for i, x in tokens.items()}
+    return tokens, c, base, score, sum(kept.values())
+
+
+@pytest.mark.parametrize("hot, codes, share", [(10**9, 500_000, 10**6), (200, 20, 1500), (30, 0, 700)])
+def test_suffix_tree_equals_brute_force(docs, empty, monkeypatch, hot, codes, share):
+    """Whether contexts are hot, words have numbers and tokens are dealt to many tasks changes no score."""
+    for name, value in (("HOT", hot), ("CODES", codes), ("SHARE", share), ("SAMPLE", 1)):
+        monkeypatch.setattr(suffix_tree, name, value)
+    texts = {i: t for i, t, *_ in made()}
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    tokens, c, base, score, states = plain_suffix_tree(texts, held)
+    twice = [i for i, *_ in made()]
+    # a repeated row counts as a text of its own
+    rows = suffix_tree.score_texts(docs.dropDuplicates(["doc_id"]), hashed_fold("doc_id", 7, 2)).collect()
+    assert len(rows) == len(texts) == len(set(twice)) and states > 20
     for r in rows:
         x = tokens[r.doc_id]
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(x), sum(w in c for w in x), n)
-        assert math.isclose(r.base_score, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in x), rel_tol=1e-9)
-        assert r.score <= 0
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(r.doc_id), len(x), sum(w in c for w in x), sum(c.values()))
+        assert math.isclose(r.base_score, base[r.doc_id], rel_tol=1e-9) and math.isclose(r.score, score[r.doc_id], rel_tol=1e-5), r
+    assert suffix_tree.score_texts(docs, hashed_fold("doc_id", 7, 2)).count() == len(made())
     assert suffix_tree.score_texts(empty, hashed_fold("doc_id", 7, 2)).count() == 0
-    # in every context the probabilities of all words add up to one
-    rng = np.random.default_rng(0)
-    u, w = rng.integers(1, 4, 400).astype(np.uint16), rng.integers(0, 6, 400).astype(np.uint16)
-    p0 = np.zeros(65536)
-    p0[:6] = [0.3, 0.2, 0.2, 0.1, 0.1, 0.1]
-    asked = np.arange(6, dtype=np.uint16)
-    p = suffix_tree.context_scores(np.append(u, np.full(6, 2, np.uint16)), np.full(406, 9, np.uint16), np.append(w, asked), np.append(np.ones(400), np.zeros(6)), p0)
-    assert math.isclose(p[400:].sum(), 1, abs_tol=1e-9)
 
 
 def test_language_id(spark, empty):
