@@ -32,10 +32,10 @@ DEPTH = 3
 #: Nats per token by which a context must beat its suffix, and the discount of seen continuations.
 DIVERGENCE, DISCOUNT = 0.005, 0.75
 #: Words that travel as numbers, at most: 24 bytes each in every worker.
-CODES = 500_000
+CODES = 1_000_000
 #: Tokens of a task's share, about; tokens of a context from which on it is hot (more where that would make over MOST_HOT of them
 #: possible in a length of context); one text of SAMPLE is looked at to find them.
-SHARE, HOT, MOST_HOT, SAMPLE = 1_500_000, 2_000_000, 4_000_000, 64
+SHARE, HOT, MOST_HOT, SAMPLE = 750_000, 1_500_000, 4_000_000, 256
 END, BOS = np.uint64(0x5CA1AB1E0DDBA11), np.uint64(0x0B0B0B0B0B0B0B0B)
 _STEP, _PAIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _LONG = np.uint64((1 << 63) - 1)
@@ -421,7 +421,7 @@ def _share(key: tuple, rows: pa.Table, model: Model) -> Iterator[pa.RecordBatch]
     order = np.argsort(keys)
     keys, values = keys[order], values[order]
     del answers, order
-    flushes, docs, counts, train, hashes, numbers = [], [], [], [], [[] for _ in range(DEPTH + 1)], []
+    flushes, docs, counts, train, columns = [], [], [], [], []
     for flush, raw in zip(rows["flush"].to_pylist(), rows["tokens"].to_pylist()):
         if raw is None:
             continue
@@ -430,18 +430,23 @@ def _share(key: tuple, rows: pa.Table, model: Model) -> Iterator[pa.RecordBatch]
         docs.append(np.cumsum(doc))
         counts.append(count)
         train.append(np.repeat(held == 0, count))
-        numbers.append(rest[0])
-        for k in range(DEPTH + 1):
-            h = model.hashes[rest[k]]
-            h[rest[k] == 0] = rest[DEPTH + 1 + k]
-            hashes[k].append(h)
+        columns.append(rest)
     if not flushes:
         return
-    train, number, w = np.concatenate(train), np.concatenate(numbers), np.concatenate(hashes[0])
+
+    def column(k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and hashes of the words k before the tokens."""
+        number = np.concatenate([x[k] for x in columns])
+        h = model.hashes[number]
+        h[number == 0] = np.concatenate([x[DEPTH + 1 + k] for x in columns])
+        for x in columns:
+            x[k] = x[DEPTH + 1 + k] = None
+        return number, h
+
+    train, (number, w) = np.concatenate(train), column(0)
     contexts, context = [], np.zeros(len(w), np.uint64)
     for k in range(1, DEPTH + 1):
-        context = longer(context, np.concatenate(hashes[k]))
-        hashes[k] = []
+        context = longer(context, column(k)[1])
         contexts.append(context)
     seen = model.counts[number]
     other = np.flatnonzero(number == 0)
@@ -488,7 +493,7 @@ def score_texts(docs: DataFrame, held_out: Column) -> DataFrame:
     every token has probability 1 by either.  Repeated rows are texts of their own; other columns are ignored."""
     rows = tame(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
     spark = docs.sparkSession
-    counts = cut(_counts(rows))
+    counts = stored(_counts(rows), "words")
     every = counts.groupBy().agg(F.sum(F.when(F.col("kind") == -1, F.col("n"))).alias("every"), F.sum(F.when(F.col("kind") == 0, F.col("n"))).alias("n"), F.count_if(F.col("kind") == 0).alias("v")).first()
     words_ = counts.where("kind = 0").select("key", "n")
     # the counts from which on words get numbers: not more than CODES of them, whatever the table's size
