@@ -140,14 +140,14 @@ def _counts(docs: DataFrame) -> DataFrame:
 class Model:
     """What every task needs: frequent words with their numbers and counts, hot contexts, and sums."""
 
-    def __init__(self, frequent: list[tuple[int, int]], tokens: int, distinct: int, every: int, hot: list[list[int]]):
-        frequent = sorted(frequent, key=lambda x: (-x[1], x[0]))
-        h = np.array([x for x, _ in frequent], np.int64).view(np.uint64)
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, tokens: int, distinct: int, every: int, hot: list[list[int]]):
+        order = np.lexsort((keys, -counts))
+        h, counts = keys[order].view(np.uint64), counts[order]
         order = np.argsort(h)
         self.sorted, self.number = h[order], (order + 1).astype(np.uint32)
         #: By number; 0 is any other word, the last the beginning of a text.
         self.hashes = np.concatenate([[np.uint64(0)], h, [BOS]]).astype(np.uint64)
-        self.counts = np.array([0, *[n for _, n in frequent], 0], np.int64)
+        self.counts = np.concatenate([[0], counts, [0]]).astype(np.int64)
         self.bos = len(h) + 1
         self.tokens, self.distinct, self.total = tokens, distinct, float(tokens + distinct + 1)
         self.shards = max(1, -(-every // SHARE))
@@ -504,10 +504,10 @@ def score_texts(docs: DataFrame, held_out: Column) -> DataFrame:
         if total > CODES:
             break
         least = r.n
-    frequent = [(r.key, r.n) for r in words_.where(F.col("n") >= least).collect()]
+    frequent = words_.where(F.col("n") >= least).toArrow()  # 16 bytes a word
     limit = max(HOT, (every.every or 0) // MOST_HOT) / SAMPLE
     found = counts.where((F.col("kind") > 0) & (F.col("n") >= limit)).select("kind", "key").collect()
-    model = Model(frequent, every.n or 0, every.v, every.every or 0, [[r.key for r in found if r.kind == k] for k in range(1, DEPTH + 1)])
+    model = Model(frequent["key"].to_numpy(), frequent["n"].to_numpy(), every.n or 0, every.v, every.every or 0, [[r.key for r in found if r.kind == k] for k in range(1, DEPTH + 1)])
     known = words_.where(F.col("n") < least).select("key", F.col("n").cast("double").alias("value"))
     for more in _hot_states(rows, words_, model):
         known = known.unionByName(more)
