@@ -35,7 +35,7 @@ DIVERGENCE, DISCOUNT = 0.005, 0.75
 CODES = 1_000_000
 #: Tokens of a task's share, about; tokens of a context from which on it is hot (more where that would make over MOST_HOT of them
 #: possible in a length of context); one text of SAMPLE is looked at to find them.
-SHARE, HOT, MOST_HOT, SAMPLE = 750_000, 1_500_000, 4_000_000, 256
+SHARE, HOT, MOST_HOT, SAMPLE = 1_000_000, 1_500_000, 4_000_000, 256
 END, BOS = np.uint64(0x5CA1AB1E0DDBA11), np.uint64(0x0B0B0B0B0B0B0B0B)
 _STEP, _PAIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _LONG = np.uint64((1 << 63) - 1)
@@ -86,9 +86,20 @@ def _doc_hash(ids: pa.Array) -> np.ndarray:
     return mix(ids.fill_null(-1).to_numpy(zero_copy_only=False).view(np.uint64) + np.uint64(17))
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct key, in order of the keys, and of each place the number of its key."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    at = np.empty(len(keys), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return order[new], at
+
+
 def _summed(keys: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """The rows of columns with the n of those of equal first column added up; the other columns follow the first."""
-    _, first, at = np.unique(keys[0], return_index=True, return_inverse=True)
+    first, at = distinct(keys[0])
     return [k[first] for k in keys], np.bincount(at, n, len(first)).astype(np.int64)
 
 
@@ -145,6 +156,9 @@ class Model:
         h, counts = keys[order].view(np.uint64), counts[order]
         order = np.argsort(h)
         self.sorted, self.number = h[order], (order + 1).astype(np.uint32)
+        bits = max(1, len(h).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.begin = np.searchsorted(self.sorted, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
         #: By number; 0 is any other word, the last the beginning of a text.
         self.hashes = np.concatenate([[np.uint64(0)], h, [BOS]]).astype(np.uint64)
         self.counts = np.concatenate([[0], counts, [0]]).astype(np.int64)
@@ -157,10 +171,18 @@ class Model:
         self.share = [np.zeros(len(x)) for x in self.hot]
 
     def numbers(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.sorted):
-            return np.zeros(len(h), np.uint32)
-        at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
-        return np.where(self.sorted[at] == h, self.number[at], np.uint32(0))
+        """Numbers of words: each is looked for from where its leading bits begin among the sorted hashes."""
+        out = np.zeros(len(h), np.uint32)
+        at = self.begin[h >> self.shift]
+        left = np.flatnonzero(at < len(self.sorted))
+        at, h = at[left], h[left]
+        while len(left):
+            there = self.sorted[at]
+            hit = there == h
+            out[left[hit]] = self.number[at[hit]]
+            on = (there < h) & (at + 1 < len(self.sorted))
+            left, at, h = left[on], at[on] + 1, h[on]
+        return out
 
     def is_hot(self, k: int, contexts: np.ndarray) -> np.ndarray:
         known = self.hot[k - 1]
@@ -207,8 +229,9 @@ def _unpack(raw: bytes, *kinds: type) -> list[np.ndarray]:
 
 def _runs(keys: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
     """(key, places) of each key from 0 to n - 1 that occurs; places ascend."""
+    keys = keys.astype(np.uint16) if n <= 1 << 16 else keys
     order = np.argsort(keys, kind="stable")
-    edge = np.searchsorted(keys[order], np.arange(n + 1))
+    edge = np.append(0, np.cumsum(np.bincount(keys, minlength=n)))
     for k in np.flatnonzero(np.diff(edge)).tolist():
         yield k, order[edge[k] : edge[k + 1]]
 
@@ -295,7 +318,7 @@ def _asked(docs: DataFrame, shared: object) -> DataFrame:
                     keys.append(pair(contexts[k - 1][at], t.hash[at]))
                     wanted.append(shard[at])
                 keys, wanted = np.concatenate(keys), np.concatenate(wanted)
-                _, first = np.unique(mix(keys + wanted.astype(np.uint64) * _STEP), return_index=True)
+                first, _ = distinct(mix(keys + wanted.astype(np.uint64) * _STEP))
                 keys, wanted = keys[first], wanted[first].astype(np.uint32)
                 rows = [(s, _pack(keys[at], wanted[at])) for s, at in _runs(((keys & _LONG) % np.uint64(model.shards)).astype(np.int64), model.shards)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["shard", "asked"])
@@ -304,7 +327,8 @@ def _asked(docs: DataFrame, shared: object) -> DataFrame:
 
 
 def _answers(asked: DataFrame, known: DataFrame, shards: int) -> DataFrame:
-    """(shard, found): for each shard the keys that it asked for and that are known, with their values."""
+    """(shard, found): for each shard the keys that it asked for and that are known, with their values in single precision, in
+    which the counts of words without number are exact below 2^24."""
 
     def answer(_: tuple, rows: pa.Table) -> Iterator[pa.RecordBatch]:
         blobs = [x for x in rows["asked"].to_pylist() if x is not None]
@@ -320,9 +344,9 @@ def _answers(asked: DataFrame, known: DataFrame, shards: int) -> DataFrame:
         at = np.minimum(np.searchsorted(key, keys), len(key) - 1)
         hit = key[at] == keys
         at, wanted = at[hit], wanted[hit]
-        _, first = np.unique(at.astype(np.uint64) * np.uint64(shards) + wanted.astype(np.uint64), return_index=True)
+        first, _ = distinct(at.astype(np.uint64) * np.uint64(shards) + wanted.astype(np.uint64))
         at, wanted = at[first], wanted[first].astype(np.int64)
-        out = [(s, _pack(key[at[i]], value[at[i]])) for s, i in _runs(wanted, shards)]
+        out = [(s, _pack(key[at[i]], value[at[i]].astype(np.float32))) for s, i in _runs(wanted, shards)]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.binary())], ["shard", "found"])
 
     entries = known.select((F.col("key").bitwiseAND(F.lit((1 << 63) - 1)) % shards).alias("shard"), F.lit(None).cast("binary").alias("asked"), "key", "value")
@@ -388,7 +412,7 @@ def _state(n: np.ndarray, of: np.ndarray, low: np.ndarray) -> np.ndarray:
 def probabilities(contexts: list[np.ndarray], w: np.ndarray, train: np.ndarray, p: np.ndarray, model: Model, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
     """The probability of each token after its contexts, from p, that of its word alone.  All tokens of every context that isn't hot
     are given; train says which of them count.  (keys, values), by key, are the probabilities that are known after hot contexts."""
-    _, first, at = np.unique(pair(contexts[-1], w), return_index=True, return_inverse=True)
+    first, at = distinct(pair(contexts[-1], w))
     n = np.bincount(at, train, len(first))
     contexts, w, p = [c[first] for c in contexts], w[first], p[first].copy()
     depth = model.hot_depth(contexts)
@@ -402,8 +426,8 @@ def probabilities(contexts: list[np.ndarray], w: np.ndarray, train: np.ndarray,
                 i = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
                 p[hot] = np.where(keys[i] == key, values[i], p[hot])
         cold = np.flatnonzero(depth < k)
-        _, one, i = np.unique(pair(c[cold], w[cold]), return_index=True, return_inverse=True)
-        _, of = np.unique(c[cold[one]], return_inverse=True)
+        one, i = distinct(pair(c[cold], w[cold]))
+        of = distinct(c[cold[one]])[1]
         p[cold] = _state(np.bincount(i, n[cold], len(one)), of, p[cold[one]])[i]
     return p[at]
 
@@ -416,8 +440,8 @@ def _share(key: tuple, rows: pa.Table, model: Model) -> Iterator[pa.RecordBatch]
     if key[0] < 0:
         yield pa.RecordBatch.from_arrays([rows["flush"].combine_chunks(), rows["ids"].combine_chunks(), rows["tokens"].combine_chunks(), pa.nulls(rows.num_rows, pa.binary())], PARTS)
         return
-    answers = [_unpack(x, np.uint64, np.float64) for x in rows["found"].to_pylist() if x is not None]
-    keys, values = (np.concatenate(x) for x in zip(*answers)) if answers else (np.zeros(0, np.uint64), np.zeros(0))
+    answers = [_unpack(x, np.uint64, np.float32) for x in rows["found"].to_pylist() if x is not None]
+    keys, values = (np.concatenate(x) for x in zip(*answers)) if answers else (np.zeros(0, np.uint64), np.zeros(0, np.float32))
     order = np.argsort(keys)
     keys, values = keys[order], values[order]
     del answers, order
@@ -452,7 +476,7 @@ def _share(key: tuple, rows: pa.Table, model: Model) -> Iterator[pa.RecordBatch]
     other = np.flatnonzero(number == 0)
     if len(keys):
         at = np.minimum(np.searchsorted(keys, w[other]), len(keys) - 1)
-        seen[other] = np.where(keys[at] == w[other], values[at], 0)
+        seen[other] = np.where(keys[at] == w[other], values[at], 0).astype(np.int64)
     p = (seen + 1) / model.total
     score = np.log10(probabilities(contexts, w, train, p, model, keys, values))
     del contexts, context, w, train
