@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, cut, grouped, small, stored
+from .shared import components, cut, drop_stored, grouped, lean, small, stored, tame
 
 THRESHOLD = 0.95
 #: First length of a neighbour list, its growth at saturation and the length at which growth stops (the exact count within
@@ -33,7 +33,8 @@ ROUNDS = 6
 #: Vectors in each half of the audit at least (the square root of all beyond), the recall wanted, and how often trees are added
 #: for it.
 AUDITED, RECALL, RETRIES = 256, 0.99, 2
-BLOCK = 512
+#: Vectors in a block of the exact count; a vector that more than HUB lists hold is merged in two steps.
+BLOCK, HUB = 2048, 5000
 #: What single precision may be off.
 MARGIN = 1e-4
 
@@ -41,6 +42,7 @@ MARGIN = 1e-4
 def _prepare(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id, copies, dim, x): one row per distinct usable vector, x its unit vector as float64 bytes; and (vec_id, id) of all rows."""
     numbers = F.col("embedding").cast("array<double>")
+    tame(vectors)
     usable = F.coalesce(F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & F.forall(numbers, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(numbers, lambda v: v != 0), F.lit(False))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), numbers.alias("e"), usable.alias("usable"))
     # 128 bits of a vector; -0.0 is 0.0
@@ -115,12 +117,12 @@ def _trees(vecs: DataFrame, n: int, trees: int, bits: int, seed: int, threshold:
                 side = (x @ planes[dim] > 0).reshape(len(x), trees, bits)
                 code = (side * (1 << np.arange(bits, dtype=np.int64))).sum(axis=2)
                 for t in range(trees):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(code[:, t]), part.column(0), part.column(1), part.column(2)], ["tree", "code", "id", "dim", "x"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(code[:, t]), part.column(0), part.column(1)], ["tree", "code", "id", "dim"])
 
-    coded = vecs.select("id", "dim", "x").mapInArrow(codes, "tree int, code long, id long, dim int, x binary")
+    coded = stored(vecs.select("id", "dim", "x").mapInArrow(lean(codes), "tree int, code long, id long, dim int"), "codes")
     # a leaf with many vectors is split at random, evenly
-    sizes = coded.groupBy("tree", "dim", "code").agg(F.count("*").alias("n")).where(F.col("n") > LEAF_MOST)
-    placed = coded.join(small(sizes), ["tree", "dim", "code"], "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("id", "tree"), F.ceil(F.col("n") / LEAF_MOST)), F.lit(0)))
+    sizes = cut(coded.groupBy("tree", "dim", "code").agg(F.count("*").alias("n")).where(F.col("n") > LEAF_MOST))
+    placed = coded.join(small(sizes), ["tree", "dim", "code"], "left").join(vecs.select("id", "x"), "id").withColumn("part", F.coalesce(F.pmod(F.xxhash64("id", "tree"), F.ceil(F.col("n") / LEAF_MOST)), F.lit(0)))
 
     def leaf(_: tuple, rows: pa.Table) -> Iterator[pa.RecordBatch]:
         if rows.num_rows > 1:
@@ -130,21 +132,34 @@ def _trees(vecs: DataFrame, n: int, trees: int, bits: int, seed: int, threshold:
     return grouped(placed.select("tree", "dim", "code", "part", "id", "x"), ["tree", "dim", "code", "part"], leaf, FOUND)
 
 
-def _merge(lists: DataFrame, sizes: DataFrame | None) -> DataFrame:
+def _merge(lists: DataFrame, sizes: DataFrame | None, hubs: DataFrame | None = None) -> DataFrame:
     """One list per vector: the best of all that were found for it, as many as its size allows; and ups, all that it is connected
-    with by what was found."""
+    with by what was found.  hubs: (id, parts) of the vectors whose lists are first merged in so many parts."""
     lists = lists.withColumn("k", F.lit(LIST)) if sizes is None else lists.join(small(sizes), "id", "left").withColumn("k", F.coalesce("k", F.lit(LIST)))
 
-    def best(key: tuple, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    def best(rows: pa.Table) -> tuple[list, list, list]:
         ids = rows["nbrs"].combine_chunks().flatten().to_numpy()
         sims = rows["sims"].combine_chunks().flatten().to_numpy()
         order = np.argsort(-sims, kind="stable")
         ids, sims = ids[order], sims[order]
         _, first = np.unique(ids, return_index=True)
         first = np.sort(first)[: rows["k"][0].as_py()]
-        yield pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([ids[first].tolist()], pa.list_(pa.int64())), pa.array([sims[first].tolist()], pa.list_(pa.float32())), pa.array([rows["up"].unique().drop_null().to_pylist()], pa.list_(pa.int64()))], ["id", "nbrs", "sims", "ups"])
+        return ids[first].tolist(), sims[first].tolist(), rows["up"].unique().drop_null().to_pylist()
 
-    return grouped(lists, ["id"], best, f"{LISTS}, ups array<long>")
+    def part(key: tuple, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids, sims, ups = best(rows)
+        n = len(ups) + 1
+        yield pa.RecordBatch.from_arrays([pa.array([key[0]] * n, pa.int64()), pa.array([ids, *[[]] * len(ups)], pa.list_(pa.int64())), pa.array([sims, *[[]] * len(ups)], pa.list_(pa.float32())), pa.array([None, *ups], pa.int64()), pa.array([rows["k"][0].as_py()] * n, pa.int32())], ["id", "nbrs", "sims", "up", "k"])
+
+    def whole(key: tuple, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids, sims, ups = best(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([ids], pa.list_(pa.int64())), pa.array([sims], pa.list_(pa.float32())), pa.array([ups], pa.list_(pa.int64()))], ["id", "nbrs", "sims", "ups"])
+
+    if hubs is not None:
+        marked = lists.join(small(hubs), "id", "left").withColumn("part", F.pmod(F.xxhash64("nbrs", "up"), F.col("parts")))
+        first = grouped(marked.where("parts is not null").drop("parts"), ["id", "part"], part, f"{FOUND}, k int")
+        lists = marked.where("parts is null").drop("parts", "part").unionByName(first)
+    return grouped(lists, ["id"], whole, f"{LISTS}, ups array<long>")
 
 
 def _descend(graph: DataFrame, vecs: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
@@ -152,11 +167,20 @@ def _descend(graph: DataFrame, vecs: DataFrame, sizes: DataFrame, threshold: flo
     best of those that list it."""
     links = graph.select("id", F.explode(F.arrays_zip("nbrs", "sims")).alias("l")).select("id", F.col("l.nbrs").alias("m"), F.col("l.sims").alias("s"))
 
+    # vectors in very many lists: what is gathered for them is cut down in parts first
+    hubs = cut(links.groupBy(F.col("m").alias("id")).agg(F.ceil(F.count("*") / HUB).alias("parts")).where("parts > 1"))
+    hubs = hubs if hubs.limit(1).count() else None
+
     def heads(key: tuple, rows: pa.Table) -> Iterator[pa.RecordBatch]:
         order = np.argsort(-rows["s"].to_numpy(), kind="stable")[: max(LIST, int(rows["k"][0].as_py()))]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(order), key[0])), rows["id"].combine_chunks().take(pa.array(order))], ["center", "m"])
-
-    back = grouped(links.join(small(sizes.withColumnRenamed("id", "m")), "m", "left").select("m", "id", "s", F.coalesce("k", F.lit(LIST)).alias("k")), ["m"], heads, "center long, m long")
+        yield pa.RecordBatch.from_arrays([rows[c].combine_chunks().take(pa.array(order)) for c in ("m", "id", "s", "k")], ["m", "id", "s", "k"])
+
+    listing = links.join(small(sizes.withColumnRenamed("id", "m")), "m", "left").select("m", "id", "s", F.coalesce("k", F.lit(LIST)).cast("int").alias("k"))
+    kind = "m long, id long, s float, k int"
+    if hubs is not None:
+        marked = listing.join(small(hubs.withColumnRenamed("id", "m")), "m", "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))))
+        listing = grouped(marked.drop("parts"), ["m", "part"], heads, kind)
+    back = grouped(listing, ["m"], heads, kind).select(F.col("m").alias("center"), F.col("id").alias("m"))
     members = links.select(F.col("id").alias("center"), "m").unionByName(back).unionByName(graph.select(F.col("id").alias("center"), F.col("id").alias("m"))).distinct()
     with_x = members.join(vecs.select(F.col("id").alias("m"), "x"), "m").join(small(sizes.withColumnRenamed("id", "m")), "m", "left").withColumn("k", F.coalesce("k", F.lit(LIST)))
 
@@ -166,7 +190,7 @@ def _descend(graph: DataFrame, vecs: DataFrame, sizes: DataFrame, threshold: flo
             yield _best(rows["m"].to_numpy(), x @ x.T, rows["k"].to_numpy(), threshold)
 
     found = grouped(with_x.select("center", "m", "x", "k"), ["center"], compare, FOUND)
-    return _merge(found.unionByName(graph.select("id", "nbrs", "sims", F.lit(None).cast("long").alias("up"))), sizes)
+    return _merge(found.unionByName(graph.select("id", "nbrs", "sims", F.lit(None).cast("long").alias("up"))), sizes, hubs)
 
 
 def _count(graph: DataFrame, threshold: float) -> int:
@@ -201,21 +225,30 @@ def _edges(graph: DataFrame) -> DataFrame:
 
 def _links(key: tuple, rows: pa.Table, threshold: float) -> Iterator[pa.RecordBatch]:
     """Links within a block or between two of one group: counts, copies included, and links that connect the same vectors."""
-    ids, which, copies = rows["id"].to_numpy(), rows["block"].to_numpy(), rows["copies"].to_numpy().astype(np.float64)
+    one = key[1] == key[2]
+    rows = rows.take(pa.array(np.argsort(rows["block"].to_numpy() != key[1], kind="stable")))
+    ids, copies = rows["id"].to_numpy(), rows["copies"].to_numpy().astype(np.float64)
+    n = len(ids) if one else int((rows["block"].to_numpy() == key[1]).sum())
+    at = 0 if one else n
     x = _matrix(rows, np.float64)
-    linked = x @ x.T >= threshold
-    np.fill_diagonal(linked, False)
-    if key[1] != key[2]:
-        linked &= which[:, None] != which[None, :]
-    count = linked @ copies
+    linked = np.zeros((n, len(ids) - at), bool)
+    for lo in range(0, n, 256):
+        linked[lo : lo + 256] = x[lo : min(lo + 256, n)] @ x[at:].T >= threshold
+    count = np.zeros(len(ids))
+    if one:
+        np.fill_diagonal(linked, False)
+        count = linked @ copies
+    else:
+        count[:n], count[n:] = linked @ copies[n:], copies[:n] @ linked
     seen, a, b = np.zeros(len(ids), bool), [], []
-    for root in range(len(ids)):
+    for root in range(n):
         if seen[root]:
             continue
         seen[root], queue = True, [root]
         while queue:
             i = queue.pop()
-            found = np.flatnonzero(linked[i] & ~seen)
+            near = np.flatnonzero(linked[i]) + at if i < n else np.flatnonzero(linked[:, i - at])
+            found = near[~seen[near]]
             seen[found] = True
             queue += found.tolist()
             a += [int(ids[i])] * len(found)

@@ -325,15 +325,41 @@ def test_trees_share_no_values_and_meet_the_recall():
     n, rng = 30_000, np.random.default_rng(4)
     x = rng.integers(0, 1 << 63, (n, 45), dtype=np.uint64)
     begins = np.arange(n)
-    one, other = (lsh_forest.forest_keys(x[:, at].ravel(), begins * len(at), lsh_forest.prefix())[0] for at in (np.arange(40), np.r_[:36, 40:45]))
+    below = lsh_forest.BITS * (lsh_forest.DEPTH - lsh_forest.prefix())
+    one, other = (lsh_forest.forest_keys(x[:, at].ravel(), begins * len(at))[0] >> below for at in (np.arange(40), np.r_[:36, 40:45]))
     assert (one == other).any(axis=1).mean() >= 0.9988
 
 
-def test_audit_raises_the_level(spark, docs, monkeypatch):
-    chains, depths, forest = lsh_forest._chains, [], lsh_forest._forest
-    monkeypatch.setattr(lsh_forest, "_forest", lambda d, depth: depths.append(depth) or forest(d, depth))
+def test_audit_shortens_the_prefix(docs, monkeypatch):
+    chains, levels = lsh_forest._chains, []
+    monkeypatch.setattr(lsh_forest, "_chains", lambda f, level, least: levels.append(level) or chains(f, level, least))
     whole = {r.doc_id: tuple(r) for r in lsh_forest.similar(docs).collect()}
-    assert depths == [8]
-    depths.clear()
-    monkeypatch.setattr(lsh_forest, "_chains", lambda f, least: chains(f, least).where(F.lit(len(depths) > 1)))
-    assert {r.doc_id: tuple(r) for r in lsh_forest.similar(docs).collect()} == whole and depths == [8, 7]
+    assert levels == [8]
+    levels.clear()
+    monkeypatch.setattr(lsh_forest, "_chains", lambda f, level, least: levels.append(level) or chains(f, level, least).where(F.lit(level < 8)))
+    assert {r.doc_id: tuple(r) for r in lsh_forest.similar(docs).collect()} == whole and levels == [8, 7]
+    monkeypatch.setattr(lsh_forest, "_chains", lambda f, level, least: chains(f, level, least).where(F.lit(False)))
+    monkeypatch.setattr(lsh_forest, "prefix", lambda *a, **k: 2)
+    with pytest.raises(RuntimeError):
+        lsh_forest.similar(docs)
+
+
+def test_blocks_of_any_size_find_the_same_links(docs, monkeypatch):
+    whole = {r.doc_id: tuple(r) for r in lsh_forest.similar(docs).collect()}
+    monkeypatch.setattr(lsh_forest, "BLOCK", 2)
+    monkeypatch.setattr(lsh_forest, "COLUMNS", 7)
+    assert {r.doc_id: tuple(r) for r in lsh_forest.similar(docs).collect()} == whole
+
+
+def test_hubs_and_blocks_change_no_link(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((400, 24))
+    x[100:220] = x[0] + 0.12 * rng.standard_normal((120, 24))
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    adj = u @ u.T >= 0.95
+    np.fill_diagonal(adj, False)
+    monkeypatch.setattr(nn_descent, "HUB", 8)
+    monkeypatch.setattr(nn_descent, "BLOCK", 30)
+    got = {r.vec_id: r.n_links for r in nn_descent.near_vectors(d).collect()}
+    assert [got[i] for i in range(400)] == adj.sum(1).tolist()
