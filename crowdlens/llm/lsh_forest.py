@@ -35,7 +35,7 @@ AUDITED = 256
 #: standard deviations are allowed, and the audit counts what that loses.
 SLACK = 5.0
 #: Documents and shingles in a block of the exact comparison, and columns of its matrix at a time.
-BLOCK, BLOCK_SHINGLES, COLUMNS = 2000, 2_000_000, 4096
+BLOCK, BLOCK_SHINGLES, COLUMNS = 1000, 2_000_000, 4096
 
 
 def prefix(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
