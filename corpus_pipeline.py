@@ -1,7 +1,11 @@
 """The corpus pipeline: documents in, a mix of clean ones out.  Each stage calls one operator of crowdlens.llm.
 
 Every stage takes (spark, docs, sf_dir) and returns the columns of documents for the rows that it keeps; the last returns the
-mix: for each document how many of its words are taken, and from where."""
+mix: for each document how many of its words are taken, and from where.
+
+All stages take empty tables, rows repeated as a whole, and further columns of any name, which the last one drops.  Texts that are
+null, empty or without letters go in the first stage, which can't tell their language; so do rows whose language is in doubt.  A
+null lang or source is a value like any other.  A row without doc_id is kept as it is by the stages in between."""
 
 from __future__ import annotations
 
@@ -11,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crowdlens.llm import compression_lid, edit_match, lsh_forest, recompression, source_schedule
-from crowdlens.llm.shared import stored
+from crowdlens.llm.shared import drop_stored, stored
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +25,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of the smallest id, of each group linked by similarity 0.8 of word 5-grams."""
+    """Keeps one document, that of the smallest id, of each group linked by similarity 0.8 of word 5-grams.  Rows that repeat the
+    kept one are kept too."""
     return lsh_forest.drop_similar(docs).select(*docs.columns)
 
 
@@ -32,7 +37,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item within its edit budget."""
+    """Drops documents that hold a benchmark item within its edit budget; an empty benchmark drops none."""
     return edit_match.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
 
 
@@ -48,8 +53,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet to the shared folder and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents, each written as Parquet to the shared folder and read again by the next, then deleted."""
+    before, docs = None, spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            drop_stored(before)
+        before = docs
     return docs
