@@ -573,3 +573,6 @@ def theme_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = lambda t: F.when((F.length(t) - 1) % 3 == 0, 0.6).when((F.length(t) - 1) % 3 == 1, -0.4).otherwise(0.0)
     found = six_tables.aggregate(docs, spark.createDataFrame([], "ticker string"), THEMES, scorer=score)["daily_theme_sentiment"]
     return found.select("date", "theme", "n_posts", six("avg_sentiment", "avg_sentiment"), six("net_bullish", "net_bullish"))
+
+
+from . import catalog_more  # noqa: E402, F401  registers its queries
