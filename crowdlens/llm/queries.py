@@ -65,6 +65,25 @@ def op10_compression_lid(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_tree, op2_site_template, op3_nn_descent, op4_chat_format, op5_edit_match, op6_zip_archive, op7_lsh_forest, op8_recompression, op9_source_schedule, op10_compression_lid)}
 
 ORACLE: dict[str, str] = {
+    "op3_nn_descent": """
+        WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        u AS (SELECT vec_id, e FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+        l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+        r AS (SELECT x AS id, y AS other FROM l UNION SELECT r.id, l.y FROM r JOIN l ON l.x = r.other),
+        c AS (SELECT id, least(id, min(other)) AS component FROM r GROUP BY id), n AS (SELECT x, count(*) AS n FROM l GROUP BY x)
+        SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component, vec_id) AS component_id, vec_id = coalesce(component, vec_id) AS kept
+        FROM v LEFT JOIN n ON n.x = vec_id LEFT JOIN c ON c.id = vec_id""",
+    "op7_lsh_forest": r"""
+        WITH RECURSIVE t AS (SELECT doc_id, text, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS g FROM t),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+        l AS (SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 10 * common >= 8 * (a.n + b.n - common)),
+        r AS (SELECT x AS id, y AS other FROM l UNION SELECT r.id, l.y FROM r JOIN l ON l.x = r.other),
+        p AS (SELECT id, least(id, min(other)) AS component FROM r GROUP BY id), k AS (SELECT x, count(*) AS links FROM l GROUP BY x)
+        SELECT doc_id, CASE WHEN len(w) > 0 THEN min(doc_id) OVER (PARTITION BY text) ELSE doc_id END AS class_id, coalesce(links, 0) AS n_links,
+               coalesce(component, doc_id) AS component_id, doc_id = coalesce(component, doc_id) AS kept
+        FROM t LEFT JOIN k ON k.x = doc_id LEFT JOIN p ON p.id = doc_id""",
     "op4_chat_format": r"""
         WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),

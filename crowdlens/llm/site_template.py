@@ -338,8 +338,8 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     else:
         # a host's pages are dealt to as many tasks as they need, and its template to each of them
         deals = cut(rows.groupBy("host").agg(F.ceil(F.count("*") / HOST_PAGES).cast("int").alias("deals")).where("deals > 1"))
-        dealt = rows.join(small(deals, BROADCAST_ROWS // 10), "host", "left").withColumn("deal", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("deals", F.lit(1))))
-        many = found.join(small(deals, BROADCAST_ROWS // 10), "host", "left").withColumn("deal", F.explode(F.sequence(F.lit(0), F.coalesce("deals", F.lit(1)) - 1)).cast("long"))
+        dealt = rows.join(small(deals, BROADCAST_ROWS // 10), "host", "left").withColumn("deal", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("deals", F.lit(1))).cast("int"))
+        many = found.join(small(deals, BROADCAST_ROWS // 10), "host", "left").withColumn("deal", F.explode(F.sequence(F.lit(0), F.coalesce("deals", F.lit(1)) - 1)))
         rows = dealt.drop("deals").join(many.drop("deals"), ["host", "deal"], "left")
     rows = rows.select("page_id", "url", "html", "host", "template", "often")
 
