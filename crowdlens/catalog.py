@@ -119,7 +119,8 @@ def signal_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trading_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accepted signals with reasons and certainty; the fifth check is that both sources rise."""
     x = sig.features(daily(spark, sf_dir)).join(rep.both_rising(by_source(spark, sf_dir), "F", "O").select("e", "date", "both_rising"), ["e", "date"], "left")
-    return sig.certainty(sig.decide(sig.candidates(x, k=1.5, least_buy=3, least_sell=3)))
+    found = sig.certainty(sig.decide(sig.candidates(x, k=1.5, least_buy=3, least_sell=3)))
+    return found.select("signal_date", "action_date", "action", "e", "score", *[six(c, c) for c in ("att_z", "conv_z", "sent_5d_chg")], "reason", six("certainty", "certainty"))
 
 
 @query(f"""WITH {_DAILY}, w AS (SELECT e, CAST(date + CAST((7 - isodow(date)) AS INT) AS DATE) AS week, sum(n_posts) AS n, sum(coalesce(n_posts * net_bullish, 0)) AS p FROM dense GROUP BY 1, 2)
@@ -132,25 +133,25 @@ def weekly_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TERM_STOP = ", ".join(f"'{w}'" for w in text.TERM_STOP)
 
 
-@query(f"""WITH p AS (SELECT DATE '2024-01-01' + CAST(doc_id % 60 AS INT) AS date, regexp_extract_all(regexp_replace(lower(text), '[^ -~]', ' ', 'g'), '[a-z][a-z0-9]{{2,}}') AS w FROM documents WHERE lang = 'en'),
+@query(f"""WITH p AS (SELECT DATE '2024-01-01' + CAST(doc_id % 60 AS INT) AS date, regexp_extract_all(lower(coalesce(text, '')), '[a-z][a-z0-9]{{2,}}') AS w FROM documents),
 t AS (SELECT date, list_distinct(list_concat(list_filter(w, lambda x: x NOT IN ({_TERM_STOP})),
   list_filter(list_transform(generate_series(1, len(w) - 1), lambda i: CASE WHEN w[i] NOT IN ({_TERM_STOP}) AND w[i + 1] NOT IN ({_TERM_STOP}) THEN w[i] || ' ' || w[i + 1] END), lambda x: x IS NOT NULL))) AS t FROM p),
 u AS (SELECT date, unnest(list_append(t, '__TOTAL__')) AS term FROM t)
 SELECT date, term, count(*) AS mention_count FROM u GROUP BY 1, 2 HAVING term = '__TOTAL__' OR count(*) >= CASE WHEN contains(term, ' ') THEN 5 ELSE 3 END""")
 def daily_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X8, A10."""
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 60).cast("int")).alias("date"), F.regexp_replace(F.lower("text"), "[^ -~]", " ").alias("text"))
+    docs = table(spark, sf_dir, "documents").select(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 60).cast("int")).alias("date"), F.coalesce("text", F.lit("")).alias("text"))
     return agg.daily_terms(docs, text.terms(F.col("text")))
 
 
-@query(r"""WITH w AS (SELECT unnest(regexp_extract_all(regexp_replace(text, '[^ -~]', ' ', 'g'), '\b[A-Za-z]{4,5}\b')) AS w FROM documents WHERE lang = 'en'),
+@query(r"""WITH w AS (SELECT unnest(regexp_extract_all(regexp_replace(text, '[^\x00-\x7F\P{L}]|[^\x00-\x7F\P{M}]|[^\x00-\x7F\P{N}]', '_', 'g'), '\b[A-Za-z]{4,5}\b')) AS w FROM documents),
 c AS (SELECT upper(w) AS ticker, count_if(w = upper(w)) AS caps_count, count_if(w <> upper(w)) AS lower_count FROM w GROUP BY 1)
 SELECT ticker, caps_count, lower_count, round(caps_count / CAST(caps_count + lower_count AS DOUBLE), 3) AS caps_share,
 CASE WHEN caps_count + lower_count >= 30 AND caps_count / CAST(caps_count + lower_count AS DOUBLE) < 0.5 THEN 'cashtag_only' ELSE 'normal' END AS classification,
 CASE WHEN caps_count + lower_count >= 30 THEN 'case_ratio' ELSE 'wordfreq' END AS decided_by FROM c""")
 def word_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A11, D21."""
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.regexp_replace("text", "[^ -~]", " ").alias("text"))
+    docs = table(spark, sf_dir, "documents").select("text")
     c = agg.caps_and_lower(docs).withColumn("c", text.classify(F.col("caps_count"), F.col("lower_count"), F.lit(0.0)))
     return c.select("ticker", "caps_count", "lower_count", F.round(F.col("caps_count") / (F.col("caps_count") + F.col("lower_count")), 3).alias("caps_share"), "c.classification", "c.decided_by")
 
@@ -158,12 +159,12 @@ def word_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
 THEMES = {"motion": ["ing", "tion", "er the"], "place": ["at", "in", "on the"], "thought": ["and", "of the"]}
 
 
-@query("""WITH d AS (SELECT DATE '2024-01-01' + CAST(doc_id % 60 AS INT) AS date, lower(text) AS t, regexp_extract_all(regexp_replace(lower(text), '[^ -~]', ' ', 'g'), '[a-z0-9]+') AS w FROM documents WHERE lang = 'en'),
+@query("""WITH d AS (SELECT DATE '2024-01-01' + CAST(doc_id % 60 AS INT) AS date, lower(coalesce(text, '')) AS t, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents),
 h AS (SELECT date, unnest(['motion', 'place', 'thought']) AS theme, unnest([list_has_any(w, ['ing', 'tion']) OR contains(t, 'er the'), list_has_any(w, ['at', 'in']) OR contains(t, 'on the'), list_contains(w, 'and') OR contains(t, 'of the')]) AS hit FROM d)
 SELECT date, theme, count(*) AS mention_count FROM h WHERE hit GROUP BY 1, 2""")
 def theme_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X4-X7, A4."""
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 60).cast("int")).alias("date"), F.regexp_replace(F.lower("text"), "[^ -~]", " ").alias("text"))
+    docs = table(spark, sf_dir, "documents").select(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 60).cast("int")).alias("date"), F.coalesce("text", F.lit("")).alias("text"))
     return agg.daily_counts(docs, text.themes(F.col("text"), THEMES), name="theme")
 
 
@@ -312,15 +313,19 @@ def inflections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ts.inflection(posts(spark, sf_dir).groupBy("e", "date").agg(F.count("*").alias("n")))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_DAILY}, m AS (SELECT e, date, sent_change AS x, stddev_samp(sent_change) OVER (PARTITION BY e) AS sd FROM feats),
+s AS (SELECT e, date, CASE WHEN x > 0.25 * sd THEN 1 WHEN x < -0.25 * sd THEN -1 END AS side FROM m), t AS (SELECT * FROM s WHERE side IS NOT NULL QUALIFY coalesce(lag(side) OVER (PARTITION BY e ORDER BY date) <> side, true)),
+k(e, side, date) AS (SELECT e, side, min(date) FROM t GROUP BY 1, 2 UNION ALL SELECT k.e, k.side, (SELECT min(date) FROM t WHERE t.e = k.e AND t.side = k.side AND t.date >= k.date + 7) FROM k WHERE k.date IS NOT NULL)
+SELECT e, date, side FROM k WHERE date IS NOT NULL""")
 def share_flips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of the five-day change in sentiment share."""
     return ts.flips(sig.features(daily(spark, sf_dir)).select("e", "date", F.col("sent_change").alias("x")))
 
 
-@query()
+@query(f"""WITH v(w, x) AS (VALUES {", ".join(f"('{w}', {x})" for w, x in sentiment.LEXICON.items())}), t AS (SELECT doc_id, unnest(regexp_extract_all(lower(substr(coalesce(text, ''), 1, {sentiment.CHARS})), '[a-z0-9]+')) AS w FROM documents),
+s AS (SELECT doc_id, CAST(sum(x) AS DOUBLE) AS s FROM t JOIN v USING (w) GROUP BY 1) SELECT doc_id, round(coalesce(s / sqrt(s * s + 15), 0), 6) AS sentiment FROM documents LEFT JOIN s USING (doc_id)""")
 def lexicon_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """U1."""
+    """The scorer of posts, which by its definition reads a post's first 300 characters."""
     return table(spark, sf_dir, "documents").select("doc_id", F.round(sentiment.score(F.col("text")), 6).alias("sentiment"))
 
 
@@ -492,10 +497,12 @@ def price_lead(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.lead_curve(changes(spark, sf_dir), closes(spark, sf_dir)).select("e", "k", six("corr", "corr"))
 
 
-@query()
+@query(f"""WITH {_CHANGE}, m AS (SELECT symbol, date, (p / lag(p) OVER (PARTITION BY symbol ORDER BY date) - 1) * 100 AS y FROM full_px), k AS (SELECT CAST(unnest(generate_series(-15, 15)) AS INT) AS k),
+r AS (SELECT e, k, corr(x, y) AS corr FROM s CROSS JOIN k JOIN m ON m.symbol = s.symbol AND m.date = CAST(s.date + k AS DATE) GROUP BY 1, 2), curve AS (SELECT k, avg(corr) AS corr FROM r WHERE corr IS NOT NULL AND NOT isnan(corr) GROUP BY 1)
+SELECT k AS best_lag, round((SELECT max(corr) FROM curve), 6) AS corr, CASE WHEN k > 0 THEN 'leads' ELSE 'follows' END AS verdict FROM curve ORDER BY round(corr, 9) DESC, k LIMIT 1""")
 def lead_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The peak of the mean curve."""
-    return ev.lead_verdict(ev.lead_curve(changes(spark, sf_dir), closes(spark, sf_dir)))
+    return ev.lead_verdict(ev.lead_curve(changes(spark, sf_dir), closes(spark, sf_dir))).select("best_lag", six("corr", "corr"), "verdict")
 
 
 @query()
@@ -564,12 +571,12 @@ def weekly_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.weekly_signals(rows)
 
 
-@query("""WITH d AS (SELECT DATE '2024-01-01' + CAST(doc_id % 60 AS INT) AS date, lower(text) AS t, regexp_extract_all(regexp_replace(lower(text), '[^ -~]', ' ', 'g'), '[a-z0-9]+') AS w, CASE length(text) % 3 WHEN 0 THEN 0.6 WHEN 1 THEN -0.4 ELSE 0.0 END AS s FROM documents WHERE lang = 'en'),
+@query("""WITH d AS (SELECT DATE '2024-01-01' + CAST(doc_id % 60 AS INT) AS date, lower(coalesce(text, '')) AS t, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w, CASE length(coalesce(text, '')) % 3 WHEN 0 THEN 0.6 WHEN 1 THEN -0.4 ELSE 0.0 END AS s FROM documents),
 h AS (SELECT date, s, unnest(['motion', 'place', 'thought']) AS theme, unnest([list_has_any(w, ['ing', 'tion']) OR contains(t, 'er the'), list_has_any(w, ['at', 'in']) OR contains(t, 'on the'), list_contains(w, 'and') OR contains(t, 'of the')]) AS hit FROM d)
 SELECT date, theme, count(*) AS n_posts, round(avg(s), 6) AS avg_sentiment, round((count_if(s > 0.05) - count_if(s < -0.05)) / CAST(count(*) AS DOUBLE), 6) AS net_bullish FROM h WHERE hit GROUP BY 1, 2""")
 def theme_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The published table of theme sentiment, by a scorer that SQL can follow."""
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 60).cast("int")).alias("date"), "source", F.lit("").alias("title"), F.regexp_replace("text", "[^ -~]", " ").alias("selftext"))
+    docs = table(spark, sf_dir, "documents").select(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 60).cast("int")).alias("date"), "source", F.lit("").alias("title"), F.coalesce("text", F.lit("")).alias("selftext"))
     score = lambda t: F.when((F.length(t) - 1) % 3 == 0, 0.6).when((F.length(t) - 1) % 3 == 1, -0.4).otherwise(0.0)
     found = six_tables.aggregate(docs, spark.createDataFrame([], "ticker string"), THEMES, scorer=score)["daily_theme_sentiment"]
     return found.select("date", "theme", "n_posts", six("avg_sentiment", "avg_sentiment"), six("net_bullish", "net_bullish"))

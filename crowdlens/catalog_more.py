@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalog import _CLOSES, _DAILY, closes, daily, posts, query, six, table
+from .catalog import _CLOSES, _DAILY, _PAIR, ORACLE, closes, daily, posts, query, six, table
 from .functions import lists, text
 from .operators import aggregates as agg
 from .operators import frames as fr
@@ -370,3 +370,20 @@ def cooled_down(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events at least 21 days after the last accepted one."""
     days = posts(spark, sf_dir).where("mood > 400000").select("e", "date").distinct()
     return days.groupBy("e").agg(ts.spaced(F.sort_array(F.collect_list("date")), 21).alias("d")).select("e", F.explode("d").alias("date"))
+
+
+# the whole engine, with both sources' rise as the fifth check and the cooldown as a recursion; reasons round halves up
+ORACLE["trading_signals"] = f"""WITH RECURSIVE {_DAILY}, {_PAIR},
+pd AS (SELECT days.date, x.e, coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM days CROSS JOIN (SELECT DISTINCT e FROM c) x LEFT JOIN c ON c.date = days.date AND c.e = x.e),
+ps AS (SELECT *, sum(a) OVER w AS a7, sum(b) OVER w AS b7 FROM pd WINDOW w AS (PARTITION BY e ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)),
+rise AS (SELECT e, date, coalesce(a7 > lag(a7, 5) OVER v AND b7 > lag(b7, 5) OVER v AND max(b7) OVER (PARTITION BY e ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) > 0, false) AS br FROM ps WINDOW v AS (PARTITION BY e ORDER BY date)),
+q AS (SELECT *, lag(att_z) OVER w AS a0, lag(conv_z) OVER w AS c0, lag(crowded) OVER w AS cr0 FROM flags WINDOW w AS (PARTITION BY e ORDER BY date)),
+t AS (SELECT *, coalesce(att_z > 1.5 AND a0 <= 1.5, false) OR coalesce(conv_z > 1.5 AND c0 <= 1.5, false) AS buy_t, coalesce(conv_z < -1.5 AND c0 >= -1.5, false) OR (crowded AND NOT coalesce(cr0, false)) AS sell_t FROM q),
+x AS (SELECT t.*, br, CASE WHEN buy_t AND sent_change > 0 THEN 'BUY' WHEN sell_t AND sent_change < 0 THEN 'SELL' END AS action FROM t LEFT JOIN rise USING (e, date)),
+g AS (SELECT *, CASE WHEN action = 'BUY' THEN CAST(coalesce(att_z > 1.5, false) AS INT) + 1 + CAST(coalesce(conv_z > 1.5, false) AS INT) + CAST(NOT crowded AS INT) + CAST(coalesce(br, false) AS INT)
+  ELSE CAST(crowded AS INT) + 1 + CAST(coalesce(conv_z < -1.5, false) AS INT) + CAST(coalesce(att_z > 1, false) AS INT) + CAST(coalesce(NOT br, false) AS INT) END AS score FROM x WHERE action IS NOT NULL),
+f AS (SELECT * FROM g WHERE score >= 3),
+k(e, action, date) AS (SELECT e, action, min(date) FROM f GROUP BY 1, 2 UNION ALL SELECT k.e, k.action, (SELECT min(date) FROM f WHERE f.e = k.e AND f.action = k.action AND f.date >= k.date + 21) FROM k WHERE k.date IS NOT NULL)
+SELECT f.date AS signal_date, CAST(f.date + 1 AS DATE) AS action_date, f.action, f.e, score, round(att_z, 6) AS att_z, round(conv_z, 6) AS conv_z, round(sent_change, 6) AS sent_5d_chg,
+printf('attention %+.2f + conviction %+.2f + sentiment %+.3f', att_z + 1e-9 * sign(att_z), conv_z + 1e-9 * sign(conv_z), sent_change + 1e-9 * sign(sent_change)) AS reason,
+round(score + least(abs(conv_z), 3) + greatest(0, 1 - date_diff('day', f.date, (SELECT max(date) FROM k)) / 90.0), 6) AS certainty FROM f JOIN k ON k.e = f.e AND k.action = f.action AND k.date = f.date"""

@@ -71,7 +71,7 @@ def retained(rows: DataFrame, days: int = 365) -> DataFrame:
 
 def caps_and_lower(texts: DataFrame, text: str = "text") -> DataFrame:
     """Of each word of 4 or 5 letters, how often it is in capitals and how often not."""
-    words = texts.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(r"\b[A-Za-z]{4,5}\b"), 0)).alias("w"))
+    words = texts.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(r"(?U)\b[A-Za-z]{4,5}\b"), 0)).alias("w"))
     caps = F.count_if(F.col("w") == F.upper("w"))
     return words.groupBy(F.upper("w").alias("ticker")).agg(caps.alias("caps_count"), (F.count("*") - caps).alias("lower_count"))
 

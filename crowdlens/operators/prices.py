@@ -35,9 +35,11 @@ def signed(action: Column, ret: Column) -> Column:
 
 
 def scorecard(trades: DataFrame) -> DataFrame:
-    """Trades (action, pnl) for both sides and over all."""
+    """Trades (action, pnl) for both sides and over all; of a side with fewer than two trades only their number."""
     side = F.when(F.grouping("action") == 1, "ALL").otherwise(F.col("action"))
-    return trades.where("pnl is not null").rollup("action").agg(side.alias("side"), F.count("*").alias("n"), F.avg("pnl").alias("mean"), F.sum("pnl").alias("total"), F.min("pnl").alias("worst"), F.max("pnl").alias("best"), (F.count_if(F.col("pnl") > 0) / F.count("*")).alias("hit_rate"), (F.avg("pnl") / F.nullif(F.stddev_samp("pnl"), F.lit(0.0)) * (252 / 20) ** 0.5).alias("sharpe")).drop("action")
+    n = F.count("*")
+    figures = {"mean": F.avg("pnl"), "total": F.sum("pnl"), "worst": F.min("pnl"), "best": F.max("pnl"), "hit_rate": F.count_if(F.col("pnl") > 0) / n, "sharpe": F.avg("pnl") / F.nullif(F.stddev_samp("pnl"), F.lit(0.0)) * (252 / 20) ** 0.5}
+    return trades.where("pnl is not null").rollup("action").agg(side.alias("side"), n.alias("n"), *[F.when(n >= 2, x).alias(name) for name, x in figures.items()]).drop("action")
 
 
 def plan_requests(wanted: DataFrame, prices: DataFrame, tolerance: int = 3) -> DataFrame:
