@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import _CLOSES, _DAILY, _PAIR, ORACLE, closes, daily, posts, query, six, table
-from .functions import lists, text
+from .functions import lists, rules, text
 from .operators import aggregates as agg
 from .operators import frames as fr
 from .operators import prices as px
@@ -372,6 +372,12 @@ def cooled_down(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.groupBy("e").agg(ts.spaced(F.sort_array(F.collect_list("date")), 21).alias("d")).select("e", F.explode("d").alias("date"))
 
 
+@query()
+def rule_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores by rules, of posts' first 300 characters, as the scorer is defined."""
+    return table(spark, sf_dir, "documents").select("doc_id", rules.scorer()(F.col("text")).alias("sentiment"))
+
+
 # the whole engine, with both sources' rise as the fifth check and the cooldown as a recursion; reasons round halves up
 ORACLE["trading_signals"] = f"""WITH RECURSIVE {_DAILY}, {_PAIR},
 pd AS (SELECT days.date, x.e, coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM days CROSS JOIN (SELECT DISTINCT e FROM c) x LEFT JOIN c ON c.date = days.date AND c.e = x.e),
