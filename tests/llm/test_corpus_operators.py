@@ -363,3 +363,45 @@ def test_hubs_and_blocks_change_no_link(spark, monkeypatch):
     monkeypatch.setattr(nn_descent, "BLOCK", 30)
     got = {r.vec_id: r.n_links for r in nn_descent.near_vectors(d).collect()}
     assert [got[i] for i in range(400)] == adj.sum(1).tolist()
+
+
+def test_matches_equal_brute_force(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(2, 6)))
+    items = [" ".join(word() for _ in range(n)) for n in (8, 14, 25, 40, 3)]
+
+    def spoilt(item, edits):
+        x = list(item)
+        for _ in range(edits):
+            k = rng.randrange(len(x))
+            x[k : k + 1] = rng.choice([[], ["z"], [x[k], "y"]])
+        return "".join(x)
+
+    texts = [" ".join(word() for _ in range(rng.randint(0, 30))) + " " + spoilt(rng.choice(items), rng.randint(0, 8)) + " " + " ".join(word() for _ in range(rng.randint(0, 30))) for _ in range(60)]
+    want = set()
+    for i, t in enumerate(texts):
+        t = edit_match.normal(t)
+        for j, item in enumerate(items):
+            item = edit_match.normal(item)
+            row, best = list(range(len(item) + 1)), len(item)
+            for c in t:
+                old, row = row, [0]
+                for k, x in enumerate(item, 1):
+                    row.append(min(old[k - 1] + (x != c), old[k] + 1, row[k - 1] + 1))
+                best = min(best, row[-1])
+            if len(item) < edit_match.SHORT_CHARS:
+                if f" {item} " in f" {t} ":
+                    want.add((i, j, 0))
+            elif best <= int(len(item) * edit_match.RATE):
+                want.add((i, j, best))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id, r.distance) for r in edit_match.matches(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    assert got == want and 15 < len(want) < 60 and any(d for *_, d in want)
+
+
+def test_held_out_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = hashed_fold("doc_id", 4, 2)
+    found = compression_lid.identify(docs, compression_lid.learn(docs, ~held)).where(held & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    n, right = found.count(), found.where("lang_pred = lang").count()
+    assert n > 200 and right / n >= 0.97
