@@ -147,12 +147,12 @@ def daily_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""WITH w AS (SELECT unnest(regexp_extract_all(regexp_replace(text, '[^\x00-\x7F\P{L}]|[^\x00-\x7F\P{M}]|[^\x00-\x7F\P{N}]', '_', 'g'), '\b[A-Za-z]{4,5}\b')) AS w FROM documents),
 c AS (SELECT upper(w) AS ticker, count_if(w = upper(w)) AS caps_count, count_if(w <> upper(w)) AS lower_count FROM w GROUP BY 1)
 SELECT ticker, caps_count, lower_count, round(caps_count / CAST(caps_count + lower_count AS DOUBLE), 3) AS caps_share,
-CASE WHEN caps_count + lower_count >= 30 AND caps_count / CAST(caps_count + lower_count AS DOUBLE) < 0.5 THEN 'cashtag_only' ELSE 'normal' END AS classification,
+CASE WHEN CASE WHEN caps_count + lower_count >= 30 THEN caps_count / CAST(caps_count + lower_count AS DOUBLE) < 0.5 ELSE log10(caps_count + lower_count) + 3 >= 3.5 END THEN 'cashtag_only' ELSE 'normal' END AS classification,
 CASE WHEN caps_count + lower_count >= 30 THEN 'case_ratio' ELSE 'wordfreq' END AS decided_by FROM c""")
 def word_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A11, D21."""
+    """For words seen too seldom their frequency decides, here taken from the table itself."""
     docs = table(spark, sf_dir, "documents").select("text")
-    c = agg.caps_and_lower(docs).withColumn("c", text.classify(F.col("caps_count"), F.col("lower_count"), F.lit(0.0)))
+    c = agg.caps_and_lower(docs).withColumn("c", text.classify(F.col("caps_count"), F.col("lower_count"), F.log10(F.col("caps_count") + F.col("lower_count")) + 3))
     return c.select("ticker", "caps_count", "lower_count", F.round(F.col("caps_count") / (F.col("caps_count") + F.col("lower_count")), 3).alias("caps_share"), "c.classification", "c.decided_by")
 
 

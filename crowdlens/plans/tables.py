@@ -115,10 +115,11 @@ def write(spark: SparkSession, tables: Mapping[str, DataFrame], folder: str) ->
 
 def settle(fs, at: Callable) -> None:
     """Moves the tables that are ready and not yet in place, then removes the mark."""
-    for name in KEYS:
-        if fs.exists(at(f"_next/{name}")):
+    for found in fs.listStatus(at("_next")):
+        name = found.getPath().getName()
+        if found.isDirectory():
             fs.delete(at(name), True)
-            if not fs.rename(at(f"_next/{name}"), at(name)):
+            if not fs.rename(found.getPath(), at(name)):
                 raise OSError(f"{name} could not be replaced")
     fs.delete(at("_next"), True)
 

@@ -78,3 +78,25 @@ def test_small_columns(spark):
     c = spark.createDataFrame([(3, None)], "keyword_count long, inferred_count long")
     assert fr.with_mentions(c).first().mention_count == 3 and fr.with_mentions(c.withColumnRenamed("keyword_count", "mention_count")).columns == ["mention_count", "inferred_count"]
     assert fr.market_symbol is not None and spark.createDataFrame([("A",)], "s string").select(fr.market_symbol(fr.F.col("s"), {}).alias("m")).first().m == "A US Equity"
+
+
+def test_an_interrupted_publication_is_finished(spark, tmp_path):
+    from crowdlens.plans.tables import files as paths
+    from crowdlens.sources import publish
+
+    folder = str(tmp_path / "published")
+    table = lambda n: spark.createDataFrame([(n,)], "mention_count long")
+    publish.publish({"a": table(1), "b": table(1)}, folder)
+    # stopped after the mark, with one table moved
+    for name in ("a", "b"):
+        table(2).write.parquet(f"{folder}/_next/{name}")
+    fs, at = paths(spark, folder)
+    fs.create(at("_next/_ready")).close()
+    fs.delete(at("a"), True)
+    fs.rename(at("_next/a"), at("a"))
+    got = publish.hydrate(spark, folder, ["a", "b"])
+    assert [t.first().mention_count for t in got.values()] == [2, 2] and not fs.exists(at("_next"))
+    publish.publish({"a": got["a"]}, folder)  # from the table that it replaces
+    assert publish.hydrate(spark, folder, ["a"])["a"].first().mention_count == 2
+    with pytest.raises(ValueError):
+        publish.publish({"a": table(1).withColumnRenamed("mention_count", "Title")}, folder)
