@@ -307,10 +307,22 @@ def spliced_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agg.splice(c, c.withColumn("n", F.col("n") * 2), F.lit("2024-01-15").cast("date"))
 
 
-@query()
+@query("""WITH raw AS (SELECT o_orderpriority AS e, CAST(o_orderdate AS DATE) AS date, count(*) AS n FROM orders GROUP BY 1, 2), days AS (SELECT e, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM raw GROUP BY e),
+d AS (SELECT days.*, coalesce(n, 0) AS n, row_number() OVER (PARTITION BY days.e ORDER BY days.date) - 1 AS i FROM days LEFT JOIN raw USING (e, date)),
+s AS (SELECT a.e, a.date, a.i, a.n, round(sum(b.n * pow(0.5, a.i - b.i)) / sum(pow(0.5, a.i - b.i)), 9) AS s FROM d a JOIN d b ON b.e = a.e AND b.i BETWEEN a.i - 80 AND a.i GROUP BY ALL),
+v AS (SELECT *, coalesce(s - lag(s) OVER (PARTITION BY e ORDER BY i), 0) AS v FROM s), f AS (SELECT e, avg(v) AS mean, stddev_samp(v) AS sd, coalesce(nullif(stddev_samp(s), 0), 1) * 3 AS least, max(i) AS end_i FROM v GROUP BY e),
+x AS (SELECT e, i, g, g * s AS x FROM s CROSS JOIN (SELECT unnest([1, -1]) AS g)), c AS (SELECT *, CAST(coalesce(x <> lag(x) OVER w, true) AS INT) AS turned FROM x WINDOW w AS (PARTITION BY e, g ORDER BY i)),
+runs AS (SELECT e, g, x, min(i) AS lo, max(i) AS hi FROM (SELECT *, sum(turned) OVER (PARTITION BY e, g ORDER BY i) AS run FROM c) GROUP BY e, g, x, run),
+tops AS (SELECT e, g, x AS top, (lo + hi) // 2 AS i FROM (SELECT *, lag(x) OVER w AS before, lead(x) OVER w AS after FROM runs WINDOW w AS (PARTITION BY e, g ORDER BY lo)) WHERE before < x AND after < x),
+ends AS (SELECT t.e, t.g, t.top, t.i, coalesce(max(x.i) FILTER (x.i < t.i), 0) AS l, min(x.i) FILTER (x.i > t.i) AS r FROM tops t LEFT JOIN x ON x.e = t.e AND x.g = t.g AND x.x > t.top GROUP BY ALL),
+out AS (SELECT n.e, n.g, n.top, n.i, min(x.x) FILTER (x.i <= n.i) AS low_left, min(x.x) FILTER (x.i >= n.i) AS low_right FROM ends n JOIN f USING (e) JOIN x ON x.e = n.e AND x.g = n.g AND x.i BETWEEN n.l AND coalesce(n.r, end_i) GROUP BY ALL),
+p AS (SELECT e, g, i FROM out JOIN f USING (e) WHERE top - greatest(low_left, low_right) >= least)
+SELECT v.e, v.date, CAST(n AS DOUBLE) AS n, round(s, 6) AS smoothed, round(v, 6) AS velocity, coalesce(v > mean + 2 * sd AND v > 0, false) AS is_rise, coalesce(v < mean - 2 * sd AND v < 0, false) AS is_fall,
+coalesce(up.i IS NOT NULL, false) AS is_peak, coalesce(down.i IS NOT NULL, false) AS is_trough FROM v JOIN f USING (e) LEFT JOIN p up ON up.e = v.e AND up.i = v.i AND up.g = 1 LEFT JOIN p down ON down.e = v.e AND down.i = v.i AND down.g = -1""")
 def inflections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D6, W16, W18, W19."""
-    return ts.inflection(posts(spark, sf_dir).groupBy("e", "date").agg(F.count("*").alias("n")))
+    x = ts.inflection(posts(spark, sf_dir).groupBy("e", "date").agg(F.count("*").alias("n")))
+    return x.select("e", "date", "n", six("smoothed", "smoothed"), six("velocity", "velocity"), "is_rise", "is_fall", "is_peak", "is_trough")
 
 
 @query(f"""WITH RECURSIVE {_DAILY}, m AS (SELECT e, date, sent_change AS x, stddev_samp(sent_change) OVER (PARTITION BY e) AS sd FROM feats),
@@ -443,23 +455,38 @@ def all_time_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("e").agg(F.sum("n").alias("total"), F.count_distinct("date").alias("active_days"), F.max("n").alias("peak")).orderBy(F.desc("total"), "e").limit(20)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_DAILY}, {_CLOSES}, q AS (SELECT *, lag(att_z) OVER w AS a0, lag(conv_z) OVER w AS c0, lag(crowded) OVER w AS cr0 FROM flags WINDOW w AS (PARTITION BY e ORDER BY date)),
+t AS (SELECT q.*, k, coalesce(att_z > k AND a0 <= k, false) OR coalesce(conv_z > k AND c0 <= k, false) AS buy_t, coalesce(conv_z < -k AND c0 >= -k, false) OR (crowded AND NOT coalesce(cr0, false)) AS sell_t
+      FROM q CROSS JOIN (SELECT CAST(unnest([1, 1.5, 2]) AS DOUBLE) AS k)),
+a AS (SELECT *, CASE WHEN buy_t AND sent_change > 0 THEN 'BUY' WHEN sell_t AND sent_change < 0 THEN 'SELL' END AS action FROM t),
+f AS (SELECT *, CASE WHEN action = 'BUY' THEN CAST(coalesce(att_z > k, false) AS INT) + 1 + CAST(coalesce(conv_z > k, false) AS INT) + CAST(NOT crowded AS INT)
+  ELSE CAST(crowded AS INT) + 1 + CAST(coalesce(conv_z < -k, false) AS INT) + CAST(coalesce(att_z > 1, false) AS INT) END AS score FROM a WHERE action IS NOT NULL),
+g AS (SELECT k, e, action, date, min_score, cooldown FROM f CROSS JOIN (SELECT unnest([2, 3]) AS min_score) CROSS JOIN (SELECT unnest([10, 21]) AS cooldown) WHERE score >= min_score),
+r(k, min_score, cooldown, e, action, date) AS (SELECT k, min_score, cooldown, e, action, min(date) FROM g GROUP BY 1, 2, 3, 4, 5 UNION ALL
+  SELECT r.k, r.min_score, r.cooldown, r.e, r.action, (SELECT min(date) FROM g WHERE g.k = r.k AND g.min_score = r.min_score AND g.cooldown = r.cooldown AND g.e = r.e AND g.action = r.action AND g.date >= r.date + r.cooldown) FROM r WHERE r.date IS NOT NULL),
+n AS (SELECT k, min_score, cooldown, action, CASE WHEN e < '3' THEN 'A' WHEN e < '4' THEN 'N' ELSE 'R' END AS symbol, CAST(date + 1 AS DATE) AS date, CAST(date + 11 AS DATE) AS until FROM r WHERE date IS NOT NULL),
+n0 AS (SELECT n.*, px_last AS p0 FROM n ASOF LEFT JOIN px ON px.symbol = n.symbol AND px.date <= n.date), n1 AS (SELECT n0.*, px_last AS p1 FROM n0 ASOF LEFT JOIN px ON px.symbol = n0.symbol AND px.date <= n0.until),
+x AS (SELECT k, min_score, cooldown, CASE WHEN date < DATE '1995-01-01' THEN 'early' ELSE 'late' END AS era, CASE WHEN action = 'SELL' THEN -1 ELSE 1 END * (p1 / nullif(p0, 0) - 1) * 100 AS ret FROM n1 WHERE date >= DATE '1992-01-01' AND date < DATE '1999-01-01'),
+y AS (SELECT k, min_score, cooldown, era, count(*) AS n, avg(ret) AS mean FROM x WHERE ret IS NOT NULL GROUP BY 1, 2, 3, 4 HAVING count(*) >= 4),
+o AS (SELECT k, min_score, cooldown, count(*) AS eras_scored, CAST(sum(n) AS BIGINT) AS signals, min(mean) AS worst_era_avg, avg(mean) AS mean_avg FROM y GROUP BY 1, 2, 3)
+SELECT k, min_score, cooldown, eras_scored, signals, round(worst_era_avg, 6) AS worst_era_avg, round(mean_avg, 6) AS mean_avg, CAST(row_number() OVER (ORDER BY round(worst_era_avg, 9) DESC, round(mean_avg, 9) DESC, k, min_score, cooldown) AS INT) AS rank FROM o""")
 def tuned_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The settings of a grid by their worst era."""
     p = closes(spark, sf_dir)
     eras = spark.sql("select * from values ('early', date'1992-01-01', date'1995-01-01'), ('late', date'1995-01-01', date'1999-01-01') as t(era, lo, hi)")
     symbol = F.when(F.substring("e", 1, 1) <= "2", "A").when(F.substring("e", 1, 1) == "3", "N").otherwise("R")
-    return rep.tune(sig.features(daily(spark, sf_dir)).withColumn("symbol", symbol), p, eras, [1.0, 1.5, 2.0], [2, 3], [10, 21])
+    out = rep.tune(sig.features(daily(spark, sf_dir)).withColumn("symbol", symbol), p, eras, [1.0, 1.5, 2.0], [2, 3], [10, 21])
+    return out.select("k", "min_score", "cooldown", "eras_scored", "signals", six("worst_era_avg", "worst_era_avg"), six("mean_avg", "mean_avg"), "rank")
 
 
+_FILLED = f"""{_CLOSES}, span AS (SELECT symbol, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM px GROUP BY symbol),
+full_px AS (SELECT span.*, last_value(px_last IGNORE NULLS) OVER (PARTITION BY span.symbol ORDER BY span.date) AS p FROM span LEFT JOIN px USING (symbol, date))"""
 _CHANGE = f"""
 raw AS (SELECT o_orderpriority AS e, CAST(o_orderdate AS DATE) AS date, count(*) AS n FROM orders GROUP BY 1, 2), ends AS (SELECT e, min(date) AS lo, max(date) AS hi FROM raw GROUP BY 1),
 days AS (SELECT e, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS date FROM ends), dense AS (SELECT days.*, coalesce(n, 0) AS n FROM days LEFT JOIN raw USING (e, date)),
 p AS (SELECT e, date, CASE WHEN sum(n) OVER (PARTITION BY date) >= 5 THEN 100.0 * n / CAST(sum(n) OVER (PARTITION BY date) AS DOUBLE) END AS pct FROM dense),
 b AS (SELECT *, avg(pct) OVER (PARTITION BY e ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS base FROM p), c AS (SELECT *, base - lag(base) OVER (PARTITION BY e ORDER BY date) AS d FROM b),
-s AS (SELECT e, CASE WHEN e < '3' THEN 'A' WHEN e < '4' THEN 'N' ELSE 'R' END AS symbol, date, avg(d) OVER (PARTITION BY e ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS x FROM c), {_CLOSES},
-span AS (SELECT symbol, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM px GROUP BY symbol),
-full_px AS (SELECT span.*, last_value(px_last IGNORE NULLS) OVER (PARTITION BY span.symbol ORDER BY span.date) AS p FROM span LEFT JOIN px USING (symbol, date)),
+s AS (SELECT e, CASE WHEN e < '3' THEN 'A' WHEN e < '4' THEN 'N' ELSE 'R' END AS symbol, date, avg(d) OVER (PARTITION BY e ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS x FROM c), {_FILLED},
 pairs AS (SELECT s.*, (f.p / full_px.p - 1) * 100 AS fwd FROM s JOIN full_px USING (symbol, date) JOIN full_px f ON f.symbol = s.symbol AND f.date = CAST(s.date + 5 AS DATE) WHERE x IS NOT NULL)"""
 
 
@@ -505,20 +532,42 @@ def lead_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.lead_verdict(ev.lead_curve(changes(spark, sf_dir), closes(spark, sf_dir))).select("best_lag", six("corr", "corr"), "verdict")
 
 
-@query()
+def _evidence(gap: int, most: int) -> str:
+    """From turns t (e, side, date) and measures s (e, symbol, date, x): the lead windows and the moves after accepted turns."""
+    return f"""m AS (SELECT symbol, date, (p / lag(p) OVER (PARTITION BY symbol ORDER BY date) - 1) * 100 AS y FROM full_px), lags AS (SELECT CAST(unnest(generate_series(-{most}, {most})) AS INT) AS lag_days),
+r AS (SELECT e, lag_days, corr(x, y) AS corr FROM s CROSS JOIN lags JOIN m ON m.symbol = s.symbol AND m.date = CAST(s.date + lag_days AS DATE) GROUP BY 1, 2),
+best AS (SELECT e, lag_days FROM r WHERE corr IS NOT NULL AND NOT isnan(corr) QUALIFY row_number() OVER (PARTITION BY e ORDER BY round(corr, 9) DESC, lag_days) = 1),
+taken(e, side, date) AS (SELECT e, side, min(date) FROM t GROUP BY 1, 2 UNION ALL SELECT a.e, a.side, (SELECT min(date) FROM t WHERE t.e = a.e AND t.side = a.side AND t.date >= a.date + {gap}) FROM taken a WHERE a.date IS NOT NULL),
+x0 AS (SELECT taken.*, CASE WHEN e < '3' THEN 'A' WHEN e < '4' THEN 'N' ELSE 'R' END AS symbol, greatest(coalesce(lag_days, 1), 1) AS k FROM taken LEFT JOIN best USING (e) WHERE date IS NOT NULL),
+x1 AS (SELECT x0.*, CAST(x0.date + k AS DATE) AS until, px_last AS p0 FROM x0 ASOF LEFT JOIN px ON px.symbol = x0.symbol AND px.date <= x0.date),
+x2 AS (SELECT x1.*, (px_last / nullif(p0, 0) - 1) * 100 AS move FROM x1 ASOF LEFT JOIN px ON px.symbol = x1.symbol AND px.date <= x1.until),
+sides AS (SELECT e, symbol, k, count(*) FILTER (side = 1) AS up_n, avg(move) FILTER (side = 1) AS up_mean, count(*) FILTER (side = -1) AS down_n, avg(move) FILTER (side = -1) AS down_mean FROM x2 WHERE move IS NOT NULL GROUP BY 1, 2, 3),
+base AS (SELECT d.symbol, d.k, avg((f.p / nullif(g.p, 0) - 1) * 100) AS baseline FROM (SELECT DISTINCT symbol, k FROM sides) d JOIN full_px g ON g.symbol = d.symbol JOIN full_px f ON f.symbol = d.symbol AND f.date = CAST(g.date + d.k AS DATE) GROUP BY 1, 2)
+SELECT e, symbol, k, up_n, round(up_mean, 6) AS up_mean, down_n, round(down_mean, 6) AS down_mean, round(baseline, 6) AS baseline FROM sides LEFT JOIN base USING (symbol, k)"""
+
+
+def _evidence_rows(x: DataFrame) -> DataFrame:
+    return x.select("e", "symbol", "k", "up_n", six("up_mean", "up_mean"), "down_n", six("down_mean", "down_mean"), six("baseline", "baseline"))
+
+
+@query(f"""WITH RECURSIVE {_CHANGE}, sd AS (SELECT e, stddev_samp(x) AS sd FROM s GROUP BY 1), marked AS (SELECT e, date, CASE WHEN x > 0.25 * sd THEN 1 WHEN x < -0.25 * sd THEN -1 END AS side FROM s JOIN sd USING (e)),
+t AS (SELECT * FROM marked WHERE side IS NOT NULL QUALIFY coalesce(lag(side) OVER (PARTITION BY e ORDER BY date) <> side, true)), {_evidence(7, 15)}""")
 def flip_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Moves after turns of the share change."""
     x, p = changes(spark, sf_dir), closes(spark, sf_dir)
     turns = ts.flips(x.select("e", "date", "x")).withColumn("symbol", anchor())
-    return ev.event_evidence(turns, ev.lead_curve(x, p), p)
+    return _evidence_rows(ev.event_evidence(turns, ev.lead_curve(x, p), p))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_DAILY}, {_FILLED}, s AS (SELECT e, CASE WHEN e < '3' THEN 'A' WHEN e < '4' THEN 'N' ELSE 'R' END AS symbol, date, conv_z AS x FROM zs WHERE conv_z IS NOT NULL),
+own AS (SELECT e, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM s GROUP BY e),
+z AS (SELECT own.*, last_value(x IGNORE NULLS) OVER (PARTITION BY own.e ORDER BY own.date) AS z FROM own LEFT JOIN s USING (e, date)), z0 AS (SELECT *, lag(z) OVER (PARTITION BY e ORDER BY date) AS z0 FROM z),
+marked AS (SELECT e, date, CASE WHEN z > 1.5 AND z0 <= 1.5 THEN 1 WHEN z < -1.5 AND z0 >= -1.5 THEN -1 END AS side FROM z0), t AS (SELECT * FROM marked WHERE side IS NOT NULL), {_evidence(10, 20)}""")
 def crossing_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Moves after conviction crosses 1.5."""
     c, p = convictions(spark, sf_dir), closes(spark, sf_dir)
     curve = ev.lead_curve(c.select("e", anchor().alias("symbol"), "date", F.col("conviction_z").alias("x")), p, 20)
-    return ev.event_evidence(ev.crossing_events(c).withColumn("symbol", anchor()), curve, p)
+    return _evidence_rows(ev.event_evidence(ev.crossing_events(c).withColumn("symbol", anchor()), curve, p))
 
 
 @query(f"""WITH {_CHANGE}, t AS (SELECT * FROM s WHERE x IS NOT NULL AND e <> '5-LOW' QUALIFY row_number() OVER (PARTITION BY e ORDER BY date DESC) <= 7), g AS (SELECT e, round(avg(x), 3) AS growth FROM t GROUP BY 1)

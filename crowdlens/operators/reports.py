@@ -133,7 +133,7 @@ def trade_desk(signals: DataFrame, prices: DataFrame, today: Column, hold: int =
 
 def tune(x: DataFrame, prices: DataFrame, eras: DataFrame, ks: list[float], scores: list[int], cooldowns: list[int], entity: str = "e", horizon: int = 10, least: int = 4) -> DataFrame:
     """Signals at every setting, their signed returns by era (era, lo, hi: half-open), and the settings ranked by
-    their worst era's mean, then by the mean of eras.  x has features and symbol; an era counts from `least` trades."""
+    their worst era's mean, then by the mean of eras, both to nine digits.  x has features and symbol; an era counts from `least` trades."""
     lits = lambda values: F.explode(F.array(*[F.lit(v) for v in values]))
     found = candidates(x.withColumn("k", lits(ks)), ["k", entity], F.col("k"), 0, 0)
     found = found.withColumn("min_score", lits(scores)).where("score >= min_score").withColumn("cooldown", lits(cooldowns))
@@ -144,4 +144,4 @@ def tune(x: DataFrame, prices: DataFrame, eras: DataFrame, ks: list[float], scor
     t = as_of(t.withColumn("at", F.date_add("date", horizon)), prices).withColumn("ret", signed(F.col("action"), gain(F.col("p0"), F.col("px")))).where("ret is not null")
     by_era = t.join(F.broadcast(eras), (F.col("date") >= F.col("lo")) & (F.col("date") < F.col("hi"))).groupBy(*setting, "era").agg(F.count("*").alias("n"), F.avg("ret").alias("mean")).where(F.col("n") >= least)
     out = by_era.groupBy(*setting).agg(F.count("*").alias("eras_scored"), F.sum("n").alias("signals"), F.min("mean").alias("worst_era_avg"), F.avg("mean").alias("mean_avg"))
-    return out.withColumn("rank", F.row_number().over(W.orderBy(F.desc("worst_era_avg"), F.desc("mean_avg"), *setting)))
+    return out.withColumn("rank", F.row_number().over(W.orderBy(F.round("worst_era_avg", 9).desc(), F.round("mean_avg", 9).desc(), *setting)))

@@ -125,13 +125,14 @@ def peaks(x: np.ndarray, prominence: float) -> np.ndarray:
 
 
 def inflection(counts: DataFrame, entity: str = "e", value: str = "n", span: float = 3, k: float = 2.0, peak_k: float = 3.0) -> DataFrame:
-    """Smoothed counts, velocity, take-off and fall flags, peaks and troughs, per entity on its own spine."""
+    """Smoothed counts, velocity, take-off and fall flags, peaks and troughs, per entity on its own spine.  Smoothed values are
+    kept to nine digits, so that ties don't hang on the order of sums."""
     dense = spine(counts.select(entity, "date", value), entity, value, per_entity=True)
     kinds = dict(counts.dtypes)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date").reset_index(drop=True)
-        s = ewma(pdf[value].to_numpy(float), span)
+        s = np.round(ewma(pdf[value].to_numpy(float), span), 9)
         v = np.diff(s, prepend=s[:1])
         mean, sd = v.mean(), v.std(ddof=1) if len(v) > 1 else np.nan
         level = peak_k * (s.std(ddof=1) if len(s) > 1 and s.std(ddof=1) > 0 else 1.0)
