@@ -90,6 +90,15 @@ def reddit(raw: DataFrame) -> DataFrame:
     return _post(raw, id=F.coalesce(col("id"), F.lit("")), date=day(col("created_utc")), author=F.coalesce(col("author"), F.lit("")), score=number(col("score")), subreddit=F.lower(F.coalesce(col("subreddit"), F.lit(""))), title=F.coalesce(col("title"), F.lit("")), selftext=first_text(col("selftext"), col("body")), num_comments=number(col("num_comments")), source=F.lit("reddit"))
 
 
+def aliased_posts(raw: DataFrame) -> DataFrame:
+    """`raw` has each record as JSON, whose fields may have any of several names; an author may be an object."""
+    at = lambda *names: first_text(*[F.get_json_object("raw", f"$.{n}") for n in names])
+    who = at("author", "authorName", "user")
+    handle = first_text(*[F.get_json_object(who, f"$.{n}") for n in ("handle", "username", "name")])
+    count = lambda *names: F.coalesce(at(*names).try_cast("double").cast("bigint"), F.lit(0))
+    return finish(_post(raw, id=at("id", "postId", "name"), date=day(at("created_utc", "createdUtc", "created", "createdAt", "created_at", "date")), author=F.when(F.startswith(who, F.lit("{")), handle).otherwise(who), score=count("score", "upvotes", "ups"), subreddit=F.lower(at("subreddit", "community")), title=at("title", "postTitle"), selftext=at("selftext", "previewText", "text", "body", "content"), num_comments=count("num_comments", "numComments", "commentCount", "comments"), source=F.lit("reddit")))
+
+
 def tweets(raw: DataFrame, kinds: list[str] | None = None) -> DataFrame:
     """P5: ids from status URLs, author before the marker in the embed title."""
     rows = raw.where(F.col("tweet_type").isin(kinds)) if kinds else raw
@@ -125,4 +134,4 @@ def author_label(entities: str = "entities") -> Column:
 
 
 #: S22.
-NORMALISERS: dict[str, Callable[[DataFrame], DataFrame]] = {"reddit": reddit, "tweets": tweets, "numbered_tweets": numbered_tweets, "live_tweets": live_tweets, "engaged_tweets": engaged_tweets, "stocktwits": stocktwits}
+NORMALISERS: dict[str, Callable[[DataFrame], DataFrame]] = {"reddit": reddit, "aliased_posts": aliased_posts, "tweets": tweets, "numbered_tweets": numbered_tweets, "live_tweets": live_tweets, "engaged_tweets": engaged_tweets, "stocktwits": stocktwits}

@@ -1,11 +1,13 @@
 """Paged services as a Spark data source (S12-S17, S19): one partition per query, each read backwards in time page by page.
 
 The transport is a function named by the option `fetch` ("module:function"), called with (query, after, before, limit) and
-returning a list of records, newest first, older than `before` and not older than `after`, both in seconds.  Nothing here opens
-a connection, so that any service, or a folder of files, can stand behind it."""
+returning a list of records, newest first, older than `before` and not older than `after`, both in seconds.  With the option
+`settings`, a JSON object, it is also given that.  Nothing here opens a connection, so that any service of `services`, or a
+folder of files, can stand behind it."""
 
 from __future__ import annotations
 
+import functools
 import importlib
 import json
 import time
@@ -48,6 +50,8 @@ class PagedReader(DataSourceReader):
         o = self.options
         module, function = o["fetch"].split(":")
         fetch = getattr(importlib.import_module(module), function)
+        if "settings" in o:
+            fetch = functools.partial(fetch, settings=json.loads(o["settings"]))
         budget = int(o["budget"]) if "budget" in o else None
         for r in pages(fetch, partition.text, int(o["after"]), int(o["before"]), int(o.get("page", 100)), int(o.get("retries", 4)), float(o.get("wait", 20)), budget):
             yield partition.text, str(r["id"]), int(r["created_utc"]), json.dumps(r, sort_keys=True)

@@ -13,3 +13,8 @@ def fetch(query: str, after: int, before: int, limit: int) -> list[dict]:
         raise OSError("busy")
     found = [r for r in records(query) if after <= r["created_utc"] < before]
     return sorted(found, key=lambda r: (-r["created_utc"], r["id"]))[:limit]
+
+
+def closes(symbols: list[str], start: str, end: str) -> list[tuple]:
+    """Two closes of each symbol, which tell the size of the request, and a gap."""
+    return [(s, day, price) for s in symbols for day, price in ((start, len(symbols)), (end, len(symbols)), (end, None))]
