@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 import numpy as np
 import pandas as pd
@@ -120,3 +121,16 @@ def test_streaming_fold_equals_one_shot(spark, tmp_path):
     q.awaitTermination()
     got = {(str(r.date), r.ticker): r.mention_count for r in fold.folded_counts(spark, str(tmp_path / "out")).collect()}
     assert got[("2024-01-02", "GME")] == 1 and got[("2024-01-01", "GME")] == 2
+
+
+def test_themes_find_phrases_that_share_beginnings(spark):
+    keys = {"a": ["new", "new deal"], "b": ["new dealer", "s&p 500."], "c": ["deal"], "d": ["e-v", "w d"], "e": []}
+    texts = ["the NEW dealer", "new deal", "renew deals", "S&P 500. up", "s&p 500 up", "e-vehicle", "", "new\\ deal"]
+
+    def plain(t: str) -> list[str]:
+        low = t.lower()
+        words = set(re.findall("[a-z0-9]+", low))
+        return [k for k, ws in keys.items() if any((w in low) if any(c in w for c in " -.") else w in words for w in ws)]
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(text.themes(F.col("t"), keys)).collect()] == [plain(t) for t in texts]
