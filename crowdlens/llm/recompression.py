@@ -8,7 +8,7 @@ extent lies within a window of words is therefore the same wherever that window
 that happen to have no anchor are named by all their words, so that no repeat is missed.
 
 A window is looked up by the anchor of most words, the highest in the hierarchy, and of several by that with the least name.
-Only where this occurs in several documents are its words compared, by two 64-bit hashes made from independent hashes of words.
+Only where this occurs in several documents are its words compared, by the BLAKE2b digest (128 bits) of the words themselves.
 """
 
 from __future__ import annotations
@@ -106,13 +106,10 @@ def _pairs(s: dict[str, np.ndarray], cap: int, t: int) -> dict[str, np.ndarray]:
 class Parsed:
     """The windows of the rows of a batch, and the name by which each is looked up."""
 
-    def __init__(self, buf: np.ndarray, offsets: np.ndarray, window: int, second: bool = False):
-        starts, ends, self.rows = words(buf, offsets)
-        hashes = word_hashes(buf, starts, ends)
-        self.w1, self.at = window_hashes(hashes, self.rows, window)
-        if second:
-            self.w2, _ = window_hashes(word_hashes(buf, starts, ends, too=True), self.rows, window, seed=1)
-        del starts, ends
+    def __init__(self, buf: np.ndarray, offsets: np.ndarray, window: int):
+        self.starts, self.ends, self.rows = words(buf, offsets)
+        hashes = word_hashes(buf, self.starts, self.ends)
+        w1, self.at = window_hashes(hashes, self.rows, window)
         s = symbols(hashes, self.rows)
         fits = s["high"] - s["low"] <= window
         name, low, high, span = s["name"][fits], s["low"][fits], s["high"][fits], (s["hi"] - s["lo"])[fits]
@@ -122,7 +119,7 @@ class Parsed:
         best = least_over(np.maximum(high - window, 0), low, len(hashes) + 1, window)[self.at]
         bare = best == len(name)  # no anchor: all words name it
         self.name = np.append(name, np.uint64(0))[best]
-        self.name[bare] = mix(self.w1[bare] ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+        self.name[bare] = mix(w1[bare] ^ np.uint64(0xA5A5A5A5A5A5A5A5))
 
     def lookups(self) -> tuple[np.ndarray, np.ndarray]:
         """(name, row) of each distinct name of each row."""
@@ -168,32 +165,41 @@ def _names(docs: DataFrame, window: int) -> DataFrame:
     return docs.select("doc_id", "body", "text").mapInArrow(lean(run), "name long, doc_id long, body long")
 
 
+def _digests(raw: memoryview, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
+    """128 bits of BLAKE2b, as two numbers, of each window's words joined by one space; `at` are the windows' first words."""
+    joined = b" ".join([raw[s:e] for s, e in zip(starts.tolist(), ends.tolist())])
+    edge = np.append(0, np.cumsum(ends - starts + 1))  # where each word begins in the joined text
+    out = [hashlib.blake2b(joined[s:e], digest_size=16).digest() for s, e in zip(edge[at].tolist(), (edge[at + window] - 1).tolist())]
+    return np.frombuffer(b"".join(out), np.uint64).reshape(-1, 2)
+
+
 def _windows(docs: DataFrame, window: int) -> DataFrame:
     """(w1, w2, doc_id, body, at, more) of each distinct window whose name is in the row's `names`, which are sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in pieces(whole, "text", PIECE):
-                p = Parsed(*text_buffer(b.column(2)), window, second=True)
-                w2 = p.w2
+                buf, offsets = text_buffer(b.column(2))
+                p, raw = Parsed(buf, offsets, window), memoryview(buf)
                 names, row = b.column(3), p.rows[p.at]
-                begins = np.searchsorted(p.rows, np.arange(b.num_rows))
+                begins = np.searchsorted(p.rows, np.arange(b.num_rows + 1))
                 for i in range(b.num_rows):
                     lo, hi = np.searchsorted(row, [i, i + 1])
                     known = names[i].values.to_numpy().view(np.uint64)
                     at = lo + np.flatnonzero(np.isin(p.name[lo:hi], known))
                     if len(at):
+                        mine, place = slice(begins[i], begins[i + 1]), p.at[at] - begins[i]
+                        w = _digests(raw, p.starts[mine], p.ends[mine], place, window)
                         # a window that the document repeats is one row, with its other places in a list
-                        order = at[np.lexsort((at, w2[at], p.w1[at]))]
-                        new = np.append(True, (p.w1[order][1:] != p.w1[order][:-1]) | (w2[order][1:] != w2[order][:-1]))
-                        first = np.flatnonzero(new)
-                        place = (p.at[order] - begins[i]).astype(np.int32)
+                        order = np.lexsort((place, w[:, 1], w[:, 0]))
+                        w, place = w[order], place[order].astype(np.int32)
+                        first = np.flatnonzero(np.append(True, (w[1:] != w[:-1]).any(axis=1)))
                         rest = [None] * len(first)
                         for k, (x, y) in enumerate(zip(first.tolist(), [*first[1:].tolist(), len(order)])):
                             if y > x + 1:
                                 rest[k] = place[x + 1 : y].tolist()
-                        same, head = np.full(len(first), i), order[first]
-                        yield pa.RecordBatch.from_arrays([_signed(p.w1[head]), _signed(w2[head]), b.column(0).take(pa.array(same)), b.column(1).take(pa.array(same)), pa.array(place[first]), pa.array(rest, pa.list_(pa.int32()))], ["w1", "w2", "doc_id", "body", "at", "more"])
+                        same = pa.array(np.full(len(first), i))
+                        yield pa.RecordBatch.from_arrays([_signed(w[first, 0]), _signed(w[first, 1]), b.column(0).take(same), b.column(1).take(same), pa.array(place[first]), pa.array(rest, pa.list_(pa.int32()))], ["w1", "w2", "doc_id", "body", "at", "more"])
 
     return docs.select("doc_id", "body", "text", "names").mapInArrow(lean(run), "w1 long, w2 long, doc_id long, body long, at int, more array<int>")
 

@@ -165,12 +165,12 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 _SPACE = np.zeros(256, bool)
 _SPACE[list(SPACES)] = True
 _AS_IS = np.arange(256)
-_LOWER = np.where((_AS_IS >= 65) & (_AS_IS <= 90), _AS_IS + 32, _AS_IS)
-_RANDOM = np.random.default_rng(20240229)
-_BYTE, _BYTE_TOO = (_RANDOM.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+_LOWER = np.where((_AS_IS >= 65) & (_AS_IS <= 90), _AS_IS + 32, _AS_IS).astype(np.uint8)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_LENGTH = np.uint64(0xD6E8FEB86659FD93)
 _CHUNK = 1 << 20
-_POWERS: dict[str, np.ndarray] = {}
+#: For 0 to 8 bytes left of a word, the bits of a block that they fill.
+_FILLED = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -183,16 +183,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "up" not in _POWERS or len(_POWERS["up"]) <= n:
-        size = max(n + 1, _CHUNK + 1)
-        for name, base in (("up", int(_BASE)), ("down", pow(int(_BASE), -1, 1 << 64))):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            _POWERS[name] = np.multiply.accumulate(x)
-    return _POWERS["up"], _POWERS["down"]
-
-
 def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of all words of the rows, and the row of each."""
     if not len(buf):
@@ -207,35 +197,40 @@ def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, np.flatnonzero(ends) + 1, np.searchsorted(offsets, starts, "right") - 1
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, too: bool = False) -> np.ndarray:
-    """64 bits for each word, the same wherever it stands, and others if `too`; in chunks, so that long rows need little memory."""
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+    """64 bits for each word, the same wherever it stands; in chunks, so that long rows need little memory.
+
+    A word is cut into blocks of 8 bytes.  Each block goes, with its place, through `mix`, which isn't linear, and so do the
+    blocks' sum and the word's length: no pattern of repeats within words makes their hashes equal."""
     out = np.empty(len(starts), np.uint64)
-    table = _BYTE_TOO if too else _BYTE
-    table = table[_LOWER] if lower else table
     i = 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + _CHUNK, "right")))
         lo, hi = starts[i], ends[j - 1]
-        up, down = _powers(int(hi - lo))
-        sums = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum(table[buf[lo:hi]] * up[: hi - lo], out=sums[1:])
-        s, e = starts[i:j] - lo, ends[i:j] - lo
-        out[i:j] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
+        padded = np.zeros(hi - lo + 8, np.uint8)
+        padded[:-8] = _LOWER[buf[lo:hi]] if lower else buf[lo:hi]
+        eight = np.ndarray(hi - lo + 1, "<u8", padded, strides=(1,))  # the 8 bytes from each place on
+        first, size = starts[i:j] - lo, ends[i:j] - starts[i:j]
+        blocks = (size + 7) >> 3
+        head = np.cumsum(blocks) - blocks
+        place = np.arange(int(blocks.sum())) - np.repeat(head, blocks)
+        left = np.minimum(np.repeat(size, blocks) - 8 * place, 8)
+        block = eight[np.repeat(first, blocks) + 8 * place] & _FILLED[left]
+        block = mix(block ^ mix((place + 1).astype(np.uint64) * _BASE))
+        out[i:j] = mix(np.add.reduceat(block, head) + size.astype(np.uint64) * _LENGTH)
         i = j
     return out
 
 
-def window_hashes(h: np.ndarray, rows: np.ndarray, n: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def window_hashes(h: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of n consecutive words of one row, and where each begins; the order of the words counts."""
     if len(h) < n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     out = np.zeros(len(h) - n + 1, np.uint64)
-    base = np.uint64((int(_BASE) * (2 * seed + 1) + 2 * seed | 1) & (1 << 64) - 1)
     for i in range(n):
-        out *= base
-        out += mix(h[i : i + len(out)] + np.uint64(seed)) if seed else h[i : i + len(out)]
+        out = mix(out * _BASE + h[i : i + len(out)])
     at = np.flatnonzero(rows[: len(out)] == rows[n - 1 :])
-    return mix(out[at]), at
+    return out[at], at
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -405,3 +405,40 @@ def test_held_out_languages(spark):
     found = compression_lid.identify(docs, compression_lid.learn(docs, ~held)).where(held & F.col("lang").isNotNull() & F.col("text").isNotNull())
     n, right = found.count(), found.where("lang_pred = lang").count()
     assert n > 200 and right / n >= 0.97
+
+
+def thue_morse(n=1024):
+    """Two words that hashes which are linear in the bytes can't tell apart."""
+    bits = [i.bit_count() % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_word_hashes_tell_patterned_words_apart():
+    from crowdlens.llm.shared import text_buffer, word_hashes, words
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    made_ = {*thue_morse(), *thue_morse(64), *("a" * n for n in range(1, 40)), *("ab" * n for n in range(1, 40)), *("abcdefgh" * n + "x" for n in range(20)), "\x00", "\x00\x00", "\u20ac"}
+    made_ |= {"".join(rng.choice("ab") for _ in range(rng.randint(1, 30))) for _ in range(3000)}
+    many = sorted(made_)
+    buf, offsets = text_buffer(pa.array([" ".join(many), "x " + " \n".join(reversed(many)).upper()]))
+    s, e, rows = words(buf, offsets)
+    h = word_hashes(buf, s, e, lower=True)
+    assert len(set(h[rows == 0].tolist())) == len(many)
+    # the same word has the same hash in another place, and in capitals
+    assert h[rows == 1][1:][::-1].tolist() == h[rows == 0].tolist()
+    assert len(np.intersect1d(word_hashes(buf, s, e)[rows == 0], word_hashes(buf, s, e)[rows == 1])) < 10
+
+
+def test_patterned_words_are_not_equal(spark):
+    a, b = thue_morse()
+    rest = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, f"{rest} {a} {rest}"), (2, f"{rest} {b} {rest}")]
+    df = spark.createDataFrame([(*r, "en", "s", 0, "") for r in rows], SCHEMA)
+    assert [(r.doc_id, r.n_removed) for r in recompression.remove_repeats(df).orderBy("doc_id").collect()] == [(1, 0), (2, 0)]
+    short = spark.createDataFrame([(1, f"p q {a} r s", "en", "s", 0, ""), (2, f"p q {b} r s", "en", "s", 0, "")], SCHEMA)
+    assert [r.n_links for r in lsh_forest.similar(short).collect()] == [0, 0]
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
+    train = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 != 2)
+    scored = suffix_tree.score_texts(spark.createDataFrame([(train, a), (held, b)], "doc_id long, text string"), hashed_fold("doc_id", 7, 2))
+    assert {r.doc_id: r.n_known for r in scored.collect()} == {train: 2, held: 1}
