@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, compression_lid, edit_match, lsh_forest, nn_descent, recompression, site_template, source_schedule, suffix_tree, zip_archive
+from . import chat_format, compression_lid, edit_match, lsh_forest, middle_fill, nn_descent, recompression, site_template, source_schedule, spelling_variants, suffix_tree, zip_archive
 from .shared import hashed_fold
 
 
@@ -62,7 +62,15 @@ def op10_compression_lid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_tree, op2_site_template, op3_nn_descent, op4_chat_format, op5_edit_match, op6_zip_archive, op7_lsh_forest, op8_recompression, op9_source_schedule, op10_compression_lid)}
+def op11_middle_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle_fill.digest(middle_fill.fill_middle(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(_table(spark, sf_dir, "documents").select("doc_id", "text"), drop_every=31)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_tree, op2_site_template, op3_nn_descent, op4_chat_format, op5_edit_match, op6_zip_archive, op7_lsh_forest, op8_recompression, op9_source_schedule, op10_compression_lid, op11_middle_fill, op12_spelling_variants)}
 
 ORACLE: dict[str, str] = {
     "op3_nn_descent": """
@@ -113,4 +121,30 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed,
                sha256(array_to_string(list_transform(list_filter(generate_series(1, len(w)), lambda i: NOT list_contains(gone, i)), lambda i: w[i]), ' ')) AS kept_sha256
         FROM k""",
+    "op11_middle_fill": r"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+        u AS (SELECT *, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS w, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || h[i : i + 7] AS BIGINT)) AS r FROM t),
+        c AS (SELECT *, len(w) AS n, least(r[1] % (len(w) + 1), r[2] % (len(w) + 1)) AS a, greatest(r[1] % (len(w) + 1), r[2] % (len(w) + 1)) AS b FROM u),
+        p AS (SELECT *, array_to_string(w[1 : a], '') AS pre, array_to_string(w[a + 1 : b], '') AS mid, array_to_string(w[b + 1 :], '') AS suf,
+                     CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain' WHEN r[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM c)
+        SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(text) AS restored_sha256
+        FROM p""",
+    "op12_spelling_variants": r"""
+        WITH RECURSIVE bits(i, b, c) AS (SELECT i, 0, CAST(i AS UBIGINT) FROM range(256) r(i) UNION ALL SELECT i, b + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END FROM bits WHERE b < 8),
+        tab AS (SELECT list(c ORDER BY i) AS tab FROM bits WHERE b = 8),
+        runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+        freq AS (SELECT id, w, count(*) AS times FROM runs WHERE length(w) >= 7 GROUP BY ALL),
+        raw AS (SELECT *, list_transform(string_split(id || ':' || w, ''), lambda c: unicode(c)) AS codes FROM freq),
+        h AS (SELECT w, times, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(flatten(list_transform(codes, lambda c: CASE WHEN c < 128 THEN [c] ELSE [192 | (c >> 6), 128 | (c & 63)] END)), lambda b: b::UBIGINT)),
+                     lambda s, b: xor(s >> 8, tab[1 + (xor(s, b) & 255)::BIGINT])), 4294967295::UBIGINT)::BIGINT AS h FROM raw, tab),
+        d AS (SELECT CASE WHEN h % 31 = 0 THEN w[1 : h % length(w)] || w[h % length(w) + 2 :] ELSE w END AS word, times FROM h),
+        k AS (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM d WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+        m AS (SELECT word, n, p, word[1 : p - 1] || word[p + 1 :] AS less FROM (SELECT word, n, unnest(generate_series(1, length(word))) AS p FROM k)),
+        e AS (SELECT a.word AS x, b.word AS y, b.n FROM m a JOIN m b ON a.less = b.less AND a.p = b.p WHERE a.word <> b.word
+              UNION SELECT a.word, b.word, b.n FROM m a JOIN k b ON b.word = a.less UNION SELECT b.word, a.word, a.n FROM m a JOIN k b ON b.word = a.less),
+        f AS (SELECT x, count(*) AS n_near, min((-n, encode(y))) AS best FROM e GROUP BY x),
+        g AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best[1] >= 10 * n THEN decode(best[2]) END AS form, CASE WHEN -best[1] >= 10 * n THEN -best[1] END AS form_n FROM k LEFT JOIN f ON x = word),
+        r(word, node, depth) AS (SELECT word, word, 0 FROM g UNION ALL SELECT r.word, g.form, depth + 1 FROM r JOIN g ON g.word = r.node WHERE g.form IS NOT NULL)
+        SELECT g.word, form, root, n, n_near, CAST(form_n AS BIGINT) AS form_n FROM g JOIN (SELECT word, arg_max(node, depth) AS root FROM r GROUP BY word) USING (word)""",
 }
