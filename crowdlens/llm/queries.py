@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, compression_lid, edit_match, lsh_forest, middle_fill, nn_descent, recompression, site_template, source_schedule, spelling_variants, suffix_tree, zip_archive
+from . import chat_format, compression_lid, edit_match, lsh_forest, middle_fill, nn_descent, recompression, secret_scan, site_template, source_schedule, spelling_variants, suffix_tree, zip_archive
 from .shared import hashed_fold
 
 
@@ -70,7 +70,38 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants.spelling_variants(_table(spark, sf_dir, "documents").select("doc_id", "text"), drop_every=31)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_tree, op2_site_template, op3_nn_descent, op4_chat_format, op5_edit_match, op6_zip_archive, op7_lsh_forest, op8_recompression, op9_source_schedule, op10_compression_lid, op11_middle_fill, op12_spelling_variants)}
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_tree, op2_site_template, op3_nn_descent, op4_chat_format, op5_edit_match, op6_zip_archive, op7_lsh_forest, op8_recompression, op9_source_schedule, op10_compression_lid, op11_middle_fill, op12_spelling_variants, op13_secret_scan)}
+
+def _secret_sql() -> str:
+    """Matches located by the pieces between them, and windows each counted anew."""
+    kinds = [(p.kind, i, p.regex, p.group, p.least) for i, p in enumerate(secret_scan.PATTERNS)]
+    classes = [(c.kind, len(kinds) + i, f"[{c.chars}]{{{secret_scan.WINDOW},}}", secret_scan.most(c.bits), c.needs) for i, c in enumerate(secret_scan.CLASSES)]
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    hits = " UNION ALL ".join(f"SELECT k, text, {quoted(kind)} AS kind, {rank} AS rank, string_split_regex(text, {quoted(regex)}) AS gaps, regexp_extract_all(text, {quoted(regex)}) AS hits, regexp_extract_all(text, {quoted(regex)}, {group}) AS parts, {least} AS least FROM t WHERE regexp_matches(text, {quoted(regex)})" for kind, rank, regex, group, least in [*kinds, *[(*c[:3], 0, secret_scan.WINDOW) for c in classes]])
+    allowed = " OR ".join([*[f"regexp_matches(hit, {quoted(a)})" for a in secret_scan.ALLOW_RUN], *[f"regexp_matches(text[greatest(a - 39, 1) : a], {quoted(a)})" for a in secret_scan.ALLOW_BEFORE]])
+    judged = " OR ".join(f"(kind = {quoted(kind)} AND total <= {bound}" + "".join(f" AND regexp_matches(w, {quoted(n)})" for n in needs) + ")" for kind, _, _, bound, needs in classes)
+    n = secret_scan.WINDOW
+    return rf"""
+        WITH t AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents),
+        m AS ({hits}),
+        x AS (SELECT k, text, kind, rank, least, unnest(hits) AS hit, unnest(gaps[1 : len(hits)]) AS gap, unnest(parts) AS part, generate_subscripts(hits, 1) AS i FROM m),
+        l AS (SELECT *, CAST(sum(length(gap) + length(hit)) OVER (PARTITION BY k, kind ORDER BY i) AS BIGINT) AS b FROM x),
+        s AS (SELECT *, b - length(hit) AS a FROM l WHERE length(part) >= least),
+        base AS (SELECT k, kind, rank, a, b FROM s WHERE rank < {len(kinds)}),
+        c AS (SELECT k, kind, rank, a, unnest(generate_series(0, length(hit) - {n})) AS j, hit FROM s WHERE rank >= {len(kinds)} AND NOT ({allowed})),
+        v AS (SELECT *, hit[j + 1 : j + {n}] AS w, list_sum(list_transform(list_distinct(string_split(hit[j + 1 : j + {n}], '')), lambda u: {secret_scan.weights()}[length(hit[j + 1 : j + {n}]) - length(replace(hit[j + 1 : j + {n}], u, '')) + 1])) AS total FROM c),
+        h AS (SELECT *, coalesce(j - lag(j) OVER (PARTITION BY k, kind, a ORDER BY j) > {n}, TRUE) AS fresh FROM v WHERE {judged}),
+        g AS (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY k, kind, a ORDER BY j) AS g FROM h),
+        more AS (SELECT k, kind, rank, a + min(j) AS a, a + max(j) + {n} AS b FROM g GROUP BY k, kind, rank, a, g),
+        every AS (SELECT * FROM base UNION ALL SELECT * FROM more WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.k = more.k AND base.a <= more.a AND base.b >= more.b)),
+        o AS (SELECT k, {", ".join(f"count(*) FILTER (kind = {quoted(kind[0])}) AS n_{kind[0]}" for kind in kinds)},
+                     coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) FILTER (rank < {len(kinds)}), '') AS base, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) AS spans FROM every GROUP BY k)
+        SELECT doc_id, {", ".join(f"coalesce(n_{kind[0]}, 0) AS n_{kind[0]}" for kind in kinds)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN o USING (k)"""
+
 
 ORACLE: dict[str, str] = {
     "op3_nn_descent": """
@@ -147,4 +178,5 @@ ORACLE: dict[str, str] = {
         g AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best[1] >= 10 * n THEN decode(best[2]) END AS form, CASE WHEN -best[1] >= 10 * n THEN -best[1] END AS form_n FROM k LEFT JOIN f ON x = word),
         r(word, node, depth) AS (SELECT word, word, 0 FROM g UNION ALL SELECT r.word, g.form, depth + 1 FROM r JOIN g ON g.word = r.node WHERE g.form IS NOT NULL)
         SELECT g.word, form, root, n, n_near, CAST(form_n AS BIGINT) AS form_n FROM g JOIN (SELECT word, arg_max(node, depth) AS root FROM r GROUP BY word) USING (word)""",
+    "op13_secret_scan": _secret_sql(),
 }
