@@ -152,10 +152,13 @@ def spread(events: DataFrame, gap: int, entity: str = "e") -> DataFrame:
 
 def flips(change: DataFrame, entity: str = "e", eps: float = 0.25, gap: int = 7) -> DataFrame:
     """Days on which x clears +eps or -eps times its deviation after the other side, spaced by the gap within each
-    direction; the state turns even where the gap suppresses the event."""
+    direction; the state turns even where the gap suppresses the event.  For streams see streaming.state."""
     w = by(entity)
-    sd = F.stddev_samp("x").over(W.partitionBy(entity))
-    side = F.when(F.col("x") > eps * sd, 1).when(F.col("x") < -eps * sd, -1)
-    marked = change.withColumn("side", side).where("side is not null")
+    marked = levelled(change, entity, eps).withColumn("side", F.when(F.col("x") > F.col("level"), 1).when(F.col("x") < -F.col("level"), -1)).where("side is not null")
     turned = marked.withColumn("before", F.lag("side").over(w)).where("before is null or before <> side")
     return spread(turned, gap, entity)
+
+
+def levelled(change: DataFrame, entity: str = "e", eps: float = 0.25) -> DataFrame:
+    """Each row with the level that x must clear: eps times the deviation of its entity's x."""
+    return change.withColumn("level", eps * F.stddev_samp("x").over(W.partitionBy(entity)))

@@ -7,6 +7,7 @@ folder of files, can stand behind it."""
 
 from __future__ import annotations
 
+import datetime as dt
 import functools
 import importlib
 import json
@@ -14,7 +15,7 @@ import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 Fetch = Callable[[str, int, int, int], list[dict]]
 
@@ -22,6 +23,8 @@ Fetch = Callable[[str, int, int, int], list[dict]]
 @dataclass
 class Query(InputPartition):
     text: str
+    after: int
+    before: int
 
 
 class PagedPosts(DataSource):
@@ -38,23 +41,68 @@ class PagedPosts(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return PagedReader(dict(self.options))
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return PagedStream(dict(self.options))
+
 
 class PagedReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.options = {k.lower(): v for k, v in options.items()}
 
     def partitions(self) -> list[Query]:
-        return [Query(q) for q in json.loads(self.options["queries"])]
+        return [Query(q, int(self.options["after"]), int(self.options["before"])) for q in json.loads(self.options["queries"])]
+
+    def read(self, partition: Query) -> Iterator[tuple]:
+        return records(self.options, partition)
+
+
+class PagedStream(DataSourceStreamReader):
+    """The same queries as a stream: what came up to an offset has been read, what came since is to be read (S19, ST7, ST8).
+
+    The offset is one second for each query and lives in the stream's checkpoint.  What lies between two offsets is planned
+    month by month, a partition for each query and month, so that a task that is lost asks for one month again.  A query that
+    joins the list later begins at `after`.  Options besides those above: `before` (by default now, less `lag` seconds, 0)."""
+
+    def __init__(self, options: dict[str, str]) -> None:
+        self.options = {k.lower(): v for k, v in options.items()}
+
+    def _offset(self, second: int) -> dict:
+        return {q: second for q in json.loads(self.options["queries"])}
+
+    def initialOffset(self) -> dict:
+        return self._offset(int(self.options["after"]))
+
+    def latestOffset(self) -> dict:
+        return self._offset(int(self.options.get("before", time.time() - float(self.options.get("lag", 0)))))
+
+    def partitions(self, start: dict, end: dict) -> list[Query]:
+        first = int(self.options["after"])
+        return [Query(q, a, b) for q in sorted(end) for a, b in months(int(start.get(q, first)), int(end[q]))]
 
     def read(self, partition: Query) -> Iterator[tuple]:
-        o = self.options
-        module, function = o["fetch"].split(":")
-        fetch = getattr(importlib.import_module(module), function)
-        if "settings" in o:
-            fetch = functools.partial(fetch, settings=json.loads(o["settings"]))
-        budget = int(o["budget"]) if "budget" in o else None
-        for r in pages(fetch, partition.text, int(o["after"]), int(o["before"]), int(o.get("page", 100)), int(o.get("retries", 4)), float(o.get("wait", 20)), budget):
-            yield partition.text, str(r["id"]), int(r["created_utc"]), json.dumps(r, sort_keys=True)
+        return records(self.options, partition)
+
+    def commit(self, end: dict) -> None:
+        """Nothing is kept outside the checkpoint."""
+
+
+def months(start: int, end: int) -> Iterator[tuple[int, int]]:
+    """The seconds from start to before end, cut where months (UTC) begin."""
+    while start < end:
+        day = dt.datetime.fromtimestamp(start, dt.timezone.utc)
+        following = int(dt.datetime(day.year + day.month // 12, day.month % 12 + 1, 1, tzinfo=dt.timezone.utc).timestamp())
+        yield start, min(following, end)
+        start = following
+
+
+def records(o: dict[str, str], part: Query) -> Iterator[tuple]:
+    module, function = o["fetch"].split(":")
+    fetch = getattr(importlib.import_module(module), function)
+    if "settings" in o:
+        fetch = functools.partial(fetch, settings=json.loads(o["settings"]))
+    budget = int(o["budget"]) if "budget" in o else None
+    for r in pages(fetch, part.text, part.after, part.before, int(o.get("page", 100)), int(o.get("retries", 4)), float(o.get("wait", 20)), budget):
+        yield part.text, str(r["id"]), int(r["created_utc"]), json.dumps(r, sort_keys=True)
 
 
 def pages(fetch: Fetch, query: str, after: int, before: int, page: int, retries: int = 4, wait: float = 20, budget: int | None = None) -> Iterator[dict]:

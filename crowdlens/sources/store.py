@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from . import manifest
 from .normalise import NAMES, POSTS, first_seen
 
 
@@ -14,12 +15,9 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """The store's posts; none where it doesn't exist yet."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], POSTS)
-    return spark.read.schema(POSTS).parquet(folder).select(*NAMES)
+def read(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
+    """The store's posts, by default of its newest version; none where it doesn't exist yet."""
+    return manifest.read(spark, folder, POSTS, manifest.load(spark, folder, version)).select(*NAMES)
 
 
 def conform(posts: DataFrame) -> DataFrame:
@@ -31,22 +29,26 @@ def conform(posts: DataFrame) -> DataFrame:
 
 def append(posts: DataFrame, folder: str) -> int:
     """Adds posts whose id the store hasn't, the first of equal ids by date, title and author, and returns their number.
-    Posts without an id are left out.  Raises if the store didn't grow by that number."""
+    Posts without an id are left out.  The store's new version names the old parts and one more, whose rows are counted twice
+    over; where that fails, or another writer came first, the store stays as it was.  Only the ids of the store are read."""
     spark = posts.sparkSession
-    before = read(spark, folder)
-    n = before.count()
+    before = manifest.load(spark, folder)
     fresh = first_seen(conform(posts).where("id is not null and id <> ''"), ["id"], [F.col("date"), F.col("title"), F.col("author")])
-    seen = Observation()
-    fresh.join(before.select("id"), "id", "left_anti").select(*NAMES).observe(seen, F.count("*").alias("n")).write.mode("append").partitionBy("source").option("compression", "zstd").parquet(folder)
-    added, after = seen.get["n"], read(spark, folder).count()
-    if after != n + added:
-        raise RuntimeError(f"the store has {after} posts, not {n} and {added}")
-    return added
+    seen = manifest.read(spark, folder, POSTS, before).select("id")
+    part = manifest.write_part(fresh.join(seen, "id", "left_anti").select(*NAMES), folder, "source")
+    if part["rows"]:
+        manifest.commit(spark, folder, before | {"parts": [*before["parts"], part]})
+    return part["rows"]
 
 
 def replace_sources(posts: DataFrame, folder: str) -> None:
-    """K4: the sources that occur in posts are replaced by them, the others stay."""
-    conform(posts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").option("compression", "zstd").parquet(folder)
+    """K4: the sources that occur in posts are replaced by them, the others stay; one version does both."""
+    spark = posts.sparkSession
+    before = manifest.load(spark, folder)
+    part = manifest.write_part(conform(posts), folder, "source")
+    sources = sorted(r.source for r in manifest.read(spark, folder, POSTS, {"parts": [part]}).select("source").distinct().collect())
+    kept = [p | {"without": {"source": sorted({*p.get("without", {}).get("source", []), *sources})}} for p in before["parts"]]
+    manifest.commit(spark, folder, before | {"parts": [*kept, part]})
 
 
 def append_raw(records: DataFrame, folder: str, day: str) -> None:
