@@ -3,7 +3,8 @@
 Pigeonhole: an item with a budget of k edits is split into k + 1 pieces; wherever a document has the item with at most k edits,
 at least one piece is there unchanged.  An automaton of all pieces finds these hits in one pass over a document; around each,
 Myers' bit-parallel distance decides.  Text is compared as its letters and digits, lower case, one space between runs of them.
-Items of under SHORT_CHARS have no budget and must stand as whole words.
+One rule holds for items of all lengths: the spaces around an item are part of it, so that it stands as whole words unless an edit
+is spent on an end.
 
 The documents stay where they are.  Items go to every task in blocks of BLOCK_CHARS, each a pass over the documents, so that
 memory is bounded however many items there are.
@@ -24,8 +25,6 @@ from .shared import cut, lean, small, tame, unused
 
 #: Edits allowed per normalised character of an item; a piece has then about 1 / RATE characters.
 RATE = 0.05
-#: Shorter items, after normalisation, count only where they stand as they are, between the ends of words.
-SHORT_CHARS = 25
 #: Characters of items whose automaton a task holds at once; about 60 bytes each.
 BLOCK_CHARS = 2_000_000
 _RUNS = regex.compile(r"[\p{L}\p{M}\p{N}]+")
@@ -38,13 +37,12 @@ def normal(text: str | None) -> str:
 
 
 def budget(n: int, rate: float = RATE) -> int:
-    return int(n * rate) if n >= SHORT_CHARS else 0
+    return int(n * rate)
 
 
-def stands(item: str, text: str, at: int) -> bool:
-    """Whether the item, which the text has at this place, begins and ends there with a word."""
-    end = at + len(item)
-    return (at <= 0 or text[at - 1] == " " or bool(_UNSPACED.match(item[0]))) and (end >= len(text) or text[end] == " " or bool(_UNSPACED.match(item[-1])))
+def bounded(item: str) -> str:
+    """The item with the spaces that part it from other words; none at an end in a script that has none."""
+    return item and ("" if _UNSPACED.match(item[0]) else " ") + item + ("" if _UNSPACED.match(item[-1]) else " ")
 
 
 def split(item: str, k: int) -> list[tuple[int, str]]:
@@ -94,7 +92,7 @@ class Matcher:
     """All items of a block."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float):
-        self.items = {i: (t, budget(len(t), rate)) for i, t in items}
+        self.items = {i: (bounded(t), budget(len(t), rate)) for i, t in items}
         self.tables: dict[int, dict[str, int]] = {}
         where: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for i, (t, k) in self.items.items():
@@ -111,6 +109,7 @@ class Matcher:
         """(item, distance, end) of each item within its budget somewhere in the normalised text: its best place."""
         if self.empty or not text:
             return []
+        size, text = len(text), f" {text} "
         spans: dict[int, list[int]] = defaultdict(list)
         for end, (n, uses) in self.automaton.iter(text):
             for i, at in uses:
@@ -119,11 +118,6 @@ class Matcher:
         for i, begins in spans.items():
             item, k = self.items[i]
             m, best = len(item), (k + 1, -1)
-            if m < SHORT_CHARS:
-                found = [b for b in begins if stands(item, text, b)]
-                if found:
-                    out.append((i, 0, min(found) + m))
-                continue
             table = self.tables.get(i)
             if table is None:
                 table = self.tables[i] = peq(item)
@@ -140,8 +134,8 @@ class Matcher:
                 if not best[0]:
                     break
                 lo = hi = b
-            if best[0] <= k:
-                out.append((i, *best))
+            if best[0] <= k:  # the end without the space behind it, in the text without the one before it
+                out.append((i, best[0], min(max(best[1] - 1 - (item[-1] == " "), 0), size)))
         return sorted(out)
 
 
@@ -150,8 +144,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFr
     end is where the best match ends in the normalised document.
 
     Whole texts are searched.  Null and empty texts match nothing, and neither do items without a letter or digit; items of
-    under SHORT_CHARS normalised characters match only as whole words without an edit; items with a null id are taken for id
-    -1.  Repeated items count once per id and text; repeated documents give repeated rows.  Other columns are ignored."""
+    under 1 / rate normalised characters match without an edit; items with a null id are taken for id -1.  Repeated items count once per id and text; repeated documents give repeated rows.  Other columns are ignored."""
     spark = tame(docs).sparkSession
     listed = benchmark.select(F.coalesce("item_id", F.lit(-1)).cast("long").alias("item_id"), "text").where("text is not null").distinct()
     sizes = listed.agg(F.sum(F.length("text"))).first()[0] or 0

@@ -315,6 +315,26 @@ def _audit(single: DataFrame, copies: DataFrame, links: DataFrame, threshold: fl
     return 1.0 if not r or not r.n else min(r.found / r.n, r.mean)
 
 
+def _prefix_chains(single: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) that connect all documents of a similarity of the threshold: two such sets of n and m shingles have more than
+    n * (1 - threshold) of the first set's in common, so that they share one of their first ones in a common order.  Each
+    shingle links its documents to the smallest; nothing is lost, but groups may be large."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in pieces(whole, "text", 1 << 20):
+                s, rows = shingles(*text_buffer(b.column(1)))
+                at = np.searchsorted(rows, np.arange(b.num_rows + 1))
+                for i in range(b.num_rows):
+                    own = np.unique(s[at[i] : at[i + 1]])
+                    first = own[: len(own) - math.ceil(threshold * len(own) - 1e-9) + 1] if len(own) else own
+                    yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), pa.array(np.full(len(first), b.column(0)[i].as_py()))], ["shingle", "id"])
+
+    rows = single.select("doc_id", "text").mapInArrow(lean(run), "shingle long, id long")
+    least = rows.groupBy("shingle").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return rows.join(least, "shingle").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+
+
 def similar(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """One row per distinct (doc_id, text): doc_id, body, class_id, n_links, component_id and kept.
 
@@ -332,8 +352,8 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
 
     least = int(VALUES * (1 + threshold) / 2 - SLACK * (VALUES * (1 - threshold**2) / 4) ** 0.5)
     pairs = None
-    for level in range(prefix(threshold, recall=recall), 0, -1):
-        more = _chains(_forest(single), level, least)
+    for level in range(prefix(threshold, recall=recall), -1, -1):  # at 0, where no prefix was enough, an exact way
+        more = _chains(_forest(single), level, least) if level else _prefix_chains(single, threshold)
         near = components(more if pairs is None else more.unionByName(pairs))
         pairs = near.select(F.col("id").alias("a"), F.col("component").alias("b"))
         near = cut(near.join(classes.select(F.col("class_id").alias("id"), "copies"), "id"))
@@ -342,10 +362,8 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
         found = stored(grouped(_dealt(sets, threshold), ["component", "step", "same", "i", "j"], lambda k, t: _compare(k, t, threshold), "a long, b long, links long"), "links")
         drop_stored(sets)
         links = cut(found.where("b is null").groupBy(F.col("a").alias("class_id")).agg(F.sum("links").alias("links")))
-        if _audit(single, classes.where("copies > 1").select("class_id", "copies"), links, threshold) >= recall:
+        if not level or _audit(single, classes.where("copies > 1").select("class_id", "copies"), links, threshold) >= recall:
             break
-    else:
-        raise RuntimeError(f"no prefix reaches a recall of {recall}")
     whole = components(found.where("b is not null").select("a", "b")).withColumnsRenamed({"id": "class_id", "component": "reached"})
     out = of_doc.join(links, "class_id", "left").join(whole, "class_id", "left")
     component = F.coalesce("reached", "class_id")

@@ -5,14 +5,17 @@ of a host each subtree stands; equal pages of a host count once.  What recurs on
 is cut out of each page before the main text is read, unless it holds the article or is most of its text.  What is left is read
 from the article, without elements whose tag, role or class marks them as menu, header, footer, sidebar, notice, advert, form or
 reader comment.  A class or id is such a mark if all of its parts are words for these things or for boxes: "share-buttons" is,
-"share-price-analysis" and "with-sidebar" aren't.
+"share-price-analysis" and "with-sidebar" aren't.  Remarks of readers are also known by their form: several elements of one kind, each
+with an author and a time.  Parsing and reading take time in proportion to the page, however it is nested.
 """
 
 from __future__ import annotations
 
 import hashlib
 import html as html_lib
+import itertools
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -51,8 +54,14 @@ BOXES = frozenset(
     "area bar bottom box block btn button buttons card cards column container content form group header heading icon icons id inner item items js left link links list main mobile module outer page panel "
     "post posts article articles right row section site slot text thread title top unit user wrap wrapper zone bar to s".split()
 )
+#: Words that make even a paragraph of the article an advert.
+ADVERTS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion".split())
+#: Words that name a container of remarks, whatever else its name says.
+REMARKS = frozenset("comments commentlist disqus".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 HEADER_MARKS = frozenset(["header", "topbar", "masthead"])
+#: Words in the names of what tells the author and the time of a remark, and among how many elements of it they are looked for.
+AUTHORS, TIMES, NEAR = frozenset("author user username by name avatar commenter".split()), frozenset("date time posted published timestamp ago".split()), 16
 CONTENT = frozenset("article post entry story content articlebody main".split())
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
@@ -60,20 +69,32 @@ _NAMES = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "hash", "parent")
+    __slots__ = ("tag", "attrs", "children", "hash", "parent", "length", "linked")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
         self.tag, self.attrs, self.children, self.hash, self.parent = tag, attrs, [], 0, parent
+        self.length = self.linked = 0
 
 
 def parse(page: str) -> Node:
     """The element tree; unclosed and stray tags are mended much as browsers do."""
     root = Node("#page", {}, None)
-    at, pos, size = root, 0, len(page)
+    at, pos, size, last = root, 0, len(page), page.rfind(">")
+    open_: Counter[str] = Counter()  # elements around `at`, so that no search upwards is in vain
+
+    def leave(up: Node) -> Node:
+        """Closes all from `at` to `up` and returns what holds it."""
+        n = at
+        while n is not up.parent:
+            open_[n.tag] -= 1
+            n = n.parent
+        return n
+
     while pos < size:
-        m = _TAG.search(page, pos)
+        m = _TAG.search(page, pos) if pos <= last else None  # without another > there is no tag
         if m is None:
-            at.children.append(page[pos:])
+            open_comment = page.find("<!--", pos) if pos > last else -1
+            at.children.append(page[pos:open_comment] if open_comment >= 0 else page[pos:])
             break
         if m.start() > pos:
             at.children.append(page[pos : m.start()])
@@ -83,28 +104,28 @@ def parse(page: str) -> Node:
             continue
         name = name.lower()
         if m[1] or m[4]:
-            up = at
-            while up is not None and up.tag != name:
-                up = up.parent
-            if up is not None and up.parent is not None:
-                at = up.parent
+            if open_[name]:
+                up = at
+                while up.tag != name:
+                    up = up.parent
+                at = leave(up)
             continue
         body = (m[3] or m[6] or "").strip()
         attrs = {a[1].lower(): html_lib.unescape(a[2] or a[3] or a[4] or "") for a in _ATTRIBUTE.finditer(body)} if body and body != "/" else {}
-        if name in CLOSES_P:
+        if name in CLOSES_P and open_["p"]:
             up = at
             while up is not None and up.tag != "p" and (up.tag not in BLOCKS or up.tag == "li" and name != "li"):
                 up = up.parent
             if up is not None and up.tag == "p":
-                at = up.parent
-        if name in SIBLINGS:
+                at = leave(up)
+        if name in SIBLINGS and any(open_[x] for x in SIBLINGS[name][0]):
             closes, within = SIBLINGS[name]
             up = at
             while up is not None and up.tag not in closes and up.tag not in within:
                 up = up.parent
             while up is not None and up.tag in closes:
-                at = up.parent
-                up = at
+                at = leave(up)
+                up = at if any(open_[x] for x in closes) else None
                 while up is not None and up.tag not in closes and up.tag not in within:
                     up = up.parent
         node = Node(name, attrs, at)
@@ -113,10 +134,9 @@ def parse(page: str) -> Node:
             end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, pos)
             node.children.append(page[pos : end.start() if end else size])
             pos = end.end() if end else size
-        elif name not in VOID and not body.endswith("/"):
+        elif name not in VOID and not (body.endswith("/") and name in ("svg", "path", "use")):  # HTML ignores the slash of <div/>
+            open_[name] += 1
             at = node
-        elif name not in VOID and body.endswith("/") and name not in ("svg", "path", "use"):
-            at = node  # HTML ignores the slash of <div/>
     return root
 
 
@@ -157,7 +177,7 @@ def _marks(n: Node) -> set[str]:
     out: set[str] = set()
     for name in f"{n.attrs.get('class', '')} {n.attrs.get('id', '')}".split():
         parts = {x.lower() for x in _NAMES.findall(name)}
-        if parts & MARKS and parts <= MARKS | BOXES:
+        if parts & MARKS and (parts <= MARKS | BOXES or n.tag in CONTAINERS and parts & REMARKS):
             out |= parts
     return out
 
@@ -171,11 +191,39 @@ def _unwanted(n: Node, inside: bool = False) -> bool:
         return True
     if n.attrs.get("role", "").lower() in ROLES:
         return True
-    if not n.attrs or n.tag in ("html", "body", "main", "article") or inside and n.tag in PROSE - {"li"}:
+    if not n.attrs or n.tag in ("html", "body", "main"):
         return False
     if "style" in n.attrs and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", n.attrs["style"], re.I):
         return True
-    return bool(_marks(n))
+    marks = _marks(n)
+    return bool(marks & (ADVERTS | REMARKS) if inside and n.tag in PROSE - {"li"} else marks)
+
+
+def _remarks(root: Node) -> set[int]:
+    """The elements that are remarks of readers, several siblings of one tag and class, each with an author and a time, and the
+    containers of nothing but these and headings."""
+    out: set[int] = set()
+    for n in reversed(list(walk(root))):
+        inner = [c for c in n.children if isinstance(c, Node)]
+        groups: dict[tuple[str, str], list[Node]] = {}
+        for c in inner:
+            if c.tag in ("li", "div", "article", "section"):
+                groups.setdefault((c.tag, c.attrs.get("class", "")), []).append(c)
+        out |= {id(c) for same in groups.values() if len(same) > 1 and all(_signed(c) for c in same) for c in same}
+        some = any(id(c) in out for c in inner)
+        if some and n.tag in CONTAINERS and all(id(c) in out or c.tag in HEADINGS for c in inner) and not any(isinstance(c, str) and c.strip() for c in n.children):
+            out.add(id(n))
+    return out
+
+
+def _signed(n: Node) -> bool:
+    """Whether near the top of the element, among its first NEAR, there are an author and a time."""
+    who = when = False
+    for x in itertools.islice(walk(n), NEAR):
+        names = _words(x) if x.attrs else set()
+        who = who or x.tag == "cite" or bool(names & AUTHORS) or x.attrs.get("rel") == "author"
+        when = when or x.tag == "time" or bool(names & TIMES) or "datetime" in x.attrs
+    return who and when
 
 
 def _is_header(n: Node) -> bool:
@@ -186,21 +234,24 @@ def _prune(root: Node, template: frozenset[int], often: frozenset[int]) -> None:
     """Takes out template and unwanted elements.  What holds the article, the longest <article> or else <main>, stays and is looked
     into; within it, what is often there goes unless that is most of the article's text."""
     holds: set[int] = set()
-    for tag in ("article", "main"):
-        if found := [n for n in walk(root) if n.tag == tag]:
-            n = main = max(found, key=_length)
-            if often and sum(_length(x) for x in _outermost(main, often)) >= MOST * _length(main):
-                often = frozenset()
-            while n is not None:
-                holds.add(id(n))
-                n = n.parent
-            break
+    _measure(root)
+    found = _articles(root) or [max(x, key=lambda n: n.length) for x in [[n for n in walk(root) if n.tag == "main"]] if x]
+    for main in found:
+        if often and sum(x.length for x in _outermost(main, often)) >= MOST * main.length:
+            often = frozenset()
+        n = main
+        while n is not None and id(n) not in holds:
+            holds.add(id(n))
+            n = n.parent
+    said = _remarks(root)
     stack = [(root, False)]
     while stack:
         n, inside = stack.pop()
         inside = inside or n.tag in ("article", "main")
         kept = []
         for c in n.children:
+            if inside and isinstance(c, Node) and id(c) not in holds and (id(c) in said or c.tag == "article" and 2 * c.length < n.length):
+                continue
             if isinstance(c, Node) and id(c) not in holds:
                 if c.tag not in ("html", "body") and c.hash and c.hash in (often if inside else template):
                     continue
@@ -230,28 +281,53 @@ def _outermost(node: Node, hashes: frozenset[int]) -> list[Node]:
     return out
 
 
-def _length(n: Node) -> int:
-    return sum(len(c) for x in walk(n) for c in x.children if isinstance(c, str))
+def _measure(root: Node) -> None:
+    """Sets every element's length of text, and how much of it stands in links."""
+    for n in reversed(list(walk(root))):
+        inner = [c for c in n.children if isinstance(c, Node)]
+        n.length = sum(c.length for c in inner) + sum(len(c) for c in n.children if isinstance(c, str))
+        n.linked = n.length if n.tag == "a" else sum(c.linked for c in inner)
+
 
+def _articles(root: Node) -> list[Node]:
+    """The elements that hold the article: the longest <article> and those of at least half its length, in page order.
 
-def _link_share(n: Node) -> float:
-    total = _length(n)
-    return sum(_length(x) for x in walk(n) if x.tag == "a") / total if total else 0.0
+    An article within another, or with a comment's or advert's name, is none if there is any other."""
+    found, stack = [], [(root, False)]
+    every = []
+    while stack:
+        n, inner = stack.pop()
+        if n.tag == "article":
+            every.append(n)
+            if not inner and not _marks(n):
+                found.append(n)
+            inner = True
+        stack.extend((c, inner) for c in reversed(n.children) if isinstance(c, Node))
+    found = [n for n in found if n.length] or every[:1]
+    most = max((n.length for n in found), default=0)
+    return [n for n in found if 2 * n.length >= most]
 
 
 def _content(root: Node) -> Node:
-    """The element that holds the article: <article>, else <main>, else what its class calls so, else all; the longest of each."""
+    """The element that holds the article: <article>, or several of about one length, else <main>, else what its class calls so,
+    else all; the longest of each."""
+    _measure(root)
     nodes = list(walk(root))
+    if found := [n for n in _articles(root) if n.length]:
+        if len(found) == 1:
+            return found[0]
+        root = Node("#page", {}, None)
+        root.children = found
+        return root
     for found in (
-        [n for n in nodes if n.tag == "article"],
         [n for n in nodes if n.tag == "main" or n.attrs.get("role", "").lower() == "main"],
         [n for n in nodes if n.attrs and (n.attrs.get("itemprop", "").lower() == "articlebody" or n.tag in ("div", "section") and CONTENT & _words(n))],
     ):
-        found = [n for n in found if _length(n)]
+        found = [n for n in found if n.length]
         if found:
-            return max(found, key=_length)
+            return max(found, key=lambda n: n.length)
     for n in nodes:  # no mark of an article: lists of links go
-        n.children = [c for c in n.children if not (isinstance(c, Node) and c.tag in ("ul", "ol", "div", "p", "table") and _link_share(c) > 0.7)]
+        n.children = [c for c in n.children if not (isinstance(c, Node) and c.tag in ("ul", "ol", "div", "p", "table") and c.linked > 0.7 * c.length)]
     return root
 
 
