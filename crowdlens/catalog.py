@@ -317,12 +317,12 @@ tops AS (SELECT e, g, x AS top, (lo + hi) // 2 AS i FROM (SELECT *, lag(x) OVER
 ends AS (SELECT t.e, t.g, t.top, t.i, coalesce(max(x.i) FILTER (x.i < t.i), 0) AS l, min(x.i) FILTER (x.i > t.i) AS r FROM tops t LEFT JOIN x ON x.e = t.e AND x.g = t.g AND x.x > t.top GROUP BY ALL),
 out AS (SELECT n.e, n.g, n.top, n.i, min(x.x) FILTER (x.i <= n.i) AS low_left, min(x.x) FILTER (x.i >= n.i) AS low_right FROM ends n JOIN f USING (e) JOIN x ON x.e = n.e AND x.g = n.g AND x.i BETWEEN n.l AND coalesce(n.r, end_i) GROUP BY ALL),
 p AS (SELECT e, g, i FROM out JOIN f USING (e) WHERE top - greatest(low_left, low_right) >= least)
-SELECT v.e, v.date, CAST(n AS DOUBLE) AS n, round(s, 6) AS smoothed, round(v, 6) AS velocity, coalesce(v > mean + 2 * sd AND v > 0, false) AS is_rise, coalesce(v < mean - 2 * sd AND v < 0, false) AS is_fall,
+SELECT v.e, v.date, CAST(n AS DOUBLE) AS n, floor(s * 1e6 + 0.5001) / 1e6 AS smoothed, floor(v * 1e6 + 0.5001) / 1e6 AS velocity, coalesce(v > mean + 2 * sd AND v > 0, false) AS is_rise, coalesce(v < mean - 2 * sd AND v < 0, false) AS is_fall,
 coalesce(up.i IS NOT NULL, false) AS is_peak, coalesce(down.i IS NOT NULL, false) AS is_trough FROM v JOIN f USING (e) LEFT JOIN p up ON up.e = v.e AND up.i = v.i AND up.g = 1 LEFT JOIN p down ON down.e = v.e AND down.i = v.i AND down.g = -1""")
 def inflections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D6, W16, W18, W19."""
+    """D6, W10, W16, W18, W19.  Figures are cut to six digits just off the half: what is a half to nine digits goes up in both engines."""
     x = ts.inflection(posts(spark, sf_dir).groupBy("e", "date").agg(F.count("*").alias("n")))
-    return x.select("e", "date", "n", six("smoothed", "smoothed"), six("velocity", "velocity"), "is_rise", "is_fall", "is_peak", "is_trough")
+    return x.select("e", "date", "n", *[(F.floor(F.col(c) * 1e6 + 0.5001) / 1e6).alias(c) for c in ("smoothed", "velocity")], "is_rise", "is_fall", "is_peak", "is_trough")
 
 
 @query(f"""WITH RECURSIVE {_DAILY}, m AS (SELECT e, date, sent_change AS x, stddev_samp(sent_change) OVER (PARTITION BY e) AS sd FROM feats),

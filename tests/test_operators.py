@@ -74,12 +74,56 @@ def test_trailing_z_warms_up(spark):
 
 def test_inflection_and_ewma(spark):
     x = [20] * 20 + [2, 40, 80]
-    assert np.allclose(ts.ewma(np.array(x, float), 3), pd.Series(x).ewm(span=3).mean())
+    nums, dens = ts.ewma(np.array(x, float), 3)
+    assert np.allclose(nums / dens, pd.Series(x).ewm(span=3).mean())
     rows = spark.createDataFrame([("a", D(2024, 1, 1) + dt.timedelta(i), v) for i, v in enumerate(x)], "e string, date date, n bigint")
     flags = [r.is_rise for r in ts.inflection(rows).orderBy("date").collect()]
     assert not any(flags[:20]) and any(flags[21:])
 
 
+def slow_peaks(x, prominence):
+    found, i, n = [], 1, len(x)
+    while i < n - 1:
+        if x[i - 1] < x[i]:
+            j = i
+            while j < n - 1 and x[j + 1] == x[i]:
+                j += 1
+            if j < n - 1 and x[j + 1] < x[i]:
+                left = [k for k in range(i) if x[k] > x[i]]
+                right = [k for k in range(j + 1, n) if x[k] > x[i]]
+                base = max(min(x[(left[-1] if left else 0) : i + 1]), min(x[j : (right[0] if right else n - 1) + 1]))
+                if x[i] - base >= prominence:
+                    found.append((i + j) // 2)
+            i = j
+        i += 1
+    return found
+
+
+def test_peaks_equal_a_slow_search():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 3, 10, 80):
+        for _ in range(60):
+            x = rng.integers(0, 5, n).astype(float)
+            for least in (1, 2, 3):
+                assert ts.peaks(x, least).tolist() == slow_peaks(x.tolist(), least)
+    turns = [0, 3, 1, 4, 0]
+    assert ts.peaks(np.array(turns, float), 2, np.array([0, 3, 5, 8, 12])).tolist() == [3, 8]
+
+
+def test_chunks_of_a_series_change_nothing(spark):
+    rng = np.random.default_rng(3)
+    day = lambda i: D(2000, 1, 1) + dt.timedelta(i)
+    rows = [("a", day(i), int(v)) for i, v in enumerate(rng.poisson(4, 400) * (rng.random(400) < 0.5))] + [("b", day(i), 5) for i in range(90)] + [("c", day(7), 1)]
+    counts = spark.createDataFrame(rows, "e string, date date, n long")
+    whole = sorted(map(tuple, ts.inflection(counts, span=9).collect()))
+    for chunk in (1, 7, 64):
+        assert sorted(map(tuple, ts.inflection(counts, span=9, chunk=chunk).collect())) == whole
+    a = [r for r in whole if r[0] == "a"]
+    assert np.allclose([r[3] for r in a], pd.Series([r[2] for r in a]).ewm(span=9).mean(), atol=1e-8)
+    s = [r[3] for r in a]
+    assert [i for i, r in enumerate(a) if r[7]] == slow_peaks(s, 3 * np.std(s, ddof=1)) and [i for i, r in enumerate(a) if r[8]] == slow_peaks([-x for x in s], 3 * np.std(s, ddof=1))
+
+
 def test_clusters(spark):
     rows = spark.createDataFrame([("a", D(2024, 1, 1) + dt.timedelta(d)) for d in (0, 10, 21)], "e string, date date")
     r = ts.clusters(rows, ["e"]).collect()
