@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .archives import footers
+
 #: Extensions of raw posts that readers know.
 EXTENSIONS = (".zst", ".jsonl", ".ndjson", ".json", ".csv", ".parquet")
 
@@ -48,13 +50,7 @@ def recent(posts: DataFrame, cutoff: str, columns: tuple[str, ...] = ("id", "dat
 
 def footer_rows(spark: SparkSession, path: str) -> int:
     """The number of rows, from Parquet footers alone."""
-    spark.conf.set("spark.sql.parquet.aggregatePushdown", "true")
-    sources = spark.conf.get("spark.sql.sources.useV1SourceList")
-    try:
-        spark.conf.set("spark.sql.sources.useV1SourceList", ",".join(s for s in sources.split(",") if s != "parquet"))
-        return spark.read.parquet(path).count()
-    finally:
-        spark.conf.set("spark.sql.sources.useV1SourceList", sources)
+    return footers(spark, path).agg(F.sum("rows").alias("n")).first().n or 0
 
 
 def enabled_sources(settings: Mapping[str, str], needs: Mapping[str, tuple[str, ...]]) -> dict[str, bool]:

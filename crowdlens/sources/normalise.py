@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -14,35 +13,10 @@ NAMES = "id date author score subreddit title selftext num_comments source".spli
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines, plain or compressed; malformed lines are skipped."""
+    """JSON lines, plain or compressed; malformed lines are skipped.  For zstd archives see archives.read_zstd_json."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
-def read_long_window_zstd(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """S2 for frames with windows of up to 2 GB, which Spark's codec refuses.  One task reads a file, in bounded chunks."""
-    rows = spark.read.format("binaryFile").load(path).select("content")
-
-    def lines(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import io
-
-        import zstandard
-
-        for part in parts:
-            for raw in part["content"]:
-                text = io.TextIOWrapper(zstandard.ZstdDecompressor(max_window_size=2**31).stream_reader(io.BytesIO(raw), read_across_frames=True), "utf-8", "replace")
-                held: list[str] = []
-                for line in text:
-                    held.append(line)
-                    if len(held) == 10_000:
-                        yield pd.DataFrame({"value": held})
-                        held = []
-                if held:
-                    yield pd.DataFrame({"value": held})
-
-    parsed = rows.mapInPandas(lines, "value string").select(F.from_json("value", schema).alias("r"))
-    return parsed.where("r is not null").select("r.*")
-
-
 def read_symbol_directory(spark: SparkSession, path: str, test_column: int) -> DataFrame:
     """A pipe-delimited symbol list without header, footer, test issues and odd symbols."""
     cells = F.split("value", r"\|")
