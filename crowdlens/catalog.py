@@ -631,4 +631,4 @@ def theme_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("date", "theme", "n_posts", six("avg_sentiment", "avg_sentiment"), six("net_bullish", "net_bullish"))
 
 
-from . import catalog_more  # noqa: E402, F401  registers its queries
+from . import catalog_more, catalog_state  # noqa: E402, F401  register their queries

@@ -36,23 +36,32 @@ class Flips(StatefulProcessor):
         self.side = handle.getValueState("side", "side int")
         self.last = handle.getMapState("last", "side int", "day bigint")
         self.heard = handle.getValueState("heard", "day bigint")
+        self.armed = handle.getValueState("armed", "day bigint")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        newest = self.heard.get()[0] if self.heard.exists() else None
+        days: dict[int, int] = {}
         for part in rows:
-            for day, side in zip((part["ts"].astype("datetime64[ms]").astype("int64") // _DAY).tolist(), part["side"].tolist()):
-                if not self.waiting.containsKey((day,)):
-                    self.handle.registerTimer(day * _DAY)
-                self.waiting.updateValue((day,), (int(side),))
-                newest = day if newest is None else max(newest, day)
-        if newest is not None:
-            self.heard.update((newest,))
-            self.handle.registerTimer((newest + self.forget) * _DAY)
+            days.update(zip((part["ts"].astype("datetime64[ms]").astype("int64") // _DAY).tolist(), part["side"].tolist()))
+        for day, side in days.items():
+            self.waiting.updateValue((day,), (int(side),))
+        if days:
+            self.arm(min(days))
+            newest = max(days)
+            if not self.heard.exists() or self.heard.get()[0] < newest:
+                self.heard.update((newest,))
+                self.handle.registerTimer((newest + self.forget) * _DAY)
         return iter(())
 
+    def arm(self, day: int) -> None:
+        """One timer stands for all days that wait: that of the first."""
+        if not self.armed.exists() or day < self.armed.get()[0]:
+            self.armed.update((day,))
+            self.handle.registerTimer(day * _DAY)
+
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        today = expiredTimerInfo.getExpiryTimeInMs() // _DAY
-        due = sorted(day for (day,) in self.waiting.keys() if day <= today)
+        today = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) // _DAY
+        days = sorted(day for (day,) in self.waiting.keys())
+        due = [day for day in days if day <= today]
         out = []
         for day in due:
             side = self.waiting.getValue((day,))[0]
@@ -62,7 +71,10 @@ class Flips(StatefulProcessor):
             if turned and (not self.last.containsKey((side,)) or day - self.last.getValue((side,))[0] >= self.gap):
                 self.last.updateValue((side,), (day,))
                 out.append((key[0], dt.date(1970, 1, 1) + dt.timedelta(days=day), side))
-        if not due and self.heard.exists() and today >= self.heard.get()[0] + self.forget:
+        self.armed.clear()
+        if len(days) > len(due):
+            self.arm(days[len(due)])
+        if not days and self.heard.exists() and today >= self.heard.get()[0] + self.forget:
             for state in (self.side, self.last, self.heard):
                 state.clear()
         if out:
