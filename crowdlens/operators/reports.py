@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .prices import as_of, gain, signed
+from .prices import PERIOD, as_of, gain, looked_up, met, signed
 from .series import by, lead_lag, rolling_sum, spaced, spine, week_end, whole_z
 from .signals import candidates
 
@@ -140,8 +140,9 @@ def tune(x: DataFrame, prices: DataFrame, eras: DataFrame, ks: list[float], scor
     setting = ["k", "min_score", "cooldown"]
     kept = found.groupBy(*setting, entity, "symbol", "action").agg(F.sort_array(F.collect_list("date")).alias("dates"))
     taken = kept.select(*setting, "symbol", "action", F.explode(spaced(F.col("dates"), F.col("cooldown"))).alias("signal_date")).withColumn("date", F.date_add("signal_date", 1))
-    t = as_of(taken.withColumn("at", F.col("date")), prices).withColumnRenamed("px", "p0")
-    t = as_of(t.withColumn("at", F.date_add("date", horizon)), prices).withColumn("ret", signed(F.col("action"), gain(F.col("p0"), F.col("px")))).where("ret is not null")
+    both = met(taken, prices, "symbol", "date", PERIOD, horizon)
+    move = gain(looked_up(F.col("date")), looked_up(F.date_add("date", horizon)))
+    t = both.select(*taken.columns, signed(F.col("action"), move).alias("ret")).where("ret is not null")
     by_era = t.join(F.broadcast(eras), (F.col("date") >= F.col("lo")) & (F.col("date") < F.col("hi"))).groupBy(*setting, "era").agg(F.count("*").alias("n"), F.avg("ret").alias("mean")).where(F.col("n") >= least)
     out = by_era.groupBy(*setting).agg(F.count("*").alias("eras_scored"), F.sum("n").alias("signals"), F.min("mean").alias("worst_era_avg"), F.avg("mean").alias("mean_avg"))
     return out.withColumn("rank", F.row_number().over(W.orderBy(F.round("worst_era_avg", 9).desc(), F.round("mean_avg", 9).desc(), *setting)))

@@ -67,10 +67,11 @@ def week_end(d: Column) -> Column:
     return F.next_day(F.date_sub(d, 1), "SU")
 
 
-def spaced(dates: Column, gap: int) -> Column:
-    """Of ascending dates, those at least `gap` days after the last accepted one."""
-    start = F.array().cast("array<date>")
-    return F.aggregate(dates, start, lambda kept, d: F.when((F.size(kept) == 0) | (F.date_diff(d, F.element_at(kept, -1)) >= gap), F.concat(kept, F.array(d))).otherwise(kept))
+def spaced(rows: Column, gap: Column | int, day: str | None = None) -> Column:
+    """Of ascending dates, or of structs in the order of their field `day`, those at least `gap` days after the last
+    accepted one."""
+    on = lambda r: r[day] if day else r
+    return F.aggregate(rows, F.slice(rows, 1, 0), lambda kept, r: F.when((F.size(kept) == 0) | (F.date_diff(on(r), on(F.element_at(kept, -1))) >= gap), F.concat(kept, F.array(r))).otherwise(kept))
 
 
 def clusters(events: DataFrame, keys: list[str], gap: int = 10, least: int = 2) -> DataFrame:
@@ -88,10 +89,14 @@ def quantile_bin(x: Column, edges: Column) -> Column:
 
 
 def lead_lag(pairs: DataFrame, most: int, entity: str = "e") -> DataFrame:
-    """(entity, k, corr): correlation of x with y k days later, for every k from -most to most; rows have date, x, y."""
-    right = pairs.select(entity, F.col("date").alias("_d"), F.col("y").alias("_y"))
-    shifted = pairs.select(entity, "date", "x", F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("k")).withColumn("_d", F.date_add("date", F.col("k")))
-    return shifted.join(right, [entity, "_d"]).groupBy(entity, "k").agg(F.corr("x", "_y").alias("corr"))
+    """(entity, k, corr): correlation of x with y k days later, for every k from -most to most; rows have date, x, y.
+
+    Each row meets the days around it in a window over its entity, so rows are shuffled once, not once for each lag; what is shuffled
+    after that are sums by entity and lag."""
+    near = W.partitionBy(entity).orderBy(F.unix_date(F.col("date").cast("date"))).rangeBetween(-most, most)
+    around = pairs.where("date is not null").select(entity, "date", "x", F.collect_list(F.struct("date", "y")).over(near).alias("_near"))
+    met = around.select(entity, "date", "x", F.explode("_near").alias("_n")).select(entity, F.date_diff("_n.date", "date").alias("k"), "x", "_n.y")
+    return met.groupBy(entity, "k").agg(F.corr("x", "y").alias("corr"))
 
 
 def ewma(values: np.ndarray, span: float, num: float = 0.0, den: float = 0.0) -> tuple[np.ndarray, np.ndarray]:

@@ -43,10 +43,12 @@ def candidates(x: DataFrame, entity: str = "e", k: float = K, least_buy: int = M
 
 
 def decide(found: DataFrame, entity: str = "e", cooldown: int = COOLDOWN) -> DataFrame:
-    """D1.8-D1.9: of each entity's and side's candidates those a cooldown after the last accepted; acted on the next day."""
-    kept = found.groupBy(entity, "action").agg(spaced(F.sort_array(F.collect_list("date")), cooldown).alias("dates")).select(entity, "action", F.explode("dates").alias("date"))
+    """D1.8-D1.9: of each entity's and side's candidates, one a day, those a cooldown after the last accepted; acted on the next day.
+    Candidates carry their figures through the fold, at most one a day of the calendar."""
+    figures = F.sort_array(F.collect_list(F.struct("date", "score", "att_z", "conv_z", "sent_change")))
+    kept = found.groupBy(entity, "action").agg(spaced(figures, cooldown, "date").alias("_kept")).select(entity, "action", F.explode("_kept").alias("_s")).select(entity, "action", "_s.*")
     reason = F.concat_ws(" + ", F.format_string("attention %+.2f", "att_z"), F.format_string("conviction %+.2f", "conv_z"), F.format_string("sentiment %+.3f", "sent_change"))
-    return found.join(kept, [entity, "action", "date"]).select(F.col("date").alias("signal_date"), F.date_add("date", 1).alias("action_date"), "action", entity, "score", "att_z", "conv_z", F.col("sent_change").alias("sent_5d_chg"), reason.alias("reason"))
+    return kept.select(F.col("date").alias("signal_date"), F.date_add("date", 1).alias("action_date"), "action", entity, "score", "att_z", "conv_z", F.col("sent_change").alias("sent_5d_chg"), reason.alias("reason"))
 
 
 def certainty(signals: DataFrame, today: str | None = None, horizon: int = 90) -> DataFrame:

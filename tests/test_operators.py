@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 import re
 
 import numpy as np
@@ -141,6 +142,44 @@ def test_as_of_and_requests(spark):
     assert px.plan_requests(near, have).count() == 0
 
 
+def test_as_of_equals_a_plain_search(spark):
+    rnd = random.Random(5)
+    day = lambda: D(2000, 1, 1) + dt.timedelta(rnd.randrange(900))
+    prices = [(rnd.choice("aab"), day(), rnd.choice([None, 1.0 * rnd.randrange(50)])) for _ in range(300)] + [("late", D(2009, 5, 5), 7.0), ("late", D(2009, 5, 5), 9.0), (None, D(2000, 1, 1), 3.0), ("a", None, 4.0)]
+    asks = [(i, rnd.choice(["a", "b", "late", "none", None]), rnd.choice([None, *[day() - dt.timedelta(30)] * 5, D(2031, 1, 1)])) for i in range(400)]
+    asks += asks[:50]
+
+    def plain(symbol, at):
+        known = [(d, p) for s, d, p in prices if symbol is not None and at is not None and s == symbol and d is not None and p is not None and d <= at]
+        return max(known)[1] if known else None
+
+    p = spark.createDataFrame(prices, "symbol string, date date, px_last double")
+    a = spark.createDataFrame(asks, "i int, symbol string, at date")
+    want = sorted(((i, plain(s, at)) for i, s, at in asks), key=repr)
+    for period in (1, 7, 32, 5000):
+        got = px.as_of(a, p, period=period)
+        assert got.columns == ["i", "symbol", "at", "px"]
+        assert sorted(((r.i, r.px) for r in got.collect()), key=repr) == want
+    assert {r.px for r in px.as_of(a, p.limit(0)).collect()} == {None}
+    assert px.as_of(a.limit(0), p).count() == 0
+    stamped = spark.createDataFrame([("late", dt.datetime(2009, 5, 5, 0, 30)), ("late", dt.datetime(2009, 5, 4, 23, 0))], "symbol string, at timestamp")
+    assert sorted(((r.at.day, r.px) for r in px.as_of(stamped, p).collect())) == [(4, None), (5, 9.0)]
+
+
+def test_one_symbol_with_all_rows_is_dealt_by_period(spark):
+    days = spark.range(20000).select(F.lit("s").alias("symbol"), F.date_add(F.lit("1950-01-01").cast("date"), F.col("id").cast("int")).alias("date"), (F.col("id") * 1.0).alias("px_last"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = px.as_of(days.select("symbol", F.col("date").alias("at"), "px_last"), days)
+        assert got.where("px = px_last").count() == 20000
+        shares = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(shares) == 4 and max(shares) < 8000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_certainty(spark):
     rows = spark.createDataFrame([(D(2024, 1, 1), 4, -5.0)], "signal_date date, score int, conv_z double")
     assert sig.certainty(rows, "2024-02-15").first().certainty == 7.5
