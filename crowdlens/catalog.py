@@ -14,6 +14,7 @@ from pyspark.sql.window import Window as W
 from .functions import sentiment, text
 from .operators import aggregates as agg
 from .operators import evidence as ev
+from .operators import frames as fr
 from .operators import prices as px
 from .operators import reports as rep
 from .operators import series as ts
@@ -265,9 +266,8 @@ SELECT CAST(y AS INT) AS year, e, n, CAST(r AS INT) AS rank, round(n / CAST(sum(
 def top_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W22, A31."""
     c = posts(spark, sf_dir).groupBy(F.year("date").alias("year"), "e").agg(F.count("*").alias("n"))
-    w = W.partitionBy("year")
-    out = c.withColumn("rank", F.row_number().over(w.orderBy(F.desc("n"), "e"))).withColumn("share", F.round(F.col("n") / F.sum("n").over(w), 6))
-    return out.where("rank <= 3").select("year", "e", "n", "rank", "share")
+    out = fr.top_per_group(c, "year", "e", "n", 3)
+    return out.select("year", "e", F.col("total").alias("n"), "rank", six("share", "share"))
 
 
 @query("""WITH c AS (SELECT o_orderstatus AS source, year(o_orderdate) AS y, month(o_orderdate) AS m, count(*) AS n FROM orders GROUP BY ALL)
@@ -452,7 +452,7 @@ SELECT e, CAST(sum(n) AS BIGINT) AS total, count(DISTINCT date) AS active_days,
 def all_time_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A12, A13, T2."""
     c = posts(spark, sf_dir).groupBy("e", "date").agg(F.count("*").alias("n"))
-    return c.groupBy("e").agg(F.sum("n").alias("total"), F.count_distinct("date").alias("active_days"), F.max("n").alias("peak")).orderBy(F.desc("total"), "e").limit(20)
+    return fr.all_time(c, "e", ["n"]).select("e", F.col("n").alias("total"), "active_days", F.col("max_n").alias("peak")).orderBy(F.desc("total"), "e").limit(20)
 
 
 @query(f"""WITH RECURSIVE {_DAILY}, {_CLOSES}, q AS (SELECT *, lag(att_z) OVER w AS a0, lag(conv_z) OVER w AS c0, lag(crowded) OVER w AS cr0 FROM flags WINDOW w AS (PARTITION BY e ORDER BY date)),
@@ -632,3 +632,4 @@ def theme_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 from . import catalog_more, catalog_state  # noqa: E402, F401  register their queries
+from . import catalog_plans  # noqa: E402, F401  register their queries

@@ -127,6 +127,20 @@ def top(rows: DataFrame, key: str, value: str, n: int) -> DataFrame:
     return rows.groupBy(key).agg(F.sum(value).alias("total")).orderBy(F.desc("total"), key).limit(n)
 
 
+def top_per_group(rows: DataFrame, group: str, key: str, value: str, n: int) -> DataFrame:
+    """Of each group its n keys of the largest sum with rank and share of the group's total; equal ones by key."""
+    w = W.partitionBy(group)
+    sums = rows.groupBy(group, key).agg(F.sum(value).alias("total"))
+    ranked = sums.withColumn("rank", F.row_number().over(w.orderBy(F.desc("total"), key))).withColumn("share", F.col("total") / F.nullif(F.sum("total").over(w), F.lit(0)))
+    return ranked.where(F.col("rank") <= n)
+
+
+def all_time(rows: DataFrame, key: str, sums: list[str], day: str = "date") -> DataFrame:
+    """Of each key the sum of every measure, its largest value (max_...), and the number of distinct days."""
+    figures = [f(c).alias(name) for c in sums for f, name in ((F.sum, c), (F.max, f"max_{c}"))]
+    return rows.groupBy(key).agg(*figures, F.count_distinct(day).alias("active_days"))
+
+
 def either_top(rows: DataFrame, key: str, value: str, n: int, days: int = 60) -> DataFrame:
     """Keys in the top n of the whole table or of its last days."""
     return top(rows, key, value, n).select(key).union(top(zoom(rows, days), key, value, n).select(key)).distinct()

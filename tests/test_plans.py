@@ -6,9 +6,12 @@ import pages_stub
 import pytest
 from pyspark.sql import functions as F
 
+from crowdlens.functions import lists
+from crowdlens.operators import frames
 from crowdlens.operators import series as ts
-from crowdlens.plans import tables
+from crowdlens.plans import requests, tables
 from crowdlens.sources import normalise, paged, store
+from crowdlens.sources import universe as symbols
 
 KEYWORDS = {"memory": ["hbm", "memory pricing"], "gold_metals": ["gold"]}
 D = dt.date
@@ -122,3 +125,50 @@ def test_paged_source_reads_a_partition_per_query(spark):
 def test_spine_is_shared_by_all_entities(spark):
     rows = spark.createDataFrame([("a", D(2024, 1, 1), 1), ("b", D(2024, 1, 4), 1)], "e string, date date, n long")
     assert ts.spine(rows).count() == 8
+
+
+def test_price_plan_asks_for_what_is_missing_in_chunks(spark):
+    days = [(D(2024, 1, 1) + dt.timedelta(i), t, n) for i in range(100) for t, n in (("old", 5 if i < 20 else 0), ("new", 0 if i < 70 else 3), ("low", 1), (" mid ", 2))]
+    counted = spark.createDataFrame(days, "date date, ticker string, mention_count long")
+    anchors = spark.createDataFrame([("SMH",), (None,), (" ",), ("new",)], "etf string")
+    got = lambda **k: {r.symbol for r in requests.symbols_wanted(counted, **k).collect()}
+    assert got(start=D(2024, 1, 1), n=1, named=[anchors]) == {"MID", "SMH", "NEW"}
+    assert got(start=D(2024, 1, 1), end=D(2024, 2, 1), n=1, recent=5) == {"OLD", "MID"}
+    assert got(start=D(2030, 1, 1), n=3) == set()
+    wanted = spark.createDataFrame([(f"s{i:03}",) for i in range(7)] + [("have",), ("part",)], "symbol string")
+    prices = spark.createDataFrame([("have", D(2024, 1, 3), 1.0), ("have", D(2024, 4, 8), 1.0), ("part", D(2024, 2, 1), 1.0), ("part", D(2024, 4, 9), 1.0)], "symbol string, date date, px_last double")
+    chunks = {(r.start, r.end, r.chunk): r.symbols for r in requests.request_chunks(wanted, prices, D(2024, 1, 1), D(2024, 4, 9), 3).collect()}
+    whole = (D(2024, 1, 1), D(2024, 4, 9))
+    assert chunks == {(*whole, 0): ["s000", "s001", "s002"], (*whole, 1): ["s003", "s004", "s005"], (*whole, 2): ["s006"], (D(2024, 1, 1), D(2024, 1, 31), 0): ["part"]}
+
+
+def test_universe_is_fetched_again_only_when_old_or_forced(spark, tmp_path):
+    at, calls = str(tmp_path / "kept"), []
+
+    def fetch():
+        calls.append(1)
+        return spark.createDataFrame([(f"T{len(calls)}",)], "ticker string")
+
+    day = 86_400.0
+    seen = lambda now, **k: {r.ticker for r in symbols.cached(spark, at, fetch, now=now, **k).collect()} - set(lists.DELISTED_TICKERS)
+    assert seen(0.0) == {"T1"} and seen(7 * day) == {"T1"} and len(calls) == 1
+    assert seen(7 * day + 1) == {"T2"} and seen(7 * day + 2, force=True) == {"T3"}
+    assert len(symbols.kept(spark, at)) == 2
+    (tmp_path / "kept" / "universe-9999999999999").mkdir()  # an interrupted copy
+    assert seen(7 * day + 3) == {"T3"}
+
+    def fails():
+        raise OSError("no answer")
+
+    with pytest.raises(OSError):
+        symbols.cached(spark, at, fails, now=100 * day)
+    assert len(symbols.kept(spark, at)) == 2
+    assert set(lists.DELISTED_TICKERS) <= {r.ticker for r in symbols.cached(spark, at, fails, now=8 * day).collect()}
+
+
+def test_top_per_group_and_all_time(spark):
+    rows = spark.createDataFrame([("g", "a", D(2024, 1, 1), 2), ("g", "a", D(2024, 1, 1), 1), ("g", "b", D(2024, 1, 2), 3), ("g", "c", D(2024, 1, 3), 1), ("h", "a", D(2024, 1, 4), 0), (None, "a", None, None)], "g string, k string, date date, n long")
+    got = {(r.g, r.k): (r.total, r["rank"], r.share) for r in frames.top_per_group(rows, "g", "k", "n", 2).collect()}
+    assert got == {("g", "a"): (3, 1, 3 / 7), ("g", "b"): (3, 2, 3 / 7), ("h", "a"): (0, 1, None), (None, "a"): (None, 1, None)}
+    a = {r.k: r for r in frames.all_time(rows, "k", ["n"]).collect()}
+    assert (a["a"].n, a["a"].max_n, a["a"].active_days) == (3, 2, 2)
