@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from .sentiment import CHARS, LEXICON
 
-# Words that strengthen or weaken what follows, words that turn it round, and by how much.
+# Fixed values of the published VADER rules (Hutto and Gilbert, 2014): words that strengthen or weaken what follows, words that turn it
+# round, and by how much.
 STRONGER = frozenset(
     """absolutely amazingly awfully completely considerable considerably decidedly deeply enormous enormously entirely especially exceptional
     exceptionally extreme extremely fabulously flipping fricking frigging fully fucking greatly hella highly hugely incredible incredibly

@@ -73,11 +73,15 @@ def aliased_posts(raw: DataFrame) -> DataFrame:
     return finish(_post(raw, id=at("id", "postId", "name"), date=day(at("created_utc", "createdUtc", "created", "createdAt", "created_at", "date")), author=F.when(F.startswith(who, F.lit("{")), handle).otherwise(who), score=count("score", "upvotes", "ups"), subreddit=F.lower(at("subreddit", "community")), title=at("title", "postTitle"), selftext=at("selftext", "previewText", "text", "body", "content"), num_comments=count("num_comments", "numComments", "commentCount", "comments"), source=F.lit("reddit")))
 
 
+# What stands between author and subject in the title of an embedded tweet.
+AUTHOR_MARKERS = (" tweeted about ", " retweeted ", " quoted ")
+
+
 def tweets(raw: DataFrame, kinds: list[str] | None = None) -> DataFrame:
     """P5: ids from status URLs, author before the marker in the embed title."""
     rows = raw.where(F.col("tweet_type").isin(kinds)) if kinds else raw
     status = F.regexp_extract(F.coalesce("url", F.lit("")), r"/status/(\d+)", 1)
-    who = F.coalesce(*[F.when(F.contains("embed_title", F.lit(m)), F.trim(F.substring_index("embed_title", m, 1))) for m in (" tweeted about ", " retweeted ", " quoted ")], F.lit(""))
+    who = F.coalesce(*[F.when(F.contains("embed_title", F.lit(m)), F.trim(F.substring_index("embed_title", m, 1))) for m in AUTHOR_MARKERS], F.lit(""))
     return finish(_post(rows, id=F.when(status != "", F.concat(F.lit("x_"), status)).otherwise(""), date=day(F.col("timestamp")), author=who, subreddit=F.lit("x_twitter"), title=F.coalesce("description", F.lit("")), source=F.lit("x")))
 
 

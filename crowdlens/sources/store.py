@@ -51,9 +51,12 @@ def replace_sources(posts: DataFrame, folder: str) -> None:
     manifest.commit(spark, folder, before | {"parts": [*kept, part]})
 
 
-def append_raw(records: DataFrame, folder: str, day: str) -> None:
-    """K6: raw records as compressed JSON lines under their day."""
-    records.write.mode("append").option("compression", "gzip").json(f"{folder}/day={day}")
+def append_raw(records: DataFrame, folder: str, day: str, batch: str | None = None) -> None:
+    """K6: raw records as compressed JSON lines under their day.  With the name of a batch its records lie in a folder of their own,
+    which a retry of the batch replaces, so that it repeats none; without one they are added each time.  A folder is filled in one
+    of the two ways, as Spark reads folders of one depth."""
+    at = f"{folder}/day={day}" + (f"/batch={batch}" if batch else "")
+    records.write.mode("overwrite" if batch else "append").option("compression", "gzip").json(at)
 
 
 def newest(posts: DataFrame, n: int = 3) -> DataFrame:

@@ -172,3 +172,14 @@ def test_top_per_group_and_all_time(spark):
     assert got == {("g", "a"): (3, 1, 3 / 7), ("g", "b"): (3, 2, 3 / 7), ("h", "a"): (0, 1, None), (None, "a"): (None, 1, None)}
     a = {r.k: r for r in frames.all_time(rows, "k", ["n"]).collect()}
     assert (a["a"].n, a["a"].max_n, a["a"].active_days) == (3, 2, 2)
+
+
+def test_a_retried_batch_of_raw_records_repeats_none(spark, tmp_path):
+    at = str(tmp_path / "raw")
+    rows = spark.createDataFrame([(1,), (2,)], "id int")
+    for batch in ("a", "b", "b"):
+        store.append_raw(rows, at, "2024-01-01", batch)
+    assert spark.read.json(at).count() == 4
+    store.append_raw(rows, f"{at}-plain", "2024-01-01")
+    store.append_raw(rows, f"{at}-plain", "2024-01-01")
+    assert spark.read.json(f"{at}-plain").count() == 4
