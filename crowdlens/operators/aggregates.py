@@ -56,6 +56,16 @@ def splice(old: DataFrame, tail: DataFrame, cutoff: Column) -> DataFrame:
     return old.where(F.col("date") < cutoff).unionByName(tail.where(F.col("date") >= cutoff))
 
 
+def dealt(rows: DataFrame, *by: str, mb: int = 8) -> DataFrame:
+    """The rows dealt anew, about `mb` MB of their strings to a task, but no fewer tasks than cores: what a task keeps while it counts
+    doesn't grow with the input, however large its files' parts.  With `by` the parts follow that order, so that equal keys meet
+    early.  The lengths of the strings are summed at once; rows that are equal in all columns stay together."""
+    strings = [F.coalesce(F.octet_length(c), F.lit(0)).cast("bigint") for c, kind in rows.dtypes if kind == "string"]
+    size = rows.agg(F.sum(sum(strings, F.lit(16).cast("bigint")))).first()[0] or 0
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-size // (mb << 20)))
+    return rows.repartitionByRange(parts, *by, F.xxhash64(*rows.columns)) if by else rows.repartition(parts, *rows.columns)
+
+
 def daily_terms(posts: DataFrame, terms: Column, word_floor: int = 3, pair_floor: int = 5) -> DataFrame:
     """A10: posts per day and term, over the floors, and a __TOTAL__ row per day."""
     counted = posts.select("date", F.explode(F.concat(terms, F.array(F.lit("__TOTAL__")))).alias("term")).groupBy("date", "term").agg(F.count("*").alias("mention_count"))
