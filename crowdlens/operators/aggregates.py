@@ -68,7 +68,7 @@ def dealt(rows: DataFrame, *by: str, mb: int = 8) -> DataFrame:
 
 def daily_terms(posts: DataFrame, terms: Column, word_floor: int = 3, pair_floor: int = 5) -> DataFrame:
     """A10: posts per day and term, over the floors, and a __TOTAL__ row per day."""
-    counted = posts.select("date", F.explode(F.concat(terms, F.array(F.lit("__TOTAL__")))).alias("term")).groupBy("date", "term").agg(F.count("*").alias("mention_count"))
+    counted = dealt(posts, "date").select("date", F.explode(F.concat(terms, F.array(F.lit("__TOTAL__")))).alias("term")).groupBy("date", "term").agg(F.count("*").alias("mention_count"))
     floor = F.when(F.contains("term", F.lit(" ")), pair_floor).otherwise(word_floor)
     return counted.where((F.col("term") == "__TOTAL__") | (F.col("mention_count") >= floor))
 

@@ -37,7 +37,7 @@ def test_one_day_is_counted_in_several_parts(spark):
     assert sorted(map(tuple, agg.daily_terms(posts, text.terms(F.col("text"))).select("term", "mention_count").collect())) == [("__TOTAL__", 40), ("box", 40), ("gear", 40), ("gear box", 40), ("gear gear", 40)]
 
 
-@pytest.mark.parametrize("name", ["terms_by_sql"])
+@pytest.mark.parametrize("name", ["terms_by_sql", "daily_terms"])
 def test_terms_are_found_once_in_small_tasks(spark, name):
     plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 1 and "RepartitionByExpression" in plan
